@@ -1,54 +1,53 @@
 """Sharding by k-d tree: recursive weighted-median splits along the widest metadata dimension.
 
 A node that must become k shards is split so that its left part holds floor(k/2)/k of its bytes.
-The cut is found from three passes of 1,024-bin histograms, each inside the bin of the pass before,
-so it is exact to a document however large or lopsided the node. Only node summaries (one row a
+The cut is found from two passes of 4,096-bin histograms, the second inside the bin of the first,
+so it is exact to 1 / 16,777,216 of a dimension's range however large or lopsided the node. Only node summaries (one row a
 node, at most the shard count) reach the driver. Equal values are told apart by a hash of doc_id,
 so a value that a third of the rows share can still be cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skygrid.llm.common import table, utf8_bytes
 
-BINS = 1024
-PASSES = 3
-DIMS = ("x0", "x1", "x2", "x3")
+BINS = 4096
+PASSES = 2
+DIMS = 4
 
 
-def _case(node: Column, values: dict[int, Column]) -> Column:
-    out = F.lit(None)
-    for k, v in values.items():
-        out = F.when(node == k, v).otherwise(out)
-    return out
+def _small(rows: DataFrame, columns: str, values: list[tuple]) -> DataFrame:
+    """A literal table (at most one row a node) as a broadcast side."""
+    body = ", ".join("(" + ", ".join(f"{v!r}D" if isinstance(v, float) else str(v) for v in row) + ")" for row in values)
+    return F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {body} AS t({columns})"))
 
 
-def _cuts(rows: DataFrame, nodes: dict[int, tuple[int, int]]) -> dict[int, tuple[str, float]]:
-    """For each node to split: the dimension and the value below which its left part lies."""
-    active = rows.where(F.col("node").isin([n for n, (k, _) in nodes.items() if k > 1]))
-    spread = active.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max)))).collect()
-    whole = {d: max((r[f"hi_{d}"] for r in spread), default=0) - min((r[f"lo_{d}"] for r in spread), default=0) for d in DIMS}
-    dim, box, want, base = {}, {}, {}, {}
+def _cuts(rows: DataFrame, nodes: dict[int, tuple[int, int]]) -> dict[int, tuple[int, float]]:
+    """For each node to split: the dimension (from 0) and the value below which its left part lies."""
+    split = [(n,) for n, (k, _) in nodes.items() if k > 1]
+    active = rows.join(_small(rows, "node", split), "node", "left_semi")
+    sides = [f(F.element_at("x", i + 1)).alias(f"{n}{i}") for i in range(DIMS) for n, f in (("lo", F.min), ("hi", F.max))]
+    spread = active.groupBy("node").agg(F.sum("size").alias("bytes"), *sides).collect()
+    whole = [max((r[f"hi{i}"] for r in spread), default=0) - min((r[f"lo{i}"] for r in spread), default=0) for i in range(DIMS)]
+    dim, box, need = {}, {}, {}
     for r in spread:
-        d = max(DIMS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / whole[d] if whole[d] else 0)
-        k = nodes[r["node"]][0]
-        dim[r["node"]], box[r["node"]], want[r["node"]], base[r["node"]] = d, (r[f"lo_{d}"], r[f"hi_{d}"] + 1.0), r["bytes"] * (k // 2) / k, 0
-    node = F.col("node")
-    for _ in range(PASSES):
-        at = _case(node, {n: F.col(dim[n]) + F.col("jitter") for n in dim})
-        lo, width = _case(node, {n: F.lit(b[0]) for n, b in box.items()}), _case(node, {n: F.lit((b[1] - b[0]) / BINS) for n, b in box.items()})
-        bins = active.withColumn("_bin", F.floor((at - lo) / F.nullif(width, F.lit(0.0))).cast("int")).where(F.col("_bin").between(0, BINS - 1)).groupBy("node", "_bin").agg(F.sum("size").alias("s"))
+        n, k = r["node"], nodes[r["node"]][0]
+        d = max(range(DIMS), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"]) / whole[i] if whole[i] else 0)
+        dim[n], box[n], need[n] = d, (r[f"lo{d}"], r[f"hi{d}"] + 1.0), r["bytes"] * (k // 2) / k
+    for _ in range(PASSES if dim else 0):
+        plan = _small(rows, "node, dim, low, width, need", [(n, dim[n], box[n][0], (box[n][1] - box[n][0]) / BINS, float(need[n])) for n in dim])
+        at = F.floor((F.element_at("x", F.col("dim") + 1) + F.col("jitter") - F.col("low")) / F.nullif("width", F.lit(0.0)))
+        bins = active.join(plan, "node").withColumn("_bin", at).where(F.col("_bin").between(0, BINS - 1)).groupBy("node", "need", "_bin").agg(F.sum("size").alias("s"))
         run = Window.partitionBy("node").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        need = _case(node, {n: F.lit(float(want[n] - base[n])) for n in dim})
-        hit = bins.withColumn("upto", F.sum("s").over(run)).where(F.col("upto") >= need).groupBy("node").agg(F.min(F.struct("_bin", "upto", "s")).alias("h")).collect()
+        hit = bins.withColumn("upto", F.sum("s").over(run)).where("upto >= need").groupBy("node").agg(F.min(F.struct("_bin", "upto", "s")).alias("h")).collect()
         for r in hit:
-            n, (lo_n, hi_n) = r["node"], box[r["node"]]
-            w = (hi_n - lo_n) / BINS
-            box[n] = (lo_n + w * r["h"]["_bin"], lo_n + w * (r["h"]["_bin"] + 1))
-            base[n] += r["h"]["upto"] - r["h"]["s"]
+            n, (low, high) = r["node"], box[r["node"]]
+            w = (high - low) / BINS
+            box[n] = (low + w * r["h"]["_bin"], low + w * (r["h"]["_bin"] + 1))
+            need[n] -= r["h"]["upto"] - r["h"]["s"]
     return {n: (dim[n], box[n][1]) for n in dim}
 
 
@@ -61,12 +60,12 @@ def shard(docs: DataFrame, shards: int = 40, passthrough: tuple[str, ...] = ())
     table gives an empty one.
     """
     text, jitter = F.coalesce(docs["text"], F.lit("")), F.pmod(F.xxhash64(docs["doc_id"]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    code = lambda c: F.crc32(F.coalesce(docs[c].cast("string"), F.lit("")).cast("binary")).cast("double")
+    code = lambda c: (F.crc32(F.coalesce(docs[c].cast("string"), F.lit("")).cast("binary")) % 1024).cast("double")
     size = utf8_bytes(docs["text"]) + 16
     rows = table(
         docs.select(
             "doc_id", *passthrough, size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), jitter.alias("jitter"),
-            size.cast("double").alias("x0"), F.length(text).cast("double").alias("x1"), code("lang").alias("x2"), code("source").alias("x3"),
+            F.array(size.cast("double"), F.length(text).cast("double"), code("lang"), code("source")).alias("x"),
         )
     )
     rows = rows.withColumn("node", F.lit(1))
@@ -79,12 +78,13 @@ def shard(docs: DataFrame, shards: int = 40, passthrough: tuple[str, ...] = ())
                 grown[2 * n], grown[2 * n + 1] = (k // 2, first), (k - k // 2, first + k // 2)
             else:
                 grown[n] = (k, first)
-        side = _case(F.col("node"), {n: F.when(F.col(d) + F.col("jitter") < cut, F.lit(2 * n)).otherwise(F.lit(2 * n + 1)) for n, (d, cut) in cuts.items()})
-        rows = rows.withColumn("node", F.coalesce(side, "node"))
         nodes = grown
         if not cuts:
             break
-    rows = rows.withColumn("shard", F.coalesce(_case(F.col("node"), {n: F.lit(first) for n, (_, first) in nodes.items()}), F.lit(0)))
+        plan = _small(rows, "node, dim, cut", [(n, d, cut) for n, (d, cut) in cuts.items()])
+        right = (F.element_at("x", F.col("dim") + 1) + F.col("jitter") >= F.col("cut")).cast("int")
+        rows = rows.join(plan, "node", "left").withColumn("node", F.coalesce(F.col("node") * 2 + right, "node")).drop("dim", "cut")
+    rows = rows.join(_small(rows, "node, shard", [(n, first) for n, (_, first) in nodes.items()]), "node", "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
     # slots: offsets of 256 hash ranges in each shard, so that no task numbers a whole shard
     rows = rows.withColumn("_part", F.pmod(F.hash("doc_id"), F.lit(256)))
     counts = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("n"))
