@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import decontaminate, mixing, ngram_join, quality, sharding
+from skygrid.llm import decontaminate, html_extract, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup
 
 #: Target weights by level; names that are not listed weigh 1.
 WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,14 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "epoch")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), 40)
 
@@ -48,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op5_quality_ranking, op6_mixture, op9_kd_sharding, op10_ngram_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_benchmark_decontamination, op5_quality_ranking, op6_mixture, op7_suffix_dedup, op8_html_extraction, op9_kd_sharding, op10_ngram_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
