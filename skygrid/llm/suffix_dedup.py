@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
             row = np.searchsorted(base, again, "right") - 1
             cut = np.flatnonzero((np.diff(again, prepend=-9) != 1) | (np.diff(row, prepend=-1) != 0))
             out = []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(again)], strict=True):
+            for a, b in zip(cut.tolist(), np.append(cut, len(again))[1:].tolist(), strict=True):
                 d, th, start, _ = held[row[a]]
                 first = int(again[a] - base[row[a]])
                 out.append((d, th, start + first, start + first + (b - a) + length - 1))
