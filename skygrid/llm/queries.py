@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import decontaminate, html_extract, mixing, neighbours, ngram_join, quality, sharding, substring_dedup, suffix_dedup
+from skygrid.llm import attention_lm, decontaminate, html_extract, mixing, neighbours, ngram_join, quality, sharding, substring_dedup, suffix_dedup
 
 #: Target weights by level; names that are not listed weigh 1.
 WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
@@ -21,6 +21,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_benchmark_decontamination, op4_projected_neighbours, op5_quality_ranking, op6_mixture, op7_suffix_dedup, op8_html_extraction, op9_kd_sharding, op10_ngram_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_attention_lm, op3_benchmark_decontamination, op4_projected_neighbours, op5_quality_ranking, op6_mixture, op7_suffix_dedup, op8_html_extraction, op9_kd_sharding, op10_ngram_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
