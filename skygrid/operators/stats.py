@@ -55,8 +55,9 @@ def greedy_coverage(sizes: DataFrame, key: str, n: str, shares: list[float]) ->
     """Fewest keys whose n reach each share of the total. The running sum is per key, so it is ranked in one place: sizes has a row a key."""
     w = Window.orderBy(F.desc(n), key)
     run = sizes.select(F.row_number().over(w).alias("k"), (F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(n).over(Window.partitionBy(F.lit(1)))).alias("s"))
-    wide = run.agg(*(F.min(F.when(F.col("s") >= x - 1e-12, F.col("k"))).alias(str(x)) for x in shares))
-    return wide.unpivot([], [str(x) for x in shares], "share", "keys").select(F.col("share").cast("double").alias("share"), "keys")
+    wide = run.agg(*(F.min(F.when(F.col("s") >= x - 1e-12, F.col("k"))).alias(f"s{i}") for i, x in enumerate(shares)))
+    rows = F.explode(F.array(*(F.struct(F.lit(x).alias("share"), F.col(f"s{i}").alias("keys")) for i, x in enumerate(shares)))).alias("r")
+    return wide.select(rows).select("r.share", "r.keys")
 
 
 def classification(rows: DataFrame, truth: str, guess: str) -> DataFrame:

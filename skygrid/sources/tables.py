@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skygrid.functions.scalars import acquisition_instant, confidence_band, local_clock
 
@@ -42,7 +43,7 @@ def within(lon: Column, lat: Column, box: tuple[float, float, float, float], clo
     return lon.between(west, east) & lat.between(south, north) if closed else (lon > west) & (lon < east) & (lat > south) & (lat < north)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def detection_id(instrument: pd.Series, satellite: pd.Series, lon: pd.Series, lat: pd.Series, instant: pd.Series) -> pd.Series:
     """BLAKE2b-128 of instrument, satellite, coordinates to five places and the UTC instant."""
     rows = zip(instrument, satellite, lat, lon, instant, strict=True)
