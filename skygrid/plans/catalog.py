@@ -504,8 +504,8 @@ def average_precision(t):
     return rounded(stats.average_precision(judged(t), F.col("truth") == 1, F.col("s")))
 
 
-@query("""WITH s AS (SELECT event_id, abs(value - 100) / 100 AS a, (event_id % 5 = 0) AS cal FROM events), k AS (SELECT count(*) AS n, least(1.0e0, ceil((count(*) + 1) * 0.9e0) / count(*)) AS level FROM s WHERE cal), o AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS r, level * (n - 1) AS at, n, level FROM s, k WHERE cal),
-c AS (SELECT n, level, sum(CASE WHEN r = floor(at) THEN a * (1 - (at - floor(at))) WHEN r = floor(at) + 1 THEN a * (at - floor(at)) ELSE 0 END) AS threshold FROM o GROUP BY 1, 2)
+@query("""WITH s AS (SELECT event_id, abs(value - 100) / 100 AS a, (event_id % 5 = 0) AS cal FROM events), k AS (SELECT count(*) AS n, least(1.0e0, ceil((count(*) + 1) * 0.9e0) / count(*)) AS level FROM s WHERE cal), o AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS r, level * (n - 1) AS p, n, level FROM s, k WHERE cal),
+c AS (SELECT n, level, sum(CASE WHEN r = floor(p) THEN a * (1 - (p - floor(p))) WHEN r = floor(p) + 1 THEN a * (p - floor(p)) ELSE 0 END) AS threshold FROM o GROUP BY 1, 2)
 SELECT c.n, round(threshold, 6) AS threshold, round(c.level, 6) AS level, round(avg(CASE WHEN a <= threshold THEN 1.0e0 ELSE 0 END), 6) AS coverage FROM s, c WHERE NOT cal GROUP BY c.n, threshold, c.level""")
 def conformal_threshold(t):
     s = t("events").select("event_id", (F.abs(F.col("value") - 100) / 100).alias("a"))
@@ -612,7 +612,7 @@ def cluster_summary(t):
     own = cluster.single_link(sites(t), cluster.eps_edges(sites(t), 60000, 0.8)).join(sites(t), "id")
     mid = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("lon").alias("mid_lon"), F.avg("lat").alias("mid_lat"))
     far = own.join(mid, "cluster").groupBy("cluster", "size", "mid_lon", "mid_lat").agg(F.max(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("mid_lon"), F.col("mid_lat"))).alias("spread_m"))
-    return rounded(far.where("size >= 2"), 3)
+    return rounded(far, 3)
 
 
 @query()
