@@ -6,7 +6,7 @@ puts shingles of frequent words last, so what two prefixes share is nearly alway
 shared prefix shingle is a bucket; inside a bucket a signature tree finds the links.
 
 1. Two rounds route every class to one bucket it shares; the bucket's trees link whole sets.
-2. The last round covers every bucket where different components still meet: trees over 1,024-bit
+2. The last round covers every bucket where different components still meet: trees over bitmap
    sketches rule out what cannot reach the similarity, the pairs left are verified exactly.
 
 Buckets are cut into blocks of bounded size in step 1 and by set size in step 2, so no group is
@@ -31,7 +31,27 @@ from skygrid.llm.common import by_key, components, dealt, grouped, lists, lower_
 FREQUENT = 1 / 50_000
 #: Shingles and documents that a block of a bucket holds at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 1_000
-SKETCH_BITS = 1024
+#: Bits of a sketch: two a shingle of the band's largest set, as a power of two between these.
+SKETCH_BITS = (1024, 1 << 18)
+
+
+def band(n: int, num: int, den: int) -> int:
+    """Sets that can be linked lie in the same band of sizes or in the next."""
+    return n if num == den else int(math.log(n) / math.log(den / num) + 1e-9)
+
+
+def band_bits(b: int, num: int, den: int) -> int:
+    largest = b if num == den else math.exp((b + 1) * math.log(den / num))
+    low, high = SKETCH_BITS
+    return min(high, max(low, 1 << int(2 * largest - 1).bit_length()))
+
+
+def folded(sketch: bytes, bits: int) -> np.ndarray:
+    """The sketch that the same set has at fewer bits."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) * 64 > bits:
+        words = words[: len(words) // 2] | words[len(words) // 2 :]
+    return words
 
 
 def frequent_words(docs: DataFrame, share: float = FREQUENT) -> np.ndarray:
@@ -111,11 +131,11 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of rows (bucket, band, home, doc_id, n, c, sketch) that the trees cannot rule out."""
 
     def run(batches):
-        for _, (home, ids, n, c, sketch) in grouped(batches, ["bucket", "band"], ["home", "doc_id", "n", "c", "sketch"]):
+        for (_, b), (home, ids, n, c, sketch) in grouped(batches, ["bucket", "band"], ["home", "doc_id", "n", "c", "sketch"]):
             if min(c) == max(c):
                 continue
             order = np.lexsort((ids, n))
-            marks = np.frombuffer(b"".join(sketch[i] for i in order), np.uint64).reshape(len(ids), -1)
+            marks = np.array([folded(sketch[i], band_bits(b, num, den)) for i in order])
             size, group = np.array(n, np.int64)[order], np.unique(np.array(c, np.int64)[order], return_inverse=True)[1]
             ids, home = np.array(ids, np.int64)[order], np.array(home, bool)[order]
             for i, j in st.traverse(st.build(marks, size, group), num, den):
@@ -127,13 +147,16 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt(rows, "bucket", "band").mapInArrow(run, "a long, b long").distinct()
 
 
-def _sketches(docs: DataFrame, k: int) -> DataFrame:
+def _sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, own, sketch): size, its band, bitmap of the shingles as wide as the next band calls for."""
+
     def run(batches):
         for batch in batches:
             sets = [_shingles(lower_words(t), k, np.empty(0, np.uint64))[0] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([st.bitmap(s, SKETCH_BITS).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "sketch"])
+            own = [band(len(s), num, den) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int32()), pa.array([st.bitmap(s, band_bits(b + 1, num, den)).tobytes() for s, b in zip(sets, own, strict=True)], pa.binary())], ["doc_id", "n", "own", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, own int, sketch binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -201,9 +224,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
         left = fresh()
     if left.limit(1).count():
         ids = table(left.select(F.col("rep").alias("doc_id")).distinct())
-        sketch = table(_sketches(wanted(ids).select("doc_id", "text"), k))
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("int") if num < den else F.col("n").cast("int")
-        rows = left.select("bucket", F.col("rep").alias("doc_id"), "c").join(sketch, "doc_id").withColumn("own", band)
+        sketch = table(_sketches(wanted(ids).select("doc_id", "text"), k, num, den))
+        rows = left.select("bucket", F.col("rep").alias("doc_id"), "c").join(sketch, "doc_id")
         rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("band") == F.col("own"))
         pairs = table(_candidates(rows.select("bucket", "band", "home", "doc_id", "n", "c", "sketch"), num, den))
         if pairs.limit(1).count():
