@@ -127,6 +127,17 @@ def _linked(routed: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return dealt(routed, "bucket", "block").mapInArrow(run, "a long, b long")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(bucket, band) that can hold new links: components meet there and a row is at home.
+
+    A passage of many shingles gives many buckets the same members; of those one is enough. Members are
+    compared by their number and a 128-bit digest.
+    """
+    digest = lambda seed: F.bit_xor(F.xxhash64("doc_id", "home", F.lit(seed)))
+    met = rows.groupBy("bucket", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_or("home").alias("any"), F.count(F.lit(1)).alias("m"), digest(0).alias("x"), digest(1).alias("y"))
+    return met.where("lo < hi and any").groupBy("m", "x", "y").agg(F.min(F.struct("bucket", "band")).alias("g")).select("g.bucket", "g.band")
+
+
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of rows (bucket, band, home, doc_id, n, c, sketch) that the trees cannot rule out."""
 
@@ -225,8 +236,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10)
     if left.limit(1).count():
         ids = table(left.select(F.col("rep").alias("doc_id")).distinct())
         sketch = table(_sketches(wanted(ids).select("doc_id", "text"), k, num, den))
-        rows = left.select("bucket", F.col("rep").alias("doc_id"), "c").join(sketch, "doc_id")
-        rows = rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("band") == F.col("own"))
+        rows = left.select("bucket", F.col("rep").alias("doc_id"), "c").join(sketch.select("doc_id", "own"), "doc_id")
+        rows = table(rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("band") == F.col("own")).drop("own"))
+        rows = rows.join(table(_groups(rows)), ["bucket", "band"], "left_semi").join(sketch.select("doc_id", "n", "sketch"), "doc_id")
         pairs = table(_candidates(rows.select("bucket", "band", "home", "doc_id", "n", "c", "sketch"), num, den))
         if pairs.limit(1).count():
             ids = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
