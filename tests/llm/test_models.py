@@ -30,6 +30,33 @@ def test_language_model(spark):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_bigrams_cover_every_subword(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "PART", 50)
+    rng = random.Random(1)
+    texts = [None, "", "Fresh", " ".join(rng.choices(["the", "unbelievably", "cat", "zqxv17", "naïve"], k=3000)), " ".join(f"w{i}" for i in range(40))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    encode = attention_lm.Subwords(attention_lm.TOKENIZER)
+    streams = [list(attention_lm.chain.from_iterable(encode([*attention_lm.lower_words(t), attention_lm.END]))) for t in texts]
+    count = np.bincount(np.concatenate(streams), minlength=attention_lm.VOCABULARY + 1)
+    classes = attention_lm.Classes(count, np.zeros(len(count), int))
+    wanted, first = np.zeros((attention_lm.INPUTS, attention_lm.CLASSES), int), np.zeros(attention_lm.CLASSES, int)
+    for t, ids in zip(texts, streams, strict=True):
+        for a, b in zip([attention_lm.VOCABULARY, *ids], ids, strict=False):
+            wanted[classes.inputs[a], classes.out[b]] += 1
+        for w in encode([*attention_lm.lower_words(t), attention_lm.END]):
+            first[classes.out[w[0]]] += 1
+    seen, words = attention_lm._bigrams(docs, attention_lm.word_counts(docs), attention_lm.TOKENIZER, spark.sparkContext.broadcast(classes))
+    assert seen.sum() == sum(map(len, streams)) and (seen == wanted).all() and (words == first).all()
+    model = attention_lm.fit(docs, attention_lm.word_counts(docs), attention_lm.TOKENIZER)  # the table behind the logits is that count
+    c = model.classes
+    full = np.zeros((attention_lm.INPUTS, attention_lm.CLASSES))
+    for ids in streams:
+        for a, b in zip([attention_lm.VOCABULARY, *ids], ids, strict=False):
+            full[c.inputs[a], c.out[b]] += 1
+    prior = (np.bincount(c.out, count, attention_lm.CLASSES) + 1) / (count.sum() + attention_lm.CLASSES)
+    assert np.allclose(model.bias, np.log((full + 20 * prior) / (full.sum(1, keepdims=True) + 20)), atol=1e-5)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     params = [p.astype(np.float64) for p in attention_lm.init()]
