@@ -294,9 +294,9 @@ def cell_and_tile_keys(t):
 _GRID = """px AS (SELECT l_linenumber AS granule, CAST(l_orderkey // 40 AS BIGINT) AS "row", CAST(l_orderkey % 40 AS BIGINT) AS "col", 280 + (l_orderkey * 7919 + l_linenumber * 31) % 400 / 10.0e0 AS mir, 280 + (l_orderkey * 104729 + l_linenumber * 17) % 300 / 10.0e0 AS tir1 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_orderkey < 1600 AND l_linenumber <= 2)"""
 
 
-def pixels(t) -> DataFrame:
+def pixels(t, where: str = "l_orderkey < 1600 and l_linenumber <= 2") -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    own = t("lineitem").select("l_orderkey", "l_linenumber").where("l_orderkey < 1600 and l_linenumber <= 2").distinct()
+    own = t("lineitem").select("l_orderkey", "l_linenumber").where(where).distinct()
     return own.select(n.alias("granule"), F.floor(k / 40).alias("row"), (k % 40).alias("col"), (280 + (k * 7919 + n * 31) % 400 / 10.0).alias("mir"), (280 + (k * 104729 + n * 17) % 300 / 10.0).alias("tir1"))
 
 
@@ -312,9 +312,16 @@ cand AS (SELECT px.*, rows, cols, a.i AS dr, b.i AS dc FROM px JOIN ext USING (g
 SELECT px.granule, px."row", px."col", px.mir, round(b_mir.bg, 6) AS bg_mir, round(b_diff.bg, 6) AS bg_diff, round(b_tir.bg, 6) AS bg_tir1 FROM px JOIN b_mir USING (granule, "row", "col") JOIN b_diff USING (granule, "row", "col") JOIN b_tir USING (granule, "row", "col")
 WHERE mir > 300 AND mir > b_mir.bg + greatest(4, 3 * b_mir.mad) - 1e-9 AND mir - tir1 > b_diff.bg + greatest(4, 3 * b_diff.mad) - 1e-9 AND tir1 - b_tir.bg >= -1 - 1e-9""")
 def contextual_detector(t):
+    """On the corner of the grid that the SQL names; ``contextual_detector_whole`` takes all of it."""
     return rounded(raster.detect(pixels(t), margin=4.0 - 1e-9, spread=3.0, deficit=-1.0 - 1e-9, radius=2))
 
 
+@query()
+def contextual_detector_whole(t):
+    """All order keys and granules; tested by brute force."""
+    return rounded(raster.detect(pixels(t, "true"), margin=4.0 - 1e-9, spread=3.0, deficit=-1.0 - 1e-9, radius=2))
+
+
 # ---- labels, bands, features ----------------------------------------------------------------------------------
 
 _NEAR = f"""near AS (SELECT id, event_type, min(CASE WHEN ref_id % 5 = 0 THEN m END) AS flare_m, min(CASE WHEN ref_id % 5 = 1 THEN m END) AS industrial_m, min(CASE WHEN ref_id % 5 = 2 THEN m END) AS asset_m FROM (SELECT p.id, event_type, ref_id, {METRES} AS m FROM {POINTS} p LEFT JOIN {PARTS} r ON rlon BETWEEN lon - 0.25e0 AND lon + 0.25e0 AND rlat BETWEEN lat - 0.25e0 AND lat + 0.25e0) GROUP BY 1, 2),

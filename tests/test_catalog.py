@@ -2,6 +2,7 @@
 
 import glob
 import os
+from statistics import median
 
 import duckdb
 import pytest
@@ -48,3 +49,24 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
+
+
+def test_contextual_detector_takes_the_whole_grid(spark, duck):
+    px = {}
+    for k, n in duck.execute("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem").fetchall():
+        px[n, k // 40, k % 40] = (280 + (k * 7919 + n * 31) % 400 / 10.0, 280 + (k * 104729 + n * 17) % 300 / 10.0)
+    ends = {g: (max(r for h, r, _ in px if h == g), max(c for h, _, c in px if h == g)) for g in {g for g, _, _ in px}}
+    wanted = {}
+    for (g, r, c), (mir, tir) in px.items():
+        if mir > 300:
+            at = [(g, max(0, min(ends[g][0], r + i)), max(0, min(ends[g][1], c + j))) for i in range(-2, 3) for j in range(-2, 3)]
+            near = [px[a] for a in at if a in px]
+            bg, mad = [], []
+            for f in (lambda p: p[0], lambda p: p[0] - p[1], lambda p: p[1]):
+                bg.append(median(map(f, near)))
+                mad.append(median(abs(f(p) - bg[-1]) for p in near))
+            if mir > bg[0] + max(4, 3 * mad[0]) - 1e-9 and mir - tir > bg[1] + max(4, 3 * mad[1]) - 1e-9 and tir - bg[2] >= -1 - 1e-9:
+                wanted[g, r, c] = (mir, *bg)
+    got = {(x["granule"], x["row"], x["col"]): (x["mir"], x["bg_mir"], x["bg_diff"], x["bg_tir1"]) for x in catalog.queries()["contextual_detector_whole"](spark, DATA).collect()}
+    assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], abs=2e-6) for k in got)
+    assert {g for g, _, _ in got} - {1, 2}
