@@ -69,7 +69,7 @@ def _finder(items: list[tuple[int, list[bytes]]], k: int, similarity: float, rad
     by_length = defaultdict(list)
     for item, words in items:
         if words:
-            by_length[len(words)].append((item, shingles(words, k)))
+            by_length[len(words)].append((item, shingles(words, min(len(words), k))))  # hashed as find does
     index = {n: ItemIndex(n, k, radius, own) for n, own in by_length.items()}
     seeds = {}  # words of a shingle: sorted shingles, and the word counts of the items that have each
     for kk in {min(n, k) for n in index}:

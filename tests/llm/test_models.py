@@ -123,6 +123,21 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, found).collect()} == {2, 3, 4}
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "Solo"), (3, "three little words"), (4, "an item of four"), (5, "this one has five words")]
+    texts = [t for _, t in items] + [f"lead in {t.upper()} and more text after it" for _, t in items] + [f"ends with {t}" for _, t in items] + ["three little", "little words three", "unrelated text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    wanted = set()
+    for d, t in enumerate(texts):
+        w = t.lower().split()
+        for i, item in items:
+            x = item.lower().split()
+            wanted |= {(d, i, p, len(x)) for p in range(len(w)) if w[p : p + len(x)] == x}
+    assert len(wanted) == 12 and {(r.doc_id, r.item_id, r.start_word, r.n_words) for r in found.collect()} == wanted
+    assert {r.doc_id for r in decontaminate.clean(docs, found).collect()} == {12, 13, 14}
+
+
 def test_classifier_on_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
