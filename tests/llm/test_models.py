@@ -30,6 +30,22 @@ def test_language_model(spark):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_language_model_scores_whole_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["the", "unbelievably", "cat", "zqxv17", "naïve", "sat"], k=30))) for i in range(40)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows += [(held[0], "q7" * 500), (held[1], "q7" * 5000), (held[2], " ".join(rng.choices(["the", "cat", "sat", "zqxv17", "unbelievably"], k=500))), (held[3], "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in attention_lm.score(docs).collect()}
+    empty = whole[held[3]]
+    short, long = whole[held[0]] - empty, whole[held[1]] - empty
+    assert short < -310 and 8 < long / short < 12  # ten times the characters, not one floor for both
+    for size in (1, 30):  # the parts' size is sent to the tasks with the function
+        monkeypatch.setattr(attention_lm, "PART", size)
+        parts = {r.doc_id: r.score for r in attention_lm.score(docs).collect()}
+        assert all(math.isclose(parts[d], whole[d], rel_tol=1e-5) for d in whole)
+
+
 def test_bigrams_cover_every_subword(spark, monkeypatch):
     monkeypatch.setattr(attention_lm, "PART", 50)
     rng = random.Random(1)
