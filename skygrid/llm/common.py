@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,18 +17,21 @@ from xxhash import xxh64_intdigest
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: texts may be long, so a batch holds few of them.
 BATCH_ROWS = 1000
-#: Rows of a key list that may be broadcast (8 bytes each); longer lists are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Bytes of a key table that may be broadcast, at 48 a row and 16 a column; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.skygrid.scratch", None)
     if not base:
-        base = spark.conf.get("spark.skygrid.scratch", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.skygrid.scratch", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.skygrid.scratch", base)
     return base.rstrip("/")
 
 
@@ -43,9 +47,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def by_key(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """Join df with a written key table: broadcast below BROADCAST_KEYS rows, else shuffled."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+def small_enough(keys: DataFrame) -> bool:
+    """Whether a written table of fixed-size columns may be broadcast: its size is its rows, counted."""
+    return keys.count() * (48 + 16 * len(keys.columns)) <= BROADCAST_BYTES
+
+
+def by_key(df: DataFrame, keys: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join df with a written key table: broadcast up to BROADCAST_BYTES, else shuffled."""
+    return df.join(F.broadcast(keys) if small_enough(keys) else keys, on, how)
+
+
+def text_hash(text: Column) -> Column:
+    """64-bit hash that tells apart rows with one doc_id (null: as the empty text)."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -6,11 +6,16 @@ puts shingles of frequent words last, so what two prefixes share is nearly alway
 shared prefix shingle is a bucket; inside a bucket a signature tree finds the links.
 
 1. Two rounds route every class to one bucket it shares; the bucket's trees link whole sets.
-2. The last round covers every bucket where different components still meet: trees over bitmap
-   sketches rule out what cannot reach the similarity, the pairs left are verified exactly.
-
-Buckets are cut into blocks of bounded size in step 1 and by set size in step 2, so no group is
-collected whole. A pair inside one component is never expanded.
+2. The last rounds cover every bucket where different components still meet: trees over bitmap
+   sketches rule out what cannot reach the similarity. Of the pairs left, a bucket sends spanning
+   forests over the components that meet there (2 in the first round, 8 times as many in each next
+   one); these are verified exactly, the components they link become one, and buckets that held
+   pairs back are searched again, until none does.
+
+So a bucket of m sets sends at most m - 1 pairs a forest, never all pairs of two components, and a
+pair inside one component is never looked at again. Buckets are cut into blocks of bounded size in
+step 1; in step 2 by set size, and those with more than ``CELL`` sets into slices that meet two at
+a time (slices of one and the same component need not meet), so no group is collected whole.
 """
 
 from __future__ import annotations
@@ -25,12 +30,16 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from skygrid.llm import signature_tree as st
-from skygrid.llm.common import by_key, components, dealt, grouped, lists, lower_words, rolling, small_batches, table, word_hashes
+from skygrid.llm.common import by_key, components, dealt, grouped, lists, lower_words, rolling, small_batches, table, text_hash, word_hashes
 
 #: A word is frequent from this share of all words; so there are at most as many such words.
 FREQUENT = 1 / 50_000
 #: Shingles and documents that a block of a bucket holds at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 1_000
+#: Sets of a bucket and band that a slice holds at most; two slices meet in a task at a time.
+CELL = 1_000
+#: Spanning forests of candidate pairs that a bucket sends in the first round, and their growth.
+FORESTS, GROWTH = 2, 8
 #: Bits of a sketch: two a shingle of the band's largest set, as a power of two between these.
 SKETCH_BITS = (1024, 1 << 18)
 
@@ -96,35 +105,51 @@ def _shingles(words: list[bytes], k: int, frequent: np.ndarray) -> tuple[np.ndar
     return sets, np.convolve(common, np.ones(k, np.int64), "valid")[first]
 
 
+def set_key(s: np.ndarray) -> bytes:
+    """128-bit digest of a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, prefix): set size, digest of the set, prefix shingles."""
+    """(doc_id, th, n, key, prefix): hash of the text, set size, digest of the set (null: empty), prefix shingles."""
 
     def run(batches):
         for batch in batches:
-            ids, n, keys, prefix = batch.column("doc_id"), [], [], []
+            n, keys, prefix = [], [], []
             for text in batch.column("text").to_pylist():
                 s, common = _shingles(lower_words(text), k, frequent)
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(set_key(s) if len(s) else None)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 prefix.append(s[np.lexsort((s, common))[:p]])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(prefix, pa.int64())], ["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(prefix, pa.int64())], ["doc_id", "th", "n", "key", "prefix"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, n long, key binary, prefix array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
+def _texts(docs: DataFrame) -> DataFrame:
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text"))
+
+
+def _own_sets(texts: list, keys: list, k: int) -> list[np.ndarray | None]:
+    """The set of each text; None where it is not the class's (another row with the same doc_id)."""
+    sets = (_shingles(lower_words(t), k, np.empty(0, np.uint64))[0] for t in texts)
+    return [s if set_key(s) == key else None for s, key in zip(sets, keys, strict=True)]
 
 
 def _linked(routed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) inside each (bucket, block) of rows (bucket, block, doc_id, text)."""
+    """(v, c): each component that rows (bucket, block, cid, c, key, text) of a block link to a smaller one, and the smallest."""
 
     def run(batches):
-        for _, (ids, texts) in grouped(batches, ["bucket", "block"], ["doc_id", "text"]):
-            if len(ids) > 1:
-                sets = [_shingles(lower_words(t), k, np.empty(0, np.uint64))[0] for t in texts]
-                found = st.linked(sets, num, den)
+        for _, (cids, c, keys, texts) in grouped(batches, ["bucket", "block"], ["cid", "c", "key", "text"]):
+            if min(c) < max(c):
+                own = {cid: (s, x) for cid, s, x in zip(cids, _own_sets(texts, keys, k), c, strict=True) if s is not None}
+                found = st.linked([s for s, _ in own.values()], [x for _, x in own.values()], num, den)
                 if found:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["v", "c"])
 
-    return dealt(routed, "bucket", "block").mapInArrow(run, "a long, b long")
+    return dealt(routed, "bucket", "block").mapInArrow(run, "v long, c long")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -133,117 +158,207 @@ def _groups(rows: DataFrame) -> DataFrame:
     A passage of many shingles gives many buckets the same members; of those one is enough. Members are
     compared by their number and a 128-bit digest.
     """
-    digest = lambda seed: F.bit_xor(F.xxhash64("doc_id", "home", F.lit(seed)))
+    digest = lambda seed: F.bit_xor(F.xxhash64("cid", "home", F.lit(seed)))
     met = rows.groupBy("bucket", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_or("home").alias("any"), F.count(F.lit(1)).alias("m"), digest(0).alias("x"), digest(1).alias("y"))
-    return met.where("lo < hi and any").groupBy("m", "x", "y").agg(F.min(F.struct("bucket", "band")).alias("g")).select("g.bucket", "g.band")
+    return met.where("lo < hi and any").groupBy("m", "x", "y").agg(F.min(F.struct("bucket", "band")).alias("g")).select("g.bucket", "g.band", "m")
+
 
+def _cells(rows: DataFrame, groups: DataFrame, cell: int) -> DataFrame:
+    """rows (bucket, band, home, cid, c) of the groups (bucket, band, m) with the cells (x, y) they meet in.
 
-def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, band, home, doc_id, n, c, sketch) that the trees cannot rule out."""
+    A group of up to ``cell`` rows is one cell. A larger one is cut into slices: those of a component
+    with more than half a slice of rows hold only it, the other components are dealt to slices whole. A
+    cell holds two slices, unless both are of one component.
+    """
+    rows = rows.join(groups, ["bucket", "band"])
+    small = rows.where(F.col("m") <= cell).select("bucket", "band", "home", "cid", "c", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    if not groups.where(F.col("m") > cell).limit(1).count():
+        return small
+    hot = rows.where(F.col("m") > cell)
+    held = hot.groupBy("bucket", "band", "c").agg(F.count(F.lit(1)).alias("k")).withColumn("big", F.col("k") * 2 > cell)
+    parts = held.groupBy("bucket", "band").agg(F.ceil(F.sum(F.when(~F.col("big"), F.col("k")).otherwise(0)) / cell).alias("parts"))
+    pieces = F.when(F.col("big"), F.ceil(F.col("k") / cell)).otherwise(1)
+    held = held.join(parts, ["bucket", "band"]).select("bucket", "band", "c", pieces.cast("long").alias("pieces"), F.when(F.col("big"), F.col("c")).alias("pure"), F.pmod(F.xxhash64("c"), F.greatest("parts", F.lit(1)).cast("long")).alias("at"))
+    slice_of = lambda piece: F.when(F.col("pure").isNotNull(), F.xxhash64("c", piece)).otherwise(F.col("at"))
+    cut = table(hot.join(held, ["bucket", "band", "c"]).select("bucket", "band", "home", "cid", "c", "pure", slice_of(F.pmod(F.xxhash64("cid"), F.col("pieces"))).alias("s")))
+    slices = cut.select("bucket", "band", "s", "pure").distinct()
+    other = slices.select("bucket", "band", F.col("s").alias("t"), F.col("pure").alias("other"))
+    pairs = slices.join(other, ["bucket", "band"]).where((F.col("s") == F.col("t")) & F.col("pure").isNull() | (F.col("s") != F.col("t")) & ~F.coalesce(F.col("pure") == F.col("other"), F.lit(False)))
+    meet = pairs.select("bucket", "band", "s", F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"))
+    return small.unionByName(cut.join(meet, ["bucket", "band", "s"]).select("bucket", "band", "home", "cid", "c", "x", "y"))
+
+
+def spanning(i: np.ndarray, j: np.ndarray, forests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that join two trees of a forest (rows: forests, columns: each set's tree), and whether any is left over.
+
+    A pair goes to the first forest in which its sets are in different trees; the forests are updated.
+    """
+    taken, rest = [], np.arange(len(i))
+    for tree in forests:
+        while True:
+            rest_open = tree[i[rest]] != tree[j[rest]]
+            if not rest_open.any():
+                break
+            at = int(rest_open.argmax())
+            e = rest[at]
+            taken.append(e)
+            tree[tree == tree[j[e]]] = tree[i[e]]
+            rest = np.delete(rest, at)
+    return np.array(taken, np.int64), rest
+
+
+def _candidates(rows: DataFrame, num: int, den: int, count: int) -> DataFrame:
+    """Pairs of rows (bucket, band, x, y, home, cid, n, c, sketch) that the trees cannot rule out, as ``count`` spanning forests a cell.
+
+    Result (a, b, ca, cb, bucket, band): classes, their components and, in a row without classes, a group that held pairs back.
+    """
+    columns, kinds = ["a", "b", "ca", "cb", "bucket", "band"], [pa.int64()] * 5 + [pa.int32()]
 
     def run(batches):
-        for (_, b), (home, ids, n, c, sketch) in grouped(batches, ["bucket", "band"], ["home", "doc_id", "n", "c", "sketch"]):
+        for (bucket, b, _, _), (home, ids, n, c, sketch) in grouped(batches, ["bucket", "band", "x", "y"], ["home", "cid", "n", "c", "sketch"]):
             if min(c) == max(c):
                 continue
             order = np.lexsort((ids, n))
             marks = np.array([folded(sketch[i], band_bits(b, num, den)) for i in order])
-            size, group = np.array(n, np.int64)[order], np.unique(np.array(c, np.int64)[order], return_inverse=True)[1]
+            size, c = np.array(n, np.int64)[order], np.array(c, np.int64)[order]
+            names, group = np.unique(c, return_inverse=True)
             ids, home = np.array(ids, np.int64)[order], np.array(home, bool)[order]
+            forests, more = np.tile(group, (min(count, len(names)), 1)), False
             for i, j in st.traverse(st.build(marks, size, group), num, den):
                 own = home[i] | home[j]
                 i, j = i[own], j[own]
+                if count < len(names):
+                    both = np.bitwise_count(marks[i] & marks[j]).sum(1)
+                    likely = np.argsort(-both / (size[i] + size[j]), kind="stable")  # the most alike first
+                    i, j = i[likely], j[likely]
+                    pick, rest = spanning(i, j, forests)
+                    more = more or len(rest) > 0
+                    i, j = i[pick], j[pick]
                 if len(i):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], c[i], c[j])] + [pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32())], columns)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, bucket, b), kinds, strict=True)], columns)
 
-    return dealt(rows, "bucket", "band").mapInArrow(run, "a long, b long").distinct()
+    return dealt(rows, "bucket", "band", "x", "y").mapInArrow(run, "a long, b long, ca long, cb long, bucket long, band int")
 
 
 def _sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, own, sketch): size, its band, bitmap of the shingles as wide as the next band calls for."""
+    """(cid, n, own, sketch): size, its band, bitmap of the shingles as wide as the next band calls for."""
 
     def run(batches):
         for batch in batches:
-            sets = [_shingles(lower_words(t), k, np.empty(0, np.uint64))[0] for t in batch.column("text").to_pylist()]
-            own = [band(len(s), num, den) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int32()), pa.array([st.bitmap(s, band_bits(b + 1, num, den)).tobytes() for s, b in zip(sets, own, strict=True)], pa.binary())], ["doc_id", "n", "own", "sketch"])
+            cids = batch.column("cid").to_pylist()
+            found = [(i, s) for i, s in zip(cids, _own_sets(batch.column("text").to_pylist(), batch.column("key").to_pylist(), k), strict=True) if s is not None]
+            own = [band(len(s), num, den) for _, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array(own, pa.int32()), pa.array([st.bitmap(s, band_bits(b + 1, num, den)).tobytes() for (_, s), b in zip(found, own, strict=True)], pa.binary())], ["cid", "n", "own", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, own int, sketch binary")
+    return docs.mapInArrow(run, "cid long, n long, own int, sketch binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): components of the pairs (a, b, ca, cb) of classes whose whole sets reach the similarity. texts: (cid, key, text)."""
 
     def run(batches):
         for batch in batches:
+            sets = [_own_sets(batch.column(t).to_pylist(), batch.column(key).to_pylist(), k) for t, key in (("x", "kx"), ("y", "ky"))]
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                s, t = (_shingles(lower_words(v), k, np.empty(0, np.uint64))[0] for v in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both * den >= num * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for s, t in zip(*sets, strict=True):
+                both = len(np.intersect1d(s, t, assume_unique=True)) if s is not None and t is not None else 0
+                keep.append(both > 0 and both * den >= num * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("ca"), batch.column("cb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c, t: docs.select(F.col("doc_id").alias(c), F.col("text").alias(t))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    side = lambda c, key, t: texts.select(F.col("cid").alias(c), F.col("key").alias(key), F.col("text").alias(t))
+    return pairs.join(side("a", "kx", "x"), "a").join(side("b", "ky", "y"), "b").select("ca", "cb", "kx", "ky", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """Per document (doc_id, n_shingles, component_id) for k-word shingles and similarity num / den or more.
+def merged(comp: DataFrame | None, names: DataFrame) -> DataFrame:
+    """Labels (v, c) of classes after components became ``names`` (v, c); classes alone so far are components of their own."""
+    if comp is None:
+        return table(names.unionByName(names.select(F.col("c").alias("v"), "c").distinct()))
+    new = comp.join(names.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+    return table(new.unionByName(names).groupBy("v").agg(F.min("c").alias("c")))
+
+
+def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """Per document (doc_id, th, n_shingles, component, component_id); th: hash of the text, component: a label without meaning.
 
     Words are lower-cased (A-Z). A text of fewer words is one shingle; one without words (null, empty)
-    has an empty set and is its own component, as is a row with a null doc_id. component_id is the
-    smallest doc_id reachable by links. Rows that repeat a doc_id and text give equal rows. An empty
-    table gives an empty one.
+    has an empty set and no component, and its component_id is its doc_id. component_id is the
+    smallest doc_id reachable by links (null if only null ones are). Rows that repeat a doc_id and text
+    give equal rows; rows that share a doc_id but not the text are linked each on its own. Equal sets,
+    however many, are one class. An empty table gives an empty one; extra columns take no part.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     frequent = frequent_words(docs)
     sets = table(_prefixes(docs, k, num, den, frequent))
-    named = sets.where("n > 0 and doc_id is not null")
-    classes = table(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    reps = classes.select("rep", "n")
-    tokens = named.join(classes.select("key", "rep"), "key").where("doc_id = rep").select(F.explode("prefix").alias("bucket"), "rep")
-    met = tokens.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
-    shared = table(tokens.join(met, "bucket").distinct().join(reps, "rep"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    edges, comp = None, None
+    # drawn once, as the table is written
+    classes = table(sets.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"), F.max("n").alias("n")).select("key", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), F.monotonically_increasing_id().alias("cid")))
+    at = lambda d: d["doc_id"].eqNullSafe(classes["rep"]) & (d["th"] == classes["th"])
+    heads = sets.where("n > 0").join(classes, (sets["key"] == classes["key"]) & at(sets))
+    stored_twice = heads.groupBy("cid").count().where("count > 1").limit(1).count() > 0
+    tokens = heads.select(F.explode("prefix").alias("bucket"), "cid")
+    met = tokens.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
+    shared = table(tokens.join(met, "bucket").distinct().join(classes.select("cid", classes["n"]), "cid"))
+    texts, comp = _texts(docs), None
 
     def fresh():
         """Rows of shared, with component c, in buckets where different components meet."""
-        now = shared.withColumn("c", F.col("rep")) if comp is None else shared.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        now = shared.withColumn("c", F.col("cid")) if comp is None else shared.join(comp.withColumnRenamed("v", "cid"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
         apart = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
         return table(now.join(apart, "bucket"))
 
     def wanted(ids: DataFrame) -> DataFrame:
-        """The texts of ids (doc_id, ...); rows that repeat a doc_id count once."""
-        return by_key(texts, ids, "doc_id", "inner").dropDuplicates([c for c in ids.columns])
-
-    def joined(found: DataFrame) -> None:
-        nonlocal edges, comp
-        found = table(found)
-        if found.limit(1).count():
-            edges = found if edges is None else edges.union(found)
-            comp = components(edges)
+        """The texts of ids (cid, ...), one a class, with the classes' keys."""
+        named = ids.join(classes.select("cid", "key", "rep", F.col("th").alias("rth")), "cid")
+        out = by_key(texts, table(named), texts["doc_id"].eqNullSafe(F.col("rep")) & (texts["th"] == F.col("rth"))).drop("doc_id", "th", "rep", "rth")
+        return out.dropDuplicates(ids.columns) if stored_twice else out
 
     left = fresh()
     for turn in (0, 1):
         if not left.limit(1).count():
             break
-        route = left.groupBy("rep", "n").agg(F.min("bucket").alias("bucket"))
-        full = route.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        route = route.join(full, "bucket").select(F.col("rep").alias("doc_id"), "bucket", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks").cast("long")).alias("block"))
-        joined(_linked(wanted(table(route)), k, num, den))
-        left = fresh()
+        route = left.groupBy("cid", "n", "c").agg(F.min("bucket").alias("bucket"))
+        full = route.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        route = route.join(full, "bucket").select("cid", "c", "bucket", F.pmod(F.xxhash64("cid", F.lit(turn)), "blocks").alias("block"))
+        found = table(_linked(wanted(route), k, num, den))
+        if found.limit(1).count():
+            # in the first turn each class is in one block, so its block's label is its component
+            comp = merged(comp, found if comp is None else components(found.select(F.col("v").alias("a"), F.col("c").alias("b"))))
+            left = fresh()
     if left.limit(1).count():
-        ids = table(left.select(F.col("rep").alias("doc_id")).distinct())
-        sketch = table(_sketches(wanted(ids).select("doc_id", "text"), k, num, den))
-        rows = left.select("bucket", F.col("rep").alias("doc_id"), "c").join(sketch.select("doc_id", "own"), "doc_id")
+        sketch = table(_sketches(wanted(left.select("cid").distinct()), k, num, den))
+        rows = left.select("bucket", "cid", "c").join(sketch.select("cid", "own"), "cid")
         rows = table(rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("band") == F.col("own")).drop("own"))
-        rows = rows.join(table(_groups(rows)), ["bucket", "band"], "left_semi").join(sketch.select("doc_id", "n", "sketch"), "doc_id")
-        pairs = table(_candidates(rows.select("bucket", "band", "home", "doc_id", "n", "c", "sketch"), num, den))
-        if pairs.limit(1).count():
-            ids = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-            joined(_verified(pairs, table(wanted(ids).select("doc_id", "text")), k, num, den))
-    out = sets.join(classes.select("key", "rep"), "key", "left")
-    if comp is not None:
-        out = out.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("rep", F.coalesce("c", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
+        groups, count = table(_groups(rows)), FORESTS
+        while groups.limit(1).count():
+            placed = _cells(rows, groups, CELL).join(sketch.select("cid", "n", "sketch"), "cid")
+            pairs = table(_candidates(placed.select("bucket", "band", "x", "y", "home", "cid", "n", "c", "sketch"), num, den, count))
+            try_now = table(pairs.where("a is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ca").alias("ca"), F.max("cb").alias("cb")))
+            edges = None
+            if try_now.limit(1).count():
+                ids = try_now.select(F.col("a").alias("cid")).union(try_now.select(F.col("b").alias("cid"))).distinct()
+                edges = table(_verified(try_now, table(wanted(ids)), k, num, den))
+            names = components(edges) if edges is not None and edges.limit(1).count() else None
+            if names is not None:
+                comp = merged(comp, names)
+            back = pairs.where("a is null").select("bucket", "band").distinct()
+            if not back.limit(1).count():
+                break
+            rows, count = rows.join(back, ["bucket", "band"], "left_semi"), count * GROWTH
+            if names is not None:
+                rows = rows.join(names.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+            rows = table(rows)
+            groups = table(_groups(rows))
+    out = sets.join(classes.select("key", "cid", "rep"), "key", "left")
+    if comp is None:
+        out = out.withColumn("component", F.col("cid")).withColumn("component_id", F.col("rep"))
+    else:
+        first = comp.join(classes.select(F.col("cid").alias("v"), "rep"), "v").groupBy("c").agg(F.min("rep").alias("least"))
+        told = comp.join(first, "c").select(F.col("v").alias("cid"), "c", "least")
+        out = out.join(told, "cid", "left").withColumn("component", F.coalesce("c", "cid")).withColumn("component_id", F.when(F.col("c").isNotNull(), F.col("least")).otherwise(F.col("rep")))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """Per document (doc_id, n_shingles, component_id), as ``labelled`` states them, for similarity num / den or more."""
+    return labelled(docs, k, num, den).select("doc_id", "n_shingles", "component_id")

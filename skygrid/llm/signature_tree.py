@@ -87,32 +87,29 @@ def traverse(levels: list[Level], num: int, den: int) -> Iterator[tuple[np.ndarr
             stack.append((k - 1, ci[at : at + PAIRS], cj[at : at + PAIRS]))
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that span the components of the graph of sets (sorted distinct tokens) with similarity num / den or more.
+def linked(sets: list[np.ndarray], groups: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """(group, smallest group it is linked with) of the graph of sets (sorted distinct tokens) with similarity num / den or more.
 
-    Every pair is either verified exactly, ruled out by a bound, or already in one component.
+    Every pair of sets of different groups is either verified exactly, ruled out by a bound, or already in one
+    component. Groups that are linked with no smaller one are left out.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort(([int(s[0]) if len(s) else 0 for s in sets], sizes))
     sizes = sizes[order]
-    root = np.arange(len(sets))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    names, own = np.unique(np.array(groups, np.int64)[order], return_inverse=True)
+    root = np.arange(len(names))
     bits = width(int(sizes.max(initial=1)))
     marks = np.array([bitmap(sets[k], bits) for k in order])
-    edges = []
-    for i, j in traverse(build(marks, sizes, np.arange(len(sets))), num, den):
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                x, y = sets[order[a]], sets[order[b]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * den >= num * (len(x) + len(y) - both):
-                    root[max(ra, rb)] = min(ra, rb)
-                    edges.append((int(order[a]), int(order[b])))
-    return edges
+    for i, j in traverse(build(marks, sizes, own), num, den):
+        while True:
+            i, j = (x[root[own[i]] != root[own[j]]] for x in (i, j))
+            if not len(i):
+                break
+            x, y = sets[order[i[0]]], sets[order[j[0]]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both * den >= num * (len(x) + len(y) - both):
+                a, b = sorted((root[own[i[0]]], root[own[j[0]]]))
+                root[root == b] = a
+            i, j = i[1:], j[1:]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return list(zip(names[moved].tolist(), names[root[moved]].tolist(), strict=True))

@@ -29,8 +29,7 @@ def brute(rows, k, num, den):
     return sorted((d, len(sets[d]), find(d)) for d in ids)
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_components(spark, k, num, den):
+def check(spark, k, num, den):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(50)]
     rows = []
@@ -48,6 +47,63 @@ def test_components(spark, k, num, den):
     assert ngram_join.jaccard_components(docs.limit(0), k, num, den).count() == 0
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_components(spark, k, num, den):
+    check(spark, k, num, den)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """3,000 near copies, small blocks and cells: the pairs verified and the edges stay in proportion to the rows."""
+    seen = {"pairs": 0, "edges": 0}
+    verified, found = ngram_join._verified, ngram_join.components
+
+    def counted(pairs, *rest):
+        seen["pairs"] += pairs.count()
+        return verified(pairs, *rest)
+
+    def counted_edges(edges):
+        seen["edges"] += edges.count()
+        return found(edges)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    monkeypatch.setattr(ngram_join, "components", counted_edges)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 200)
+    monkeypatch.setattr(ngram_join, "CELL", 150)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    base, rows = [rng.choice(words) for _ in range(60)], []
+    for d in range(3000):  # each near copy is about as far from others as the threshold allows
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            w[rng.randrange(60)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 5, 4, 5).collect()}
+    assert seen["edges"] <= 6000 and seen["pairs"] <= 60_000
+    shingles = {d: {tuple(t.split()[i : i + 5]) for i in range(56)} for d, t in rows[:400]}
+    for a in range(400):
+        for b in range(a):
+            if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+                assert got[a] == got[b]
+
+
+def test_hot_bucket_is_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(ngram_join, "FORESTS", 1)
+    check(spark, 5, 4, 5)
+
+
+def test_ties_repeats_nulls_and_clashes(spark):
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, text, "x"), (1, text, "x"), (1, "other words of this very same id", "y"), (None, text, "z"), (5, text + " b", "c"), (None, None, "n"), (7, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string").selectExpr("*", "'k' AS key", "1 AS th", "2 AS n", "3 AS cid", "4 AS c", "5 AS bucket")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 38, 1), (1, 38, 1), (1, 5, 1), (None, 38, 1), (5, 39, 1), (None, 0, None), (7, 0, 7)], key=str)
+    found = ngram_join.labelled(docs).where("n_shingles > 0").groupBy("component").count().collect()
+    assert sorted(r["count"] for r in found) == [1, 4]
+
+
 def test_folding():
     import numpy as np
 
