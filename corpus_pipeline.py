@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygrid.llm import decontaminate, mixing, ngram_join, quality, sharding
-from skygrid.llm.common import table
+from skygrid.llm.common import by_key, table, text_hash
 from skygrid.llm.queries import WEIGHTS
 
 #: Share of the remaining tokens that the mixture keeps.
@@ -25,15 +25,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group linked by five-word shingles at 0.8."""
-    found = ngram_join.jaccard_components(docs, k=5, num=4, den=5)
-    gone = table(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = table(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")))
+    """Keep of each group linked by five-word shingles at 0.8 the document with the smallest (doc_id, hash of the text), once.
+
+    Documents without words are in no group and stay, repeated or not.
+    """
+    found = table(ngram_join.labelled(docs, k=5, num=4, den=5).where("component is not null"))
+    lead = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")).where("n > 1")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    of_groups = found.join(lead, "component")
+    key = lambda rows: table(rows.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct())
+    gone = key(of_groups.where(~first.eqNullSafe(F.col("lead"))))
+    again = key(of_groups.where(first.eqNullSafe(F.col("lead"))).groupBy("doc_id", "th").count().where("count > 1"))
+    at = lambda d: d["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (text_hash(d["text"]) == F.col("_th"))
+    kept = by_key(docs, gone, at(docs), "left_anti")
     if not again.limit(1).count():
         return kept
-    once = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == again["_again"], "left_anti").unionByName(once)
+    once = by_key(kept, again, at(kept), "left_semi").withColumn("_th", text_hash(F.col("text"))).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return by_key(kept, again, at(kept), "left_anti").unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
