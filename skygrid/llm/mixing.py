@@ -19,6 +19,8 @@ from skygrid.llm.common import WORD, table
 #: Leaves up to which the plan of cuts is broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 20_000
 LEVELS = ("domain", "lang", "source")
+#: Names that rows carry here beside the documents' own columns.
+_OWN = ("_mix_domain", "_mix_lang", "_mix_source")
 
 
 def default_domain(source: Column) -> Column:
@@ -29,6 +31,8 @@ def default_domain(source: Column) -> Column:
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
     out = F.lit(1)
     for name, w in weights.get(level, {}).items():
+        if w < 0 or w != int(w):
+            raise ValueError(f"weight of {level} {name!r} must be a whole number from 0: {w}")
         out = F.when(F.col(level) == name, F.lit(int(w))).otherwise(out)
     return out
 
@@ -54,7 +58,7 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def _keys(docs: DataFrame, domain) -> DataFrame:
     text = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
-    return docs.withColumns({"_d": domain(text("source")), "_l": text("lang"), "_s": text("source")})
+    return docs.withColumns(dict(zip(_OWN, (domain(text("source")), text("lang"), text("source")), strict=True)))
 
 
 def budgets(sizes: DataFrame, weights: dict, budget: float, epochs: int) -> DataFrame:
@@ -72,19 +76,22 @@ def budgets(sizes: DataFrame, weights: dict, budget: float, epochs: int) -> Data
     return leaves.select(*LEVELS, "tokens").join(level.select(*LEVELS, F.col("alloc").alias("budget")), list(LEVELS))
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: float, epochs: int = 1, seed: int = 1, domain=default_domain) -> DataFrame:
-    """docs in the mixture, with domain and epoch (from 1): a document chosen in two epochs is two rows.
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: float, epochs: int = 1, seed: int = 1, domain=default_domain, names: tuple[str, str] = ("domain", "epoch")) -> DataFrame:
+    """docs in the mixture, with domain and epoch (from 1, up to ``epochs``): a document chosen in two epochs is two rows.
 
     ``budget`` is a share of all tokens. ``weights`` maps a level (domain, lang, source) to whole
-    numbers, 1 where not named. Null lang or source counts as ''. A document without text has no
-    tokens and stays wherever the prefix reaches it. Rows that repeat a doc_id share its place.
-    An empty table gives an empty one.
+    numbers, 1 where not named; a node of weight 0 is left out, its share goes to its siblings. Null
+    lang or source counts as ''. A document without tokens costs nothing: it stays where the prefix
+    reaches it, but in no epoch after the last. Of a leaf with a budget of 0 only documents of a
+    leaf without any tokens stay. Rows that repeat a doc_id share its place. ``names`` call the two
+    new columns; an input column of that name is replaced, all others are kept. An empty table gives
+    an empty one.
     """
     keyed = _keys(docs, domain)
-    slim = table(keyed.select("doc_id", F.col("_d").alias("domain"), F.col("_l").alias("lang"), F.col("_s").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
+    slim = table(keyed.select("doc_id", *(F.col(c).alias(a) for c, a in zip(_OWN, LEVELS, strict=True)), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
     sizes = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(sizes, weights, budget, epochs)
-    plan = table(plan.withColumn("full", F.coalesce(F.floor(F.try_divide("budget", "tokens")), F.lit(0)).cast("int")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")))
+    plan = table(plan.withColumn("full", F.least(F.coalesce(F.floor(F.try_divide("budget", "tokens")), F.lit(0)), F.lit(epochs)).cast("int")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")))
     small = plan.count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else (lambda x: x)
     place = lambda key, epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
@@ -95,9 +102,13 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: float, epoc
     within = placed.join(hint(edge), [*LEVELS, "_range"]).groupBy(*LEVELS, "_range", "base", "rest", "_at").agg(F.sum("tokens").alias("t"))
     fit = within.withColumn("upto", F.col("base") + F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
     last = fit.where("upto <= rest").groupBy(*LEVELS).agg(F.max("_at").alias("_last"))
-    cuts = plan.join(edge, list(LEVELS), "left").join(last, list(LEVELS), "left").select(*(F.col(c).alias(a) for c, a in zip(LEVELS, ("_d", "_l", "_s"), strict=True)), "full", F.coalesce("_last", "_range", F.lit("g")).alias("_cut"))
+    cut = F.when((F.col("budget") == 0) & ((F.col("tokens") > 0) | F.col("shut")), "").otherwise(F.coalesce("_last", "_range", F.lit("g")))
+    shut = F.lit(False)
+    for level in LEVELS:
+        shut = shut | (_weight(level, weights) == 0)
+    cuts = plan.withColumn("shut", shut).join(edge, list(LEVELS), "left").join(last, list(LEVELS), "left").select(*(F.col(c).alias(a) for c, a in zip(LEVELS, _OWN, strict=True)), F.col("full").alias("_mix_full"), cut.alias("_mix_cut"))
     cuts = table(cuts)
-    out = keyed.join(hint(cuts), ["_d", "_l", "_s"]).withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("full") + 1)))
-    out = out.where((F.col("_e") <= F.col("full")) | (place(docs["doc_id"], F.col("_e")) <= F.col("_cut")))
-    kept = [docs[c] for c in docs.columns if c not in ("domain", "epoch")]
-    return out.select(*kept, F.col("_d").alias("domain"), F.col("_e").alias("epoch"))
+    out = keyed.join(hint(cuts), list(_OWN)).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.least(F.col("_mix_full") + 1, F.lit(epochs)))))
+    out = out.where((F.col("_mix_epoch") <= F.col("_mix_full")) | (place(docs["doc_id"], F.col("_mix_epoch")) <= F.col("_mix_cut")))
+    kept = [docs[c] for c in docs.columns if c not in names]
+    return out.select(*kept, F.col("_mix_domain").alias(names[0]), F.col("_mix_epoch").alias(names[1]))

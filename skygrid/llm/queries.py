@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import attention_lm, decontaminate, html_extract, mixing, neighbours, ngram_join, quality, sharding, substring_dedup, suffix_dedup
+from skygrid.llm import attention_lm, decontaminate, html_extract, mixing, neighbours, ngram_join, oracles, quality, sharding, substring_dedup, suffix_dedup
 
 #: Target weights by level; names that are not listed weigh 1.
 WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
 
+#: Share of all tokens that the mixture takes, and epochs at most; shards.
+MIXED, EPOCHS, SHARDS = 0.7, 2, 40
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +44,7 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_read(spark, sf_dir, "documents"), WEIGHTS, budget=0.7, epochs=2)
+    out = mixing.mix(_read(spark, sf_dir, "documents"), WEIGHTS, budget=MIXED, epochs=EPOCHS)
     return out.select("doc_id", "domain", "lang", "source", "epoch")
 
 
@@ -54,7 +57,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_read(spark, sf_dir, "documents"), 40)
+    return sharding.shard(_read(spark, sf_dir, "documents"), SHARDS)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": oracles.substring_dedup(),
+        "op6_mixture": oracles.mixture(WEIGHTS, MIXED, EPOCHS),
+        "op7_suffix_dedup": oracles.suffix_dedup(),
+        "op9_kd_sharding": oracles.kd_shards(SHARDS),
+        "op10_ngram_jaccard_join": oracles.jaccard_components(),
+    }

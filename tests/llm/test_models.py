@@ -121,15 +121,53 @@ def test_shards(spark):
         size[r.shard] += r["size"]
     assert len(got) == docs.count() and set(size) == set(range(8))
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+    # a cut is off by half a document at most, and a shard has a cut on either side at each of three levels
+    assert max(size.values()) - min(size.values()) <= 3 * max(r["size"] for r in got)
     assert sharding.shard(docs.limit(0), 8).count() == 0
 
 
+def test_an_outlier_leaves_the_shards_even(spark):
+    rows = [(i, f"short text {i % 3}", "en", "s") for i in range(4000)] + [(5000, "x" * 8_000_000, "en", "s")]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    assert len(got) == 4001 and max(Counter(r.shard for r in got).values()) < 4000 and len({r.shard for r in got}) > 1
+    rows = rows[:-1]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    assert set(Counter(r.shard for r in got).values()) <= set(range(499, 502))
+
+
+def test_shards_of_repeated_and_null_rows(spark):
+    rows = [(7, "the same row", "en", "s")] * 300 + [(None, "a text", None, None)] * 100 + [(None, f"b {i}", None, None) for i in range(100)] + [(8, None, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS node", "2 AS size", "3 AS draw", "4 AS shard", "5 AS kept")
+    got = sharding.shard(docs, 4, ("node", "kept")).collect()
+    assert len(got) == 501 and set(Counter(r.shard for r in got)) == {0, 1, 2, 3} and {r.node for r in got} == {1}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(4))
+    assert all(abs(sum(r["size"] for r in got if r.shard == s) - sum(r["size"] for r in got) / 4) < 60 for s in range(4))
+    with pytest.raises(ValueError, match="size"):
+        sharding.shard(docs, 4, ("size",))
+
+
 def test_mixture_never_repeats_in_an_epoch(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.mix(docs, {}, budget=0.7, epochs=1).collect()
     assert len({r.doc_id for r in got}) == len(got) and 0 < len(got) < docs.count()
 
 
+def test_mixture_edges(spark):
+    rows = [(i, "a b c" if i % 4 else None, "en", f"s{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert Counter(r.epoch for r in mixing.mix(docs, {}, budget=5.0, epochs=1).collect()) == {1: 40}
+    none = mixing.mix(docs, {"source": {"s1": 0}}, budget=0.9, epochs=1).collect()
+    assert none and "s1" not in {r.source for r in none}
+    clash = docs.selectExpr("*", "'mine' AS domain", "'f' AS full", "1 AS tokens", "2 AS rest", "3 AS epoch", "4 AS _range", "5 AS budget")
+    got = mixing.mix(clash, {}, budget=0.5, epochs=1, names=("d", "e")).collect()
+    assert {(r.domain, r.full, r.tokens, r.epoch, r.budget) for r in got} == {("mine", "f", 1, 3, 5)}
+    assert mixing.mix(docs.limit(0), {}, budget=0.5).count() == 0
+    empty = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (2, "", "x", "y")], docs.schema)
+    assert Counter(r.doc_id for r in mixing.mix(empty, {}, budget=0.5).collect()) == {1: 2, 2: 1}
+    with pytest.raises(ValueError, match="whole number"):
+        mixing.mix(docs, {"lang": {"en": -1}}, budget=0.5)
+
+
 def test_decontamination(spark):
     item = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "a b c " + item.upper() + " d e"), (2, "clean text of some words here"), (3, None), (4, "")], "doc_id long, text string")
