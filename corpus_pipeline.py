@@ -52,7 +52,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's share of the token budget; no document twice."""
-    return mixing.mix(docs, WEIGHTS, budget=BUDGET, epochs=1).select(*docs.columns)
+    return mixing.mix(docs, WEIGHTS, budget=BUDGET, epochs=1, names=("_mixed_domain", "_mixed_epoch")).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
