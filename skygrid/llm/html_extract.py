@@ -4,10 +4,12 @@ Every text node hangs at the end of a root-to-leaf tag path. Per page and path,
 punctuation are summed; a path's text ratio is its characters per text node, its punctuation ratio
 one plus the punctuation per text node. Both are smoothed over the paths in page order (a Gaussian
 weighted by the paths' nodes), fused by their product, and paths at or above the page's threshold (a
-share of the standard deviation of the fused ratios) are content nodes. The element that holds them
-(an article or main with half of their text, else the innermost container with nine tenths) gives
-the text, so headings and short lines between content nodes stay. Elements that by name, class, id
-or role say they are navigation, advert, form, notice or comment take no part.
+share of the standard deviation of the fused ratios) are content paths. The innermost element that
+holds three quarters of the text on content paths is the article; so headings and short lines between
+content nodes stay. Where that is the whole page (a short article in a large frame), names break the
+tie: the ratios are taken again without elements that are called navigation, header, footer or sidebar.
+Of the article, such elements go too, as do, before any ratio, those called advert, form, notice or
+comment, which no ratio tells from prose.
 
 Pages are independent: one Arrow map over the table, no shuffle.
 """
@@ -17,8 +19,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,16 +33,25 @@ from skygrid.llm.common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("nav header footer aside form button menu dialog head label".split())
+FRAME = frozenset("nav header footer aside menu".split())
+NEVER = frozenset("form button dialog label head".split())
 LANDMARK = frozenset(["article", "main"])
 CONTAINER = LANDMARK | frozenset("body center div section td".split())
 ENDS_P = BLOCK - frozenset("html body".split())
-BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?(?:-?(?:banner|notice|consent|bar))?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|reactions?|widget|toolbar|pagination|pager|skip-link|copyright|legal)(?![a-z])")
+ENDS_OWN = {"li": {"ul", "ol", "menu"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}}
+BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?(?:-?(?:banner|notice|consent|bar))?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|reactions?|widget|copyright|legal)(?![a-z])")
+FRAME_NAME = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|toolbar|pagination|pager|skip-link)(?![a-z])")
+GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story|main|body|content)(?![a-z])")
+BAD_ROLE = frozenset("search dialog alert form".split())
+FRAME_ROLE = frozenset("navigation banner contentinfo complementary menu menubar toolbar".split())
+
+NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?(?:-?(?:banner|notice|consent|bar))?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|reactions?|widget|toolbar|pagination|pager|skip-link|copyright|legal)(?![a-z])")
 GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story|main|body|content)(?![a-z])")
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)[A-Za-z][^<>]*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
@@ -47,24 +59,38 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|_")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An open element: its tag path and the container around it as numbers; whether it is no part of an article, or of the frame."""
+
     name: str
-    path: str
-    bad: bool = False
-    marks: tuple[tuple[int, str], ...] = ()  # the containers around it: number and name
+    path: int
+    container: int
+    apart: bool = False
+    frame: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """Text of one block: the pieces of text between block boundaries that share a container."""
+    """Text of one block: the pieces of text between block boundaries, with path, container, and whether they are apart or frame."""
+
+    pieces: list[tuple[str, int, int, bool, bool]] = field(default_factory=list)
 
-    pieces: list[tuple[str, str, bool, tuple[tuple[int, str], ...]]] = field(default_factory=list)  # text, path, boilerplate, containers
 
+@dataclass
+class Page:
+    """Blocks in order, and the page's containers by number: the end of the range of numbers that each one holds."""
 
-def _attributes(tag: str) -> tuple[bool, bool]:
-    """(says that it is boilerplate, is hidden)."""
-    bad = hidden = False
+    blocks: list[Block] = field(default_factory=list)
+    ends: list[int] = field(default_factory=lambda: [0])
+
+    def holds(self, container: int, other: int) -> bool:
+        return container <= other < self.ends[container]
+
+
+def _attributes(tag: str) -> tuple[bool, bool, bool]:
+    """(says that it is no part of an article, says that it is the page's frame, is hidden)."""
+    bad = frame = hidden = False
     for key, value in ATTRIBUTE.findall(tag[NAME.match(tag).end() :]):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden":
@@ -72,98 +98,130 @@ def _attributes(tag: str) -> tuple[bool, bool]:
         elif key == "style":
             hidden = hidden or bool(HIDDEN.search(value))
         elif key == "role":
-            bad = bad or value.lower() in BAD_ROLE
+            bad, frame = bad or value.lower() in BAD_ROLE, frame or value.lower() in FRAME_ROLE
         elif key in ("class", "id"):
             for word in value.split():
                 word = CAMEL.sub("-", word).lower()
-                bad = bad or bool(BAD_NAME.search(word)) and not GOOD_NAME.search(word)
-    return bad, hidden
-
-
-def blocks(source: str) -> list[Block]:
-    """The page's text blocks in order, with unclosed elements closed as browsers do."""
-    stack, out, current, containers, at = [Node("", "")], [], Block(), 0, 0
+                if not GOOD_NAME.search(word):
+                    bad, frame = bad or bool(BAD_NAME.search(word)), frame or bool(FRAME_NAME.search(word))
+    return bad, frame, hidden
+
+
+def tag_end(source: str, at: int, last: dict[str, int]) -> int:
+    """End of the tag that starts at ``at``; quotes may hold '>'. last: place of the last quote of each kind."""
+    at += 1
+    while m := STOP.search(source, at):
+        at = m.end()
+        if m[0] == ">":
+            return at
+        if last[m[0]] >= at:  # a quote that is never closed is a character like any other
+            at = source.index(m[0], at) + 1
+    return len(source)
+
+
+def parse(source: str) -> Page:
+    """The page's text blocks in order, with unclosed elements closed as browsers do. Time is linear in its length."""
+    page, stack, current, at, n = Page(), [Node("", 0, 0)], Block(), 0, len(source)
+    paths: dict[tuple[int, str], int] = {}
+    is_open, inside = Counter(), 0  # open elements by name, open landmarks
+    last = {q: source.rfind(q) for q in "\"'"}
 
     def cut():
         nonlocal current
         if current.pieces:
-            out.append(current)
+            page.blocks.append(current)
             current = Block()
 
     def text(s: str):
         top = stack[-1]
-        current.pieces.append((html.unescape(s), top.path, top.bad, top.marks))
+        current.pieces.append((html.unescape(s), top.path, top.container, top.apart, top.frame))
 
     def close(k: int):
-        if any(n.name in BLOCK for n in stack[k:]):
+        nonlocal inside
+        if any(x.name in BLOCK for x in stack[k:]):
             cut()
+        for x in stack[k:]:
+            is_open[x.name] -= 1
+            inside -= x.name in LANDMARK
+        for x in reversed(stack[k:]):
+            if x.name in CONTAINER:
+                page.ends[x.container] = len(page.ends)
         del stack[k:]
 
-    n = len(source)
+    def close_one(name: str, until) -> None:
+        """Close the innermost open element of that name, unless one of ``until`` is inside of it."""
+        if is_open[name]:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name == name:
+                    return close(k)
+                if stack[k].name in until:
+                    return None
+        return None
+
     while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
+        start = source.find("<", at)
+        if start < 0:
             text(source[at:])
             break
-        if m.start() > at:
-            text(source[at : m.start()])
-        at, tag = m.end(), m[0]
-        if tag.startswith("<![CDATA["):
-            text(tag[9:].removesuffix("]]>"))
+        if start > at:
+            text(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if source.startswith("<![CDATA[", start):
+            end = source.find("]]>", start)
+            text(source[start + 9 : n if end < 0 else end])
+            at = n if end < 0 else end + 3
             continue
-        if tag[1] in "!?":
+        if source[start + 1 : start + 2] in ("!", "?") and start + 1 < n:
+            end = source.find(">", start)
+            at = n if end < 0 else end + 1
             continue
-        name = NAME.match(tag)[1].lower()
+        name = NAME.match(source, start)
+        if not name:
+            text("<")
+            at = start + 1
+            continue
+        at = tag_end(source, start, last)
+        tag, name = source[start:at], name[1].lower()
         if tag[1] == "/":
-            if name == "p" and all(x.name != "p" for x in stack):
+            if name == "p" and not is_open["p"]:
                 cut()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close(k)
-                    break
-                if name not in BLOCK and stack[k].name in BLOCK:  # an inline end tag stays in its block
-                    break
+            close_one(name, () if name in BLOCK else BLOCK)  # an inline end tag stays in its block
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             if not tag.endswith("/>"):
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, with what it holds
-                if stack[k].name == "p":
-                    close(k)
-                    break
-                if stack[k].name in BLOCK:
-                    break
-        for own, until in (("li", ("ul", "ol", "menu")), ("option", ("select",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")), ("dt", ("dl",)), ("dd", ("dl",))):
-            if name == own:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == own:
-                        close(k)
-                        break
-                    if stack[k].name in until:
-                        break
+        if name in ENDS_P:  # a block ends an open paragraph, with what it holds
+            close_one("p", BLOCK - {"p"})
+        if name in ENDS_OWN:
+            close_one(name, ENDS_OWN[name])
         if name in BLOCK:
             cut()
         elif name == "br":
-            current.pieces.append((" ", stack[-1].path, stack[-1].bad, stack[-1].marks))
+            text(" ")
         if name in VOID or tag.endswith("/>") and name not in BLOCK:
             continue
-        bad, hidden = _attributes(tag) if " " in tag or "\n" in tag or "\t" in tag else (False, False)
-        top = stack[-1]
-        marks = top.marks
-        inside = any(kind in LANDMARK for _, kind in marks)
+        bad, frame, hidden = _attributes(tag) if any(c in tag for c in " \n\t\r\f/") else (False, False, False)
+        top, container = stack[-1], stack[-1].container
         if name in CONTAINER:
-            containers += 1
-            marks = (*marks, (containers, name))
-        inner_header = name == "header" and inside and not bad  # an article's own heading
-        out_of = hidden or bad and name not in ("html", "body", *LANDMARK) or name in NEVER and not inner_header
-        if name in LANDMARK and bad and inside:  # a comment is often an article inside the article
-            out_of = True
-        stack.append(Node(name, f"{top.path}/{name}", top.bad or out_of, marks))
+            container = len(page.ends)
+            page.ends.append(n)
+        if name in LANDMARK:  # a comment is often an article inside the article
+            apart, frame = hidden or bad and inside > 0, frame and inside > 0
+        else:
+            apart = hidden or bad and name not in ("html", "body") or name in NEVER
+            frame = frame and name not in ("html", "body") or name in FRAME and not (name == "header" and inside and not frame)  # an article's own heading
+        stack.append(Node(name, paths.setdefault((top.path, name), len(paths) + 1), container, top.apart or apart, top.frame or frame))
+        is_open[name] += 1
+        inside += name in LANDMARK
     cut()
-    return out
+    close(1)
+    page.ends[0] = len(page.ends)
+    return page
 
 
 def _smooth(values: list[float], weight: list[int]) -> list[float]:
@@ -176,7 +234,7 @@ def _smooth(values: list[float], weight: list[int]) -> list[float]:
     return out
 
 
-def content_paths(parts: list[tuple[str, str]], share: float) -> set[str]:
+def content_paths(parts: list[tuple[int, str]], share: float) -> set[int]:
     """Content paths of (path, text) parts: fused smoothed ratios at or above the threshold."""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text in parts:
@@ -195,25 +253,33 @@ def content_paths(parts: list[tuple[str, str]], share: float) -> set[str]:
     return {p for p, x in zip(paths, fused, strict=True) if x >= share * deviation}
 
 
+def article(page: Page, found: list[tuple[str, int, int, bool]], share: float) -> int:
+    """The innermost container that holds three quarters of the text on content paths of (text, path, container, frame)."""
+    paths = content_paths([(p, t) for t, p, _, _ in found], share)
+    own = [0] * len(page.ends)
+    for t, p, c, _ in found:
+        if p in paths:
+            own[c] += len(t)
+    upto = list(accumulate(own, initial=0))  # containers are numbered as they open, so one holds a range of them
+    return max((c for c, end in enumerate(page.ends) if 4 * (upto[end] - upto[c]) >= 3 * upto[-1]), default=0)
+
+
 def main_text(source: str | None, share: float = 0.5) -> str:
     """The main text: blocks joined by one newline, white space inside a block one space. Null: ''."""
     if not source:
         return ""
-    found = []
-    for b in blocks(source):
-        pieces = [p for p in b.pieces if not p[2]]
-        text = SPACE.sub(" ", "".join(p[0] for p in pieces)).strip()
-        if text:
-            held = max(pieces, key=lambda p: len(p[0]))
-            found.append((text, held[1], pieces[0][3]))
-    paths = content_paths([(p, t) for t, p, _ in found], share)
-    total, within = sum(len(t) for t, p, _ in found if p in paths), defaultdict(int)
-    for t, p, marks in found:
-        if p in paths:
-            for mark in marks:
-                within[mark] += len(t)
-    whole = [m for kind in ("article", "main") for m, k in within.items() if m[1] == kind and 2 * k >= total][:1] or [m for m, k in within.items() if 10 * k >= 9 * total][-1:]
-    return "\n".join(t for t, p, marks in found if (whole[0] in marks if whole else p in paths))
+    page, found = parse(source), []
+    for b in page.blocks:
+        for frame in (False, True):  # a block is of one kind, unless an inline element says otherwise
+            pieces = [p for p in b.pieces if not p[3] and p[4] == frame]
+            text = SPACE.sub(" ", "".join(p[0] for p in pieces)).strip()
+            if text:
+                found.append((text, max(pieces, key=lambda p: len(p[0]))[1], pieces[0][2], frame))
+    region = article(page, found, share)
+    inner = [x for x in found if not x[3]]
+    if all(page.holds(region, c) for _, _, c, _ in found):
+        region = article(page, inner, share)
+    return "\n".join(t for t, _, c, _ in inner if page.holds(region, c))
 
 
 def extract(pages: DataFrame, share: float = 0.5) -> DataFrame:

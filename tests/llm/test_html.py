@@ -1,3 +1,6 @@
+import time
+
+from skygrid.llm import html_extract
 from skygrid.llm.html_extract import extract, main_text
 
 PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body>
@@ -24,3 +27,30 @@ def test_edges(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert {r.n_chars for r in got if r.page_id is None} == {0}
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def unnamed(links: int) -> str:
+    """A page without landmarks or telling names: only the ratios tell its parts."""
+    menu = "".join(f"<li><a href='/{i}'>Part {i} of it</a></li>" for i in range(links))
+    text = "".join(f"<p>Paragraph {i} has much to say, and it says it; at some length, too. It goes on, and on.</p>" for i in range(4))
+    return f"<body><div class=a1><ul>{menu}</ul></div><div class=b2><h2>A heading</h2>{text}<p>Short.</p></div><div class=c3><span>Word</span> <span>cloud</span><ul>{menu}</ul></div></body>"
+
+
+def test_ratios_choose_the_article(monkeypatch):
+    wanted = ["A heading"] + [f"Paragraph {i} has much to say, and it says it; at some length, too. It goes on, and on." for i in range(4)] + ["Short."]
+    for links in (5, 20, 60):
+        assert main_text(unnamed(links)).split("\n") == wanted
+    monkeypatch.setattr(html_extract, "content_paths", lambda parts, share: {p for p, _ in parts})
+    assert main_text(unnamed(60)).split("\n") != wanted
+
+
+def test_names_break_ties():
+    page = "<body><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav><article><p>Brief.</p></article><footer>All rights are reserved, by us. And by them.</footer></body>"
+    assert main_text(page) == "Brief."
+
+
+def test_time_is_linear_in_the_page():
+    for page in ("<div>" * 16_000 + "x" + "</div>" * 16_000, '<a "' * 8_000, "<p title='" * 8_000, "<span>" * 16_000 + "<div>y</div>" * 2_000, "</b>" * 20_000, "<" * 20_000, "<li>" * 20_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 3
