@@ -1,36 +1,47 @@
 """Contextual hot-spot detection on pixel rows (granule, row, col, mir, tir1).
 
 The cheap test comes first: only pixels above the floor get a background. A candidate looks up its
-(2 radius + 1)^2 neighbours, clamped at the edges, by an equi-join on (granule, row, col); medians
-and median absolute deviations are exact and skip missing pixels.
+(2 radius + 1)^2 neighbours, clamped at the edges, by one equi-join on (granule, row, col) that carries
+both channels; one aggregation gathers them (at most so many values a candidate), and medians and median
+absolute deviations are exact array expressions that skip missing pixels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _background(candidates: DataFrame, pixels: DataFrame, value, radius: int) -> DataFrame:
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    at = candidates.withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
-    at = at.select("granule", "row", "col", F.greatest(F.lit(0), F.least("rows", F.col("row") + F.col("_dr"))).alias("r"), F.greatest(F.lit(0), F.least("cols", F.col("col") + F.col("_dc"))).alias("c"))
-    near = at.join(pixels.select("granule", F.col("row").alias("r"), F.col("col").alias("c"), value.alias("x")), ["granule", "r", "c"])
-    keys = ["granule", "row", "col"]
-    middle = near.groupBy(*keys).agg(F.median("x").alias("bg"))
-    return near.join(middle, keys).groupBy(*keys, "bg").agg(F.median(F.abs(F.col("x") - F.col("bg"))).alias("mad"))
+def median(values: Column) -> Column:
+    """Median of an array of numbers without nulls; null if it is empty."""
+    s, n = F.array_sort(values), F.size(values)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / F.lit(2.0)
+
+
+def _known(near: Column, value) -> Column:
+    return F.filter(F.transform(near, value), lambda x: x.isNotNull())
 
 
 def detect(pixels: DataFrame, floor: float = 300.0, margin: float = 4.0, spread: float = 3.0, deficit: float = -1.0, radius: int = 5) -> DataFrame:
-    """(granule, row, col, mir, bg_mir, bg_diff, bg_tir1) of pixels that stand out of their surroundings."""
-    pixels = pixels.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mir", "tir1")})
+    """(granule, row, col, mir, bg_mir, bg_diff, bg_tir1) of pixels that stand out of their surroundings.
+
+    mir and mir - tir1 must exceed their background by more than the margin and more than ``spread`` times
+    the deviation; tir1 may be colder by -deficit at most. Values may be in any unit, so whole numbers
+    (tenths, say) make comparisons exact.
+    """
+    pixels = pixels.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in pixels.dtypes if c in ("mir", "tir1") and t in ("float", "double")})
     ends = pixels.groupBy("granule").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
-    found = pixels.where(F.col("mir") > floor).join(ends, "granule")
     keys = ["granule", "row", "col"]
-    diff = F.col("mir") - F.col("tir1")
-    for name, value in (("mir", F.col("mir")), ("diff", diff), ("tir1", F.col("tir1"))):
-        bg = _background(found.select(*keys, "rows", "cols"), pixels, value, radius).select(*keys, F.col("bg").alias(f"bg_{name}"), F.col("mad").alias(f"mad_{name}"))
-        found = found.join(bg, keys)
-    over = lambda x, n: x > F.col(f"bg_{n}") + F.greatest(F.lit(margin), F.lit(spread) * F.col(f"mad_{n}"))
-    kept = found.where(over(F.col("mir"), "mir") & over(diff, "diff") & (F.col("tir1") - F.col("bg_tir1") >= deficit))
+    found = pixels.where(F.col("mir") > floor).join(ends, "granule")
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    at = found.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+    at = at.select(*keys, "mir", "tir1", F.greatest(F.lit(0), F.least("rows", F.col("row") + F.col("dr"))).alias("r"), F.greatest(F.lit(0), F.least("cols", F.col("col") + F.col("dc"))).alias("c"))
+    near = at.join(pixels.select("granule", F.col("row").alias("r"), F.col("col").alias("c"), F.struct("mir", "tir1").alias("p")), ["granule", "r", "c"])
+    around = near.groupBy(*keys, "mir", "tir1").agg(F.collect_list("p").alias("near"))
+    values = {"mir": lambda p: p["mir"], "diff": lambda p: p["mir"] - p["tir1"], "tir1": lambda p: p["tir1"]}
+    out = around.select(*keys, "mir", "tir1", *(_known(F.col("near"), f).alias(f"all_{n}") for n, f in values.items()))
+    out = out.select("*", *(median(F.col(f"all_{n}")).alias(f"bg_{n}") for n in values))
+    deviation = lambda n: median(F.transform(f"all_{n}", lambda x: F.abs(x - F.col(f"bg_{n}"))))
+    over = lambda x, n: x > F.col(f"bg_{n}") + F.greatest(F.lit(margin), F.lit(spread) * deviation(n))
+    kept = out.where(over(F.col("mir"), "mir") & over(F.col("mir") - F.col("tir1"), "diff") & (F.col("tir1") - F.col("bg_tir1") >= deficit))
     return kept.select(*keys, "mir", "bg_mir", "bg_diff", "bg_tir1")

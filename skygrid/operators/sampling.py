@@ -15,19 +15,34 @@ def hash_sample(rows: DataFrame, ident: str, n: int, seed: str = "") -> DataFram
     return rows.orderBy(*order(ident, seed)).limit(n)
 
 
+def ranked(rows: DataFrame, ident: str, stratum: str, seed: str = "") -> DataFrame:
+    """rows with _r, the place (from 1) in hash order within the stratum.
+
+    A stratum is cut into 4,096 ranges of the hash whose counts give each range its base, so a stratum
+    with a third of all rows is not ranked in one task.
+    """
+    cut = rows.withColumn("_range", F.substring(order(ident, seed)[0], 1, 3))
+    counts = cut.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col(stratum).alias("_s"), F.col("_range").alias("_g"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy(*order(ident, seed)))
+    return cut.withColumn("_p", place).join(base, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_g"))).withColumn("_r", F.col("_p") + F.col("_base")).drop("_range", "_p", "_s", "_g", "_base")
+
+
 def stratified(rows: DataFrame, ident: str, stratum: str, n: int, seed: str = "") -> DataFrame:
-    """At most n rows of each stratum. Only ids and hashes are ranked."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order(ident, seed)))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+    """At most n rows of each stratum, the first in hash order."""
+    return ranked(rows, ident, stratum, seed).where(F.col("_r") <= n).drop("_r")
 
 
 def majority_cap(rows: DataFrame, ident: str, label: str, share: float) -> DataFrame:
     """rows in which the commonest label holds at most ``share``: as many of its rows, in hash order, as that allows."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    top = n.select(F.min(F.struct((-F.col("_n")).alias("m"), F.col(label).alias("l"))).over(Window.partitionBy(F.lit(1))).alias("b"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("t"), "_n", label)
-    limit = top.select(label, F.when(F.col(label) == F.col("b.l"), F.floor(F.lit(share / (1 - share)) * (F.col("t") - F.col("_n")) + 1e-9)).otherwise(F.col("_n")).alias("_limit"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order(ident)))
-    return rows.withColumn("_r", rank).join(F.broadcast(limit), label).where("_r <= _limit").drop("_r", "_limit")
+    top = n.agg(F.min(F.struct((-F.col("_n")).alias("m"), F.col(label).alias("l"))).alias("b"), F.sum("_n").alias("t")).first()
+    if top.b is None:
+        return rows
+    limit = int(share / (1 - share) * (top.t + top.b.m) + 1e-9)
+    is_top = F.col(label).eqNullSafe(F.lit(top.b.l))
+    return rows.where(~is_top).unionByName(ranked(rows.where(is_top), ident, label).where(F.col("_r") <= limit).drop("_r"))
 
 
 def bucket(ident: Column, seed: str, buckets: int) -> Column:

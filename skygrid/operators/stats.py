@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,35 @@ def cramers_v(rows: DataFrame, a: str, b: str) -> DataFrame:
     return part.select("n", (F.col("n") * (F.col("q") - 1)).alias("chi2"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") - 1) / F.nullif(F.least("ka", "kb") - 1, F.lit(0))).alias("v"))
 
 
-def higher_quantile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    """Per key the value at rank ceil(q (n - 1)), counted from 0."""
-    w = Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    return ranked.where(F.col("_r") == F.ceil(F.lit(q) * (F.col("_n") - 1))).select(key, value)
+def running(counts: DataFrame, keys: list[str], by: str, amount: str, parts: int = 64) -> DataFrame:
+    """counts with ``upto``: the running sum of ``amount`` in the order of the number ``by``, per keys (none: over all rows).
+
+    Rows are cut into ranges of ``by`` at approximate quantiles; sums of the ranges give each its base, so
+    no task holds a whole key. Equal values of ``by`` share their sum.
+    """
+    edges = counts.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(by))) if edges else F.lit(0)
+    cut = counts.withColumn("_part", part)
+    own = [*keys, "_part"]
+    sums = cut.groupBy(*own).agg(F.sum(amount).alias("_s"))
+    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    within = F.sum(amount).over(Window.partitionBy(*own).orderBy(by))  # RANGE: peers count
+    return cut.withColumn("_in", within).join(base, own).withColumn("upto", F.col("_in") + F.col("_base")).drop("_part", "_in", "_base")
+
+
+def quantiles(rows: DataFrame, key: str, value: str, picks: dict) -> DataFrame:
+    """Per key the values at ranks (from 0) that ``picks`` name as functions of the count; between two ranks, linear.
+
+    It works on counts of distinct values, so a value that very many rows share is one row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    n = counts.groupBy(key).agg(F.sum("_c").alias("_n"))
+    run = running(counts, [key], value, "_c").join(n, key)
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col(value)))
+    ranks = {c: f(F.col("_n")).cast("double") for c, f in picks.items()}
+    found = run.groupBy(key, "_n").agg(*(x for c, r in ranks.items() for x in (at(F.floor(r)).alias(f"_l_{c}"), at(F.ceil(r)).alias(f"_h_{c}"))))
+    part = lambda c, r: F.col(f"_l_{c}") + (F.col(f"_h_{c}") - F.col(f"_l_{c}")) * (r - F.floor(r))
+    return found.select(key, *(part(c, r).alias(c) for c, r in ranks.items()))
 
 
 def vote(rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -52,10 +78,14 @@ def vote(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def greedy_coverage(sizes: DataFrame, key: str, n: str, shares: list[float]) -> DataFrame:
-    """Fewest keys whose n reach each share of the total. The running sum is per key, so it is ranked in one place: sizes has a row a key."""
-    w = Window.orderBy(F.desc(n), key)
-    run = sizes.select(F.row_number().over(w).alias("k"), (F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(n).over(Window.partitionBy(F.lit(1)))).alias("s"))
-    wide = run.agg(*(F.min(F.when(F.col("s") >= x - 1e-12, F.col("k"))).alias(f"s{i}") for i, x in enumerate(shares)))
+    """Fewest keys whose n reach each share of the total, from the number of keys of each size."""
+    by = sizes.groupBy((-F.col(n)).alias("_by")).agg(F.count(key).alias("_keys"), F.sum(n).alias("_sum"))
+    total = by.agg(F.sum("_sum")).first()[0] or 0
+    run = running(by, [], "_by", "_sum").join(running(by, [], "_by", "_keys").select("_by", F.col("upto").alias("_upto_keys")), "_by")
+    need = lambda x: F.lit(x * total - 1e-12 * total)
+    # of the size that reaches the share, as many keys as still lack
+    keys = lambda x: F.min(F.when(F.col("upto") >= need(x), F.col("_upto_keys") - F.col("_keys") + F.greatest(F.lit(1), F.ceil((need(x) - F.col("upto") + F.col("_sum")) / -F.col("_by")))))
+    wide = run.agg(*(keys(x).cast("int").alias(f"s{i}") for i, x in enumerate(shares)))
     rows = F.explode(F.array(*(F.struct(F.lit(x).alias("share"), F.col(f"s{i}").alias("keys")) for i, x in enumerate(shares)))).alias("r")
     return wide.select(rows).select("r.share", "r.keys")
 
@@ -74,9 +104,9 @@ def classification(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def average_precision(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
     """One row: sum of precision times the step in recall over distinct scores, from counts by score."""
-    by = rows.groupBy(score.alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    by = rows.groupBy((-score).alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
+    run = running(by, [], "s", "p").select("s", "p", "n", F.col("upto").alias("tp"))
+    run = run.join(running(by, [], "s", "n").select("s", F.col("upto").alias("k")), "s")
     return run.agg((F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
 
 
@@ -85,22 +115,41 @@ def conformal(scores: DataFrame, calibration: Column, nonconformity: str, alpha:
     own = scores.where(calibration)
     n = own.count()
     level = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n) if n else 1.0
-    cut = own.agg(F.count(F.lit(1)).alias("n"), F.percentile(nonconformity, F.lit(level)).alias("threshold"))
+    cut = quantiles(own.withColumn("n", F.lit(n).cast("long")), "n", nonconformity, {"threshold": lambda m: F.lit(level) * (m - 1)})
     rest = scores.where(~calibration).join(F.broadcast(cut))
     return rest.groupBy("n", "threshold").agg(F.lit(level).alias("level"), F.avg((F.col(nonconformity) <= F.col("threshold")).cast("double")).alias("coverage"))
 
 
-def permutation_null(rows: DataFrame, a: str, b: str, ident: str, times: int) -> DataFrame:
-    """Cramer's V of column a against b re-paired by hash order, once a permutation: (perm, v).
+def _table_v(table: np.ndarray) -> float:
+    """Cramer's V of a table of counts."""
+    r, c, n = table.sum(1, keepdims=True), table.sum(0, keepdims=True), table.sum()
+    small = min(table.shape) - 1
+    return math.sqrt(max(0.0, float((table * table / (r * c)).sum()) - 1) / small) if small > 0 and n else 0.0
+
+
+def permutation_null(rows: DataFrame, a: str, b: str, times: int, seed: int = 17) -> DataFrame:
+    """One row: v of the columns, and mean, sd, max of v over ``times`` shuffles of one against the other; z, p = (k + 1) / (times + 1).
 
-    Both columns are ranked inside each permutation by different hashes of the id and joined on the rank.
+    A shuffle keeps both margins, so its table is a draw from the margins (hypergeometric row by row): a
+    draw costs the size of the table of categories, whatever the number of rows. Draws are tasks of their own.
     """
-    many = rows.select(ident, a, b).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    w = Window.partitionBy("perm")
-    left = many.select("perm", a, F.row_number().over(w.orderBy(ident)).alias("r"))
-    right = many.select("perm", b, F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", "perm", ident)), ident)).alias("r"))
-    cells = left.join(right, ["perm", "r"]).groupBy("perm", a, b).agg(F.count(F.lit(1)).alias("o"))
-    wa, wb = Window.partitionBy("perm", a), Window.partitionBy("perm", b)
-    q = cells.withColumn("q", F.col("o") * F.col("o") / (F.sum("o").over(wa) * F.sum("o").over(wb)))
-    ka, kb = rows.agg(F.countDistinct(a), F.countDistinct(b)).first()
-    return q.groupBy("perm").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum("q") - 1) / max(1, min(ka, kb) - 1)).alias("v"))
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    across = [r.n for r in cells.groupBy("a").agg(F.sum("n").alias("n")).orderBy("a").collect()]
+    down = [r.n for r in cells.groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").collect()]
+
+    def draw(batches):
+        for batch in batches:
+            vs = []
+            for i in batch.column("id").to_pylist():
+                rng, left, table = np.random.default_rng((seed, i)), np.array(down, np.int64), []
+                for k in across:
+                    table.append(rng.multivariate_hypergeometric(left, k, method="marginals"))
+                    left = left - table[-1]
+                vs.append(_table_v(np.array(table, float).reshape(len(across), len(down))))
+            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.float64())], ["v"])
+
+    drawn = rows.sparkSession.range(times).mapInArrow(draw, "v double")
+    own = cramers_v(rows, a, b).select("n", "v")
+    null = drawn.crossJoin(F.broadcast(own.select(F.col("v").alias("_own"))))  # one row
+    s = null.agg(F.count("v").alias("draws"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.max("v").alias("max"), F.count_if(F.col("v") >= F.col("_own")).alias("k"))
+    return own.crossJoin(s).select("n", "v", "draws", "mean", "sd", "max", ((F.col("v") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"), ((F.col("k") + 1) / (F.col("draws") + 1)).alias("p"))

@@ -22,14 +22,18 @@ def unit(v: Column) -> Column:
 def applicability(rows: DataFrame, ident: str, vector: str, fit: Column, q: float = 0.95, most: int = 40_000) -> DataFrame:
     """(id, distance, threshold, outside) of rows outside the fit set.
 
-    The fit set (at most ``most`` rows, in md5 order) is standardised by its own mean and population deviation and
-    sent to the tasks in one block. threshold: the q-quantile of its own nearest distances. Rows with
-    a missing component get nulls.
+    Rows are standardised by the mean and population deviation of all fit rows. Neighbours are sought among
+    at most ``most`` fit rows (the first in md5 order), which go to the tasks in one block. threshold: the
+    q-quantile of their own nearest distances. Rows with a missing component get nulls, as do all rows
+    where fewer than two fit rows are whole.
     """
     whole = F.forall(vector, lambda x: x.isNotNull()) & F.col(vector).isNotNull()
+    each = rows.where(fit & whole).select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
     own = rows.where(fit & whole).orderBy(F.md5(F.col(ident).cast("string").cast("binary")), ident).limit(most)
     known = np.array([r[0] for r in own.select(F.col(vector).cast("array<double>")).collect()])
-    mean, sd = known.mean(0), known.std(0)
+    if len(known) < 2:
+        return rows.where(~fit).select(ident, *(F.lit(None).cast(t).alias(c) for c, t in (("distance", "double"), ("threshold", "double"), ("outside", "boolean"))))
+    mean, sd = np.array([r.m for r in each]), np.array([r.s for r in each])
     sd[sd == 0] = 1.0
     z = (known - mean) / sd
     square = (z**2).sum(1)

@@ -21,13 +21,13 @@ _ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    def add(f):
+    def add(f, name: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-        _QUERIES[f.__name__] = run
+        _QUERIES[name or f.__name__] = run
         if sql:
-            _ORACLES[f.__name__] = sql
+            _ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -82,14 +82,19 @@ def edges(t) -> DataFrame:
     k = F.col("n_nationkey")
     x, y = 68 + (k % 5) * 5.5, 7 + F.floor(k / 5) * 6.0
 
-    def ring(a, b, w, h):
+    def ring(a, b, w, h, hole=False):
         corner = [(a, b), (a + w, b), (a + w, b + h), (a, b + h)]
+        corner = corner[::-1] if hole else corner  # a hole runs the other way, so that its area is taken off
         return [F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2")) for p, q in zip(corner, corner[1:] + corner[:1], strict=True)]
 
-    all_edges = F.array(*ring(x, y, F.lit(5.0), F.lit(5.5)), *ring(x + 1, y + 1, F.lit(1.0), F.lit(1.0)))
+    all_edges = F.array(*ring(x, y, F.lit(5.0), F.lit(5.5)), *ring(x + 1, y + 1, F.lit(1.0), F.lit(1.0), True))
     return t("nation").select(k.cast("long").alias("poly_id"), F.explode(all_edges).alias("e")).select("poly_id", "e.*")
 
 
+def areas(t) -> DataFrame:
+    return edges(t).groupBy("poly_id").agg(F.abs(F.sum(geo.edge_area_km2(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))).alias("km2"))
+
+
 def located(t) -> DataFrame:
     return spatial.inside(points(t), edges(t), 1.0)
 
@@ -226,18 +231,15 @@ _BOX_AREA = AREA.format(w="5.0e0", q2=_q("y0 + 5.5"), q1=_q("y0"))
 _HOLE_AREA = AREA.format(w="1.0e0", q2=_q("y0 + 2"), q1=_q("y0 + 1"))
 
 
-@query(f"SELECT poly_id, round({_BOX_AREA} + {_HOLE_AREA}, 2) AS km2 FROM {BOXES}")
+@query(f"SELECT poly_id, round({_BOX_AREA} - {_HOLE_AREA}, 2) AS km2 FROM {BOXES}")
 def area_km2(t):
-    a = edges(t).groupBy("poly_id").agg(F.abs(F.sum(geo.edge_area_km2(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))).alias("km2"))
-    return a.select("poly_id", F.round("km2", 2).alias("km2"))
+    return areas(t).select("poly_id", F.round("km2", 2).alias("km2"))
 
 
-@query(f"SELECT poly_id, count(id) AS n, round(1000.0e0 * count(id) / ({_BOX_AREA}), 3) AS per_1000_km2 FROM {BOXES} LEFT JOIN {POINTS} ON {INSIDE} GROUP BY poly_id, y0")
+@query(f"SELECT poly_id, count(id) AS n, round(1000.0e0 * count(id) / ({_BOX_AREA} - {_HOLE_AREA}), 3) AS per_1000_km2 FROM {BOXES} LEFT JOIN {POINTS} ON {INSIDE} GROUP BY poly_id, y0")
 def region_density(t):
-    outer = t("nation").select(F.col("n_nationkey").cast("long").alias("poly_id"), (7 + F.floor(F.col("n_nationkey") / 5) * 6.0).alias("y"))
-    area = F.lit(geo.A**2 / 2 / 1e6) * F.radians(F.lit(5.0)) * (geo.authalic_sine(F.col("y") + 5.5) - geo.authalic_sine(F.col("y")))
     n = located(t).groupBy("poly_id").agg(F.count("id").alias("n"))
-    out = outer.join(n, "poly_id", "left").select("poly_id", F.nvl("n", F.lit(0)).alias("n"), area.alias("a"))
+    out = areas(t).join(n, "poly_id", "left").select("poly_id", F.nvl("n", F.lit(0)).alias("n"), F.col("km2").alias("a"))
     return out.select("poly_id", "n", F.round(1000.0 * F.col("n") / F.nullif("a", F.lit(0.0)), 3).alias("per_1000_km2"))
 
 
@@ -267,14 +269,15 @@ def space_time_match_curve(t):
     return spatial.matched_share(p.where("event_type = 'click'").select("id", "day", "lon", "lat"), p.where("event_type = 'view'").select("id", "day", "lon", "lat"), "day", [5000, 10000, 20000, 40000])
 
 
-_G = "(2 * pi() / 365 * (dayofyear(ts) - 1 + (hour(ts) - 12) / 24.0e0))"
+SUN_HOUR = "(hour(ts) + minute(ts) / 60.0e0 + CAST(floor(second(ts)) AS BIGINT) / 3600.0e0)"
+_G = f"(2 * pi() / 365 * (dayofyear(ts) - 1 + ({SUN_HOUR} - 12) / 24.0e0))"
 _DECL = "(0.006918e0 - 0.399912e0*cos(g) + 0.070257e0*sin(g) - 0.006758e0*cos(2*g) + 0.000907e0*sin(2*g) - 0.002697e0*cos(3*g) + 0.00148e0*sin(3*g))"
 _EQT = "(229.18e0 * (0.000075e0 + 0.001868e0*cos(g) - 0.032077e0*sin(g) - 0.014615e0*cos(2*g) - 0.040849e0*sin(2*g)))"
 
 
-@query(f"""SELECT id, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin({_DECL}) + cos(radians(lat)) * cos({_DECL}) * cos(radians((hour(ts) * 60 + {_EQT} + 4 * lon) / 4 - 180)))))), 4) AS zenith FROM (SELECT *, {_G} AS g FROM {POINTS})""")
+@query(f"""SELECT id, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin({_DECL}) + cos(radians(lat)) * cos({_DECL}) * cos(radians(({SUN_HOUR} * 60 + {_EQT} + 4 * lon) / 4 - 180)))))), 4) AS zenith FROM (SELECT *, {_G} AS g FROM {POINTS})""")
 def solar_zenith(t):
-    return points(t).select("id", F.round(geo.solar_zenith_deg(F.dayofyear("ts"), F.hour("ts"), F.col("lon"), F.col("lat")), 4).alias("zenith"))
+    return points(t).select("id", F.round(geo.solar_zenith_deg(F.dayofyear("ts"), F.hour("ts") + F.minute("ts") / 60.0 + F.second("ts") / 3600.0, F.col("lon"), F.col("lat")), 4).alias("zenith"))
 
 
 @query(f"""SELECT id, round(6378137.0e0 * radians(lon - 82.5), 3) AS x, round(6378137.0e0 * (ln(tan(radians(lat) / 2 + pi() / 4)) + 0.0818191908426215e0 / 2 * ln((1 - 0.0818191908426215e0 * sin(radians(lat))) / (1 + 0.0818191908426215e0 * sin(radians(lat))))), 3) AS y, round(lon, 6) AS lon_again, round(lat, 6) AS lat_again FROM {POINTS}""")
@@ -291,35 +294,36 @@ def cell_and_tile_keys(t):
     return points(t).groupBy(geo.cell(F.col("lon"), 0.005).alias("cell_x"), geo.cell(F.col("lat"), 0.005).alias("cell_y"), tile.alias("tile")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_GRID = """px AS (SELECT l_linenumber AS granule, CAST(l_orderkey // 40 AS BIGINT) AS "row", CAST(l_orderkey % 40 AS BIGINT) AS "col", 280 + (l_orderkey * 7919 + l_linenumber * 31) % 400 / 10.0e0 AS mir, 280 + (l_orderkey * 104729 + l_linenumber * 17) % 300 / 10.0e0 AS tir1 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_orderkey < 1600 AND l_linenumber <= 2)"""
+# tenths of a kelvin as whole numbers, so that every comparison is exact
+_GRID = """px AS (SELECT l_linenumber AS granule, CAST(l_orderkey // 40 AS BIGINT) AS "row", CAST(l_orderkey % 40 AS BIGINT) AS "col", 2800 + (l_orderkey * 7919 + l_linenumber * 31) % 400 AS mir, 2800 + (l_orderkey * 104729 + l_linenumber * 17) % 300 AS tir1 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))"""
 
 
-def pixels(t, where: str = "l_orderkey < 1600 and l_linenumber <= 2") -> DataFrame:
+def pixels(t) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    own = t("lineitem").select("l_orderkey", "l_linenumber").where(where).distinct()
-    return own.select(n.alias("granule"), F.floor(k / 40).alias("row"), (k % 40).alias("col"), (280 + (k * 7919 + n * 31) % 400 / 10.0).alias("mir"), (280 + (k * 104729 + n * 17) % 300 / 10.0).alias("tir1"))
+    own = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return own.select(n.alias("granule"), F.floor(k / 40).alias("row"), (k % 40).alias("col"), (2800 + (k * 7919 + n * 31) % 400).alias("mir"), (2800 + (k * 104729 + n * 17) % 300).alias("tir1"))
 
 
 def _bg(name: str, expr: str) -> str:
-    return f"""n_{name} AS (SELECT c.granule, c."row", c."col", {expr} AS x FROM cand c JOIN px p ON p.granule = c.granule AND p."row" = greatest(0, least(c.rows, c."row" + c.dr)) AND p."col" = greatest(0, least(c.cols, c."col" + c.dc))),
-m_{name} AS (SELECT granule, "row", "col", median(x) AS bg FROM n_{name} GROUP BY ALL), b_{name} AS (SELECT granule, "row", "col", bg, median(abs(x - bg)) AS mad FROM n_{name} JOIN m_{name} USING (granule, "row", "col") GROUP BY ALL)"""
+    return f"""m_{name} AS (SELECT granule, "row", "col", median({expr}) AS bg FROM near GROUP BY ALL), b_{name} AS (SELECT granule, "row", "col", bg, median(abs({expr} - bg)) AS mad FROM near JOIN m_{name} USING (granule, "row", "col") GROUP BY ALL)"""
 
 
-@query(f"""
+_DETECTED = f"""
 WITH {_GRID}, ext AS (SELECT granule, max("row") AS rows, max("col") AS cols FROM px GROUP BY 1),
-cand AS (SELECT px.*, rows, cols, a.i AS dr, b.i AS dc FROM px JOIN ext USING (granule), range(-2, 3) a(i), range(-2, 3) b(i) WHERE mir > 300),
-{_bg("mir", "p.mir")}, {_bg("diff", "p.mir - p.tir1")}, {_bg("tir", "p.tir1")}
-SELECT px.granule, px."row", px."col", px.mir, round(b_mir.bg, 6) AS bg_mir, round(b_diff.bg, 6) AS bg_diff, round(b_tir.bg, 6) AS bg_tir1 FROM px JOIN b_mir USING (granule, "row", "col") JOIN b_diff USING (granule, "row", "col") JOIN b_tir USING (granule, "row", "col")
-WHERE mir > 300 AND mir > b_mir.bg + greatest(4, 3 * b_mir.mad) - 1e-9 AND mir - tir1 > b_diff.bg + greatest(4, 3 * b_diff.mad) - 1e-9 AND tir1 - b_tir.bg >= -1 - 1e-9""")
+cand AS (SELECT px.granule, px."row", px."col", greatest(0, least(rows, px."row" + a.i)) AS r, greatest(0, least(cols, px."col" + b.i)) AS c FROM px JOIN ext USING (granule), range(-2, 3) a(i), range(-2, 3) b(i) WHERE mir > 3000),
+near AS (SELECT c.granule, c."row", c."col", p.mir AS m, p.tir1 AS t FROM cand c JOIN px p ON p.granule = c.granule AND p."row" = c.r AND p."col" = c.c),
+{_bg("mir", "m")}, {_bg("diff", "(m - t)")}, {_bg("tir", "t")}
+SELECT px.granule, px."row", px."col", round(px.mir / 10, 6) AS mir, round(b_mir.bg / 10, 6) AS bg_mir, round(b_diff.bg / 10, 6) AS bg_diff, round(b_tir.bg / 10, 6) AS bg_tir1 FROM px JOIN b_mir USING (granule, "row", "col") JOIN b_diff USING (granule, "row", "col") JOIN b_tir USING (granule, "row", "col")
+WHERE mir > 3000 AND mir > b_mir.bg + greatest(40, 3 * b_mir.mad) AND mir - tir1 > b_diff.bg + greatest(40, 3 * b_diff.mad) AND tir1 - b_tir.bg >= -10"""
+
+
+@query(_DETECTED)
 def contextual_detector(t):
-    """On the corner of the grid that the SQL names; ``contextual_detector_whole`` takes all of it."""
-    return rounded(raster.detect(pixels(t), margin=4.0 - 1e-9, spread=3.0, deficit=-1.0 - 1e-9, radius=2))
+    out = raster.detect(pixels(t), floor=3000, margin=40.0, spread=3.0, deficit=-10.0, radius=2)
+    return rounded(out.select("granule", "row", "col", *((F.col(c) / 10).alias(c) for c in ("mir", "bg_mir", "bg_diff", "bg_tir1"))))
 
 
-@query()
-def contextual_detector_whole(t):
-    """All order keys and granules; tested by brute force."""
-    return rounded(raster.detect(pixels(t, "true"), margin=4.0 - 1e-9, spread=3.0, deficit=-1.0 - 1e-9, radius=2))
+query(_DETECTED)(lambda t: contextual_detector(t), "contextual_detector_whole")  # the name of the same query in the round before
 
 
 # ---- labels, bands, features ----------------------------------------------------------------------------------
@@ -473,12 +477,8 @@ def cramers_v(t):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(quantile_cont(value, 0.9), 6) AS linear, round(max(value) FILTER (WHERE r = ceil(0.9e0 * (n - 1))), 6) AS higher, round(max(value) FILTER (WHERE r = n // 2), 6) AS upper_median, round(median(value), 6) AS middle FROM r GROUP BY 1""")
 def quantile_rules(t):
-    e = t("events")
-    upper = Window.partitionBy("event_type")
-    mid = e.select("event_type", "value", (F.row_number().over(upper.orderBy("value")) - 1).alias("r"), F.floor(F.count(F.lit(1)).over(upper) / 2).alias("m")).where("r = m").select("event_type", F.col("value").alias("upper_median"))
-    high = stats.higher_quantile(e, "event_type", "value", 0.9).withColumnRenamed("value", "higher")
-    base = e.groupBy("event_type").agg(F.percentile("value", 0.9).alias("linear"), F.median("value").alias("middle"))
-    return rounded(base.join(high, "event_type").join(mid, "event_type"))
+    q = stats.quantiles(t("events"), "event_type", "value", {"linear": lambda n: 0.9 * (n - 1), "higher": lambda n: F.ceil(0.9 * (n - 1)), "upper_median": lambda n: F.floor(n / 2), "middle": lambda n: (n - 1) / 2})
+    return rounded(q)
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS votes, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) SELECT user_id, event_type, votes FROM c WHERE r = 1""")
@@ -521,8 +521,8 @@ def conformal_threshold(t):
 
 @query()
 def permutation_null(t):
-    """Chance level of the association; draws are by hash, so another engine's cannot be equal."""
-    return stats.permutation_null(t("events").withColumn("hour", F.hour("ts")), "event_type", "hour", "event_id", 20)
+    """Chance level of the association from 300 shuffles; another engine's draws cannot be equal."""
+    return rounded(stats.permutation_null(t("events").withColumn("hour", F.hour("ts")), "event_type", "hour", 300))
 
 
 # ---- samples, sets, planning ---------------------------------------------------------------------------------------
@@ -592,10 +592,10 @@ def interval_plan(t):
     return T.plan_windows(w, F.broadcast(a)).select("win", "source", "start", "end", F.col("days").cast("long").alias("days"))  # a row a source
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 DAY AS DATE) AS e FROM orders) SELECT o_orderkey FROM (SELECT o_orderkey, s, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o) WHERE p >= s""")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 DAY AS DATE) AS e FROM orders) SELECT o_orderkey FROM (SELECT o_orderkey, s, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o) WHERE p >= s""")
 def overlap_check(t):
     o = t("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 20).alias("e"))
-    return T.overlaps(o, "o_custkey", "s", "e").select("o_orderkey")
+    return T.overlaps(o, "o_custkey", "s", "e", "o_orderkey").select("o_orderkey")
 
 
 # ---- clusters, vectors, text ------------------------------------------------------------------------------------------
@@ -613,16 +613,23 @@ def eps_components(t):
     return cluster.single_link(sites(t), cluster.eps_edges(sites(t), 15000, 0.2))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT * FROM {_SUB}), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND b.lon BETWEEN a.lon - 0.55e0 AND a.lon + 0.55e0 AND b.lat BETWEEN a.lat - 0.55e0 AND a.lat + 0.55e0 AND {_distance("a.lon", "a.lat", "b.lon", "b.lat")} <= 45000),
+w AS (SELECT id AS v, id AS c FROM p UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v), own AS (SELECT v AS id, min(c) AS cluster FROM w GROUP BY 1),
+m AS (SELECT cluster, count(*) AS size, avg(lon) AS mid_lon, avg(lat) AS mid_lat FROM own JOIN p USING (id) GROUP BY 1 HAVING count(*) >= 5)
+SELECT cluster, size, round(mid_lon, 3) AS mid_lon, round(mid_lat, 3) AS mid_lat, round(max({_haversine("lon", "lat", "mid_lon", "mid_lat")}), 3) AS spread_m FROM own JOIN p USING (id) JOIN m USING (cluster) GROUP BY ALL""")
 def cluster_summary(t):
-    """Clusters with their size, centre and spread (m): the largest first in (size, id)."""
-    own = cluster.single_link(sites(t), cluster.eps_edges(sites(t), 60000, 0.8)).join(sites(t), "id")
-    mid = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("lon").alias("mid_lon"), F.avg("lat").alias("mid_lat"))
+    """Clusters of five or more with their size, centre and spread (m)."""
+    own = cluster.single_link(sites(t), cluster.eps_edges(sites(t), 45000, 0.55)).join(sites(t), "id")
+    mid = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("lon").alias("mid_lon"), F.avg("lat").alias("mid_lat")).where("size >= 5")
     far = own.join(mid, "cluster").groupBy("cluster", "size", "mid_lon", "mid_lat").agg(F.max(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("mid_lon"), F.col("mid_lat"))).alias("spread_m"))
     return rounded(far, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT * FROM {_SUB}), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND b.lon BETWEEN a.lon - 0.4e0 AND a.lon + 0.4e0 AND b.lat BETWEEN a.lat - 0.4e0 AND a.lat + 0.4e0 AND {_distance("a.lon", "a.lat", "b.lon", "b.lat")} <= 30000),
+core AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) + 1 >= 4), ce AS (SELECT e.a, e.b FROM e JOIN core x ON x.id = e.a JOIN core y ON y.id = e.b),
+w AS (SELECT id AS v, id AS c FROM core UNION SELECT ce.b, w.c FROM w JOIN ce ON ce.a = w.v), own AS (SELECT v AS id, min(c) AS cluster FROM w GROUP BY 1),
+border AS (SELECT e.a AS id, min(own.cluster) AS near FROM e JOIN own ON own.id = e.b GROUP BY 1)
+SELECT p.id, coalesce(own.cluster, border.near) AS cluster FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN border ON border.id = p.id""")
 def dbscan_clusters(t):
     return cluster.dbscan(sites(t), cluster.eps_edges(sites(t), 30000, 0.4), 4)
 
@@ -633,7 +640,12 @@ def l2_normalise(t):
     return t("embeddings").select("vec_id", F.round(vectors.dot(v, v), 4).alias("square"), F.round(vectors.unit(v)[0], 6).alias("first"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL), f AS (SELECT * FROM v WHERE vec_id % 2 = 0),
+u AS (SELECT vec_id, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM f), m AS (SELECT list(a ORDER BY i) AS mean, list(CASE WHEN d = 0 THEN 1 ELSE d END ORDER BY i) AS sd FROM (SELECT i, avg(y) AS a, stddev_pop(y) AS d FROM u GROUP BY 1)),
+z AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: (x[i] - mean[i]) / sd[i]) AS z FROM v, m),
+own AS (SELECT a.vec_id, min(list_distance(a.z, b.z)) AS d FROM z a JOIN z b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 0 AND a.vec_id <> b.vec_id GROUP BY 1), k AS (SELECT quantile_cont(d, 0.95) AS t FROM own),
+far AS (SELECT a.vec_id, min(list_distance(a.z, b.z)) AS d FROM z a JOIN z b ON a.vec_id % 2 <> 0 AND b.vec_id % 2 = 0 GROUP BY 1)
+SELECT e.vec_id, round(d, 6) AS distance, round(t, 6) AS threshold, d > t AS outside FROM embeddings e CROSS JOIN k LEFT JOIN far ON far.vec_id = e.vec_id WHERE e.vec_id % 2 <> 0""")
 def knn_applicability(t):
     return rounded(vectors.applicability(t("embeddings"), "vec_id", "embedding", F.col("vec_id") % 2 == 0))
 

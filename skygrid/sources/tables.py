@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
 from skygrid.functions.scalars import acquisition_instant, confidence_band, local_clock
 
@@ -74,18 +75,18 @@ def plan_windows(windows: DataFrame, available: DataFrame) -> DataFrame:
     return out.withColumn("days", F.datediff("end", "start") + 1)
 
 
-def overlaps(segments: DataFrame, sensor: str, start: str, end: str) -> DataFrame:
-    """Segments that start before the one before them, of the same sensor, has ended."""
-    before = F.max(end).over(Window.partitionBy(sensor).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+def overlaps(segments: DataFrame, sensor: str, start: str, end: str, ident: str) -> DataFrame:
+    """Segments that start before one before them, of the same sensor in the order (start, end, ident), has ended."""
+    before = F.max(end).over(Window.partitionBy(sensor).orderBy(start, end, ident).rowsBetween(Window.unboundedPreceding, -1))
     return segments.withColumn("_e", before).where(F.col("_e") >= F.col(start)).drop("_e")
 
 
 def granule_instant(name: Column) -> Column:
-    """UTC instant in a name such as 3SIMG_02NOV2024_0741_L1B.h5, null if there is none."""
+    """UTC instant in a name such as 3SIMG_02NOV2024_0741_L1B.h5, null if there is none; a date or month that does not exist raises."""
     m = lambda g: F.regexp_extract(name, r"_(\d{2})([A-Z]{3})(\d{4})_(\d{4})_", g)
-    month = F.floor((F.instr(F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"), m(2)) + 2) / 3)
-    date = F.try_to_date(F.concat_ws("-", m(3), F.lpad(month.cast("string"), 2, "0"), m(1)))
-    return F.when(m(2) != "", acquisition_instant(date, m(4).try_cast("int")))
+    date = F.to_date(F.try_to_timestamp(F.concat_ws("-", m(1), F.initcap(m(2)), m(3)), F.lit("dd-MMM-yyyy")))
+    known = F.when(date.isNull(), F.raise_error(F.concat(F.lit("no such date: "), name))).otherwise(date)
+    return F.when(m(2) != "", acquisition_instant(known, m(4).try_cast("int")))
 
 
 def coordinates(text: Column) -> Column:
@@ -102,11 +103,26 @@ def json_paths(text: Column, keys: list[str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.get_json_object(text, f"$.{k}") for k in keys)))
 
 
+def _not_finite(c: Column, kind: DataType) -> Column | None:
+    """Whether a value of that type holds a float that is not a finite number; None if it cannot."""
+    if isinstance(kind, FloatType | DoubleType):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, ArrayType) and _not_finite(F.lit(0.0), kind.elementType) is not None:
+        return F.coalesce(F.exists(c, lambda x: _not_finite(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, MapType):
+        return _not_finite(F.map_values(c), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        inner = [b for f in kind.fields if (b := _not_finite(c.getField(f.name), f.dataType)) is not None]
+        return reduce(Column.__or__, inner) if inner else None
+    return None
+
+
 def finite(df: DataFrame) -> DataFrame:
-    """df, with an error at run time where a double is not a finite number."""
-    bad = [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c, t in df.dtypes if t == "double"]
-    for b in bad:
-        df = df.where(F.when(b, F.raise_error(F.lit("not a finite number"))).otherwise(F.lit(True)))
+    """df, with an error at run time where a float or double, also inside an array, a map or a struct, is not a finite number."""
+    for f in df.schema.fields:
+        bad = _not_finite(F.col(f"`{f.name}`"), f.dataType)
+        if bad is not None:
+            df = df.where(F.when(bad, F.raise_error(F.lit(f"not a finite number in {f.name}"))).otherwise(F.lit(True)))
     return df
 
 

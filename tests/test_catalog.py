@@ -2,7 +2,6 @@
 
 import glob
 import os
-from statistics import median
 
 import duckdb
 import pytest
@@ -51,22 +50,45 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
-def test_contextual_detector_takes_the_whole_grid(spark, duck):
-    px = {}
-    for k, n in duck.execute("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem").fetchall():
-        px[n, k // 40, k % 40] = (280 + (k * 7919 + n * 31) % 400 / 10.0, 280 + (k * 104729 + n * 17) % 300 / 10.0)
-    ends = {g: (max(r for h, r, _ in px if h == g), max(c for h, _, c in px if h == g)) for g in {g for g, _, _ in px}}
-    wanted = {}
-    for (g, r, c), (mir, tir) in px.items():
-        if mir > 300:
-            at = [(g, max(0, min(ends[g][0], r + i)), max(0, min(ends[g][1], c + j))) for i in range(-2, 3) for j in range(-2, 3)]
-            near = [px[a] for a in at if a in px]
-            bg, mad = [], []
-            for f in (lambda p: p[0], lambda p: p[0] - p[1], lambda p: p[1]):
-                bg.append(median(map(f, near)))
-                mad.append(median(abs(f(p) - bg[-1]) for p in near))
-            if mir > bg[0] + max(4, 3 * mad[0]) - 1e-9 and mir - tir > bg[1] + max(4, 3 * mad[1]) - 1e-9 and tir - bg[2] >= -1 - 1e-9:
-                wanted[g, r, c] = (mir, *bg)
-    got = {(x["granule"], x["row"], x["col"]): (x["mir"], x["bg_mir"], x["bg_diff"], x["bg_tir1"]) for x in catalog.queries()["contextual_detector_whole"](spark, DATA).collect()}
-    assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], abs=2e-6) for k in got)
-    assert {g for g, _, _ in got} - {1, 2}
+def test_permutation_null_against_shuffles(spark):
+    import random
+    import statistics
+
+    import numpy as np
+
+    from skygrid.operators import stats
+
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.choice(range(5))) for _ in range(400)]
+    got = stats.permutation_null(spark.createDataFrame(rows, "x string, y int"), "x", "y", 300).first()
+    a, b = [x for x, _ in rows], [y for _, y in rows]
+
+    def v(a, b):
+        table = np.zeros((3, 5))
+        for x, y in zip(a, b, strict=True):
+            table["abc".index(x), y] += 1
+        return stats._table_v(table)
+
+    draws = []
+    for _ in range(300):
+        rng.shuffle(b)
+        draws.append(v(a, b))
+    assert got.draws == 300 and got.n == 400 and got.v == pytest.approx(v([x for x, _ in rows], [y for _, y in rows]))
+    assert got["mean"] == pytest.approx(statistics.mean(draws), rel=0.1) and got.sd == pytest.approx(statistics.pstdev(draws), rel=0.25)
+    assert got.z == pytest.approx((got.v - got["mean"]) / got.sd) and 1 / 301 <= got.p <= 1
+
+
+def test_names_of_granules_and_finite_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from skygrid.sources import tables
+
+    good = spark.createDataFrame([("3SIMG_02NOV2024_0741_L1B.h5",), ("other",)], "f string")
+    assert [str(r[0]) for r in good.select(tables.granule_instant(F.col("f"))).collect()] == ["2024-11-02 07:41:00", "None"]
+    with pytest.raises(Exception, match="no such date"):
+        spark.createDataFrame([("3SIMG_02ANF2024_0741_L1B.h5",)], "f string").select(tables.granule_instant(F.col("f"))).collect()
+    nested = "a array<struct<x: float>>, m map<string, double>, s struct<y: array<double>>, n int"
+    assert tables.finite(spark.createDataFrame([([(1.0,)], {"k": 1.0}, ([2.0, None],), 1), (None, None, None, None)], nested)).count() == 2
+    for bad in (([(float("nan"),)], {}, ([],), 1), ([], {"k": float("inf")}, ([],), 1), ([], {}, ([float("-inf")],), 1)):
+        with pytest.raises(Exception, match="not a finite number"):
+            tables.finite(spark.createDataFrame([bad], nested)).collect()
