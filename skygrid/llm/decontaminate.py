@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash windows.
 
 For each benchmark item, the windows of a document as long as the item (in words) that share a
-shingle with it get 64-bit SimHashes. A multi-index of ``radius + 1`` bit blocks finds every item
-fingerprint within the radius (two fingerprints that differ in at most ``radius`` bits agree on a
-block). What it finds is verified by exact similarity of the shingles weighted by their counts.
+shingle with it get 64-bit SimHashes. A multi-index of bit blocks finds every item fingerprint within
+the radius: two that differ in at most RADIUS bits differ in one of BLOCKS blocks by at most
+RADIUS // BLOCKS, and all values that near are looked up; about one in twenty unrelated fingerprints
+passes. What it finds is verified by exact similarity of the shingles weighted by their counts.
 
 The items are a stated query set: they are read in blocks of bounded size, each sent to all tasks.
 """
@@ -11,6 +12,7 @@ The items are a stated query set: they are read in blocks of bounded size, each
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,9 @@ from skygrid.llm.common import lower_words, mix, shingles, small_batches, table
 
 #: Items sent to the tasks at a time.
 ITEMS = 5_000
-RADIUS = 24
+#: Bits in which fingerprints may differ, and blocks: two within the radius differ in a block by RADIUS // BLOCKS at most.
+#: At similarity 0.8 fingerprints differ in about 10 bits (standard deviation 2.9).
+RADIUS, BLOCKS = 14, 5
 
 
 def simhashes(tokens: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
@@ -33,10 +37,15 @@ def simhashes(tokens: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     return np.packbits(run[starts - lo + m] - run[starts - lo] > 0, axis=1).view(np.uint64).ravel()
 
 
-def blocks(radius: int) -> list[tuple[np.uint64, np.uint64]]:
-    """(shift, mask) of radius + 1 runs of bits that cover all 64."""
-    edge = np.linspace(0, 64, radius + 2).round().astype(int)
-    return [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edge, edge[1:], strict=False)]
+def blocks(count: int = BLOCKS) -> list[tuple[int, int]]:
+    """(shift, bits) of runs of bits that cover all 64."""
+    edge = np.linspace(0, 64, count + 1).round().astype(int).tolist()
+    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def flips(bits: int, most: int) -> np.ndarray:
+    """All numbers of so many bits with at most ``most`` of them set."""
+    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.int64)
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -46,31 +55,50 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 class ItemIndex:
-    """Items of one word count n: shingles, fingerprints and the multi-index over them."""
+    """Items of one word count n: shingles, fingerprints and the multi-index over them.
+
+    A block's table lists the items by their value of the block; a search looks up all values that differ
+    from the window's in at most RADIUS // BLOCKS bits.
+    """
 
-    def __init__(self, n: int, k: int, radius: int, items: list[tuple[int, np.ndarray]]):
-        self.n, self.m, self.items, self.blocks, self.radius = n, max(1, n - k + 1), items, blocks(radius), radius
+    def __init__(self, n: int, k: int, items: list[tuple[int, np.ndarray]]):
+        self.n, self.m, self.items = n, max(1, n - k + 1), items
         self.prints = np.array([simhashes(s, np.zeros(1, np.int64), self.m)[0] for _, s in items], np.uint64)
         self.weights = [Counter(s.tolist()) for _, s in items]
-        self.table = [defaultdict(list) for _ in self.blocks]
-        for i, f in enumerate(self.prints):
-            for t, (shift, mask) in zip(self.table, self.blocks, strict=True):
-                t[int((f >> shift) & mask)].append(i)
-
-    def near(self, f: np.uint64) -> list[tuple[int, int]]:
-        """(item, Hamming distance) of all fingerprints within the radius."""
+        self.tables = []
+        for shift, bits in blocks():
+            value = ((self.prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            order = np.argsort(value, kind="stable")
+            self.tables.append((shift, bits, flips(bits, RADIUS // BLOCKS), order, np.searchsorted(value[order], np.arange((1 << bits) + 1)).astype(np.int32)))
+
+    def candidates(self, prints: np.ndarray) -> list[tuple[int, int]]:
+        """(place in prints, item) of the pairs that are near in a block."""
         found = set()
-        for t, (shift, mask) in zip(self.table, self.blocks, strict=True):
-            found.update(t.get(int((f >> shift) & mask), ()))
-        return [(i, d) for i in found if (d := int(np.bitwise_count(self.prints[i] ^ f))) <= self.radius]
-
-
-def _finder(items: list[tuple[int, list[bytes]]], k: int, similarity: float, radius: int):
+        for shift, bits, flip, order, first in self.tables:
+            probe = ((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)[:, None] ^ flip
+            row, at = np.nonzero(first[probe + 1] > first[probe])
+            for r, v in zip(row.tolist(), probe[row, at].tolist(), strict=True):
+                found.update((r, i) for i in order[first[v] : first[v + 1]].tolist())
+        return sorted(found)
+
+    def near(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place in prints, item, Hamming distance) of all fingerprints within the radius."""
+        out = []
+        for at in range(0, len(prints), 4096):
+            pairs = self.candidates(prints[at : at + 4096])
+            if pairs:
+                w, i = np.array(pairs).T
+                d = np.bitwise_count(prints[at + w] ^ self.prints[i])
+                out += [(at + x, y, z) for x, y, z in zip(w.tolist(), i.tolist(), d.tolist(), strict=True) if z <= RADIUS]
+        return out
+
+
+def _finder(items: list[tuple[int, list[bytes]]], k: int, similarity: float):
     by_length = defaultdict(list)
     for item, words in items:
         if words:
             by_length[len(words)].append((item, shingles(words, min(len(words), k))))  # hashed as find does
-    index = {n: ItemIndex(n, k, radius, own) for n, own in by_length.items()}
+    index = {n: ItemIndex(n, k, own) for n, own in by_length.items()}
     seeds = {}  # words of a shingle: sorted shingles, and the word counts of the items that have each
     for kk in {min(n, k) for n in index}:
         where = defaultdict(set)
@@ -101,24 +129,26 @@ def _finder(items: list[tuple[int, list[bytes]]], k: int, similarity: float, rad
                 if not len(p):
                     continue
                 for part in np.split(p, np.flatnonzero(np.diff(p) > 4 * n) + 1):
-                    for start, f in zip(part.tolist(), simhashes(own, part, x.m), strict=True):
-                        near = x.near(f)
-                        if near:
-                            weights = Counter(own[start : start + x.m].tolist())
-                            for i, d in near:
-                                s = weighted_similarity(weights, x.weights[i])
-                                if s >= similarity and (s, -start, n, d) > best.get(x.items[i][0], (-1.0,)):
-                                    best[x.items[i][0]] = (s, -start, n, d)
+                    weights: dict[int, Counter] = {}
+                    for w, i, d in x.near(simhashes(own, part, x.m)):
+                        start = int(part[w])
+                        if w not in weights:
+                            weights[w] = Counter(own[start : start + x.m].tolist())
+                        s = weighted_similarity(weights[w], x.weights[i])
+                        if s >= similarity and (s, -start, n, d) > best.get(x.items[i][0], (-1.0,)):
+                            best[x.items[i][0]] = (s, -start, n, d)
         return best
 
     return find
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document and item found in it: (doc_id, item_id, start_word, n_words, hamming, similarity), the best window.
 
-    Null or empty texts match nothing, on either side; an item of fewer than k words is one shingle.
-    Rows that repeat a document or an item each count. Empty tables give an empty one.
+    Null or empty texts match nothing, on either side; an item of fewer than k words is one shingle. Texts
+    are searched whole, however long; of windows of equal similarity the first counts. A document stored
+    twice gives its rows twice; rows that repeat an item_id are one item with several texts, and give one row.
+    Empty tables give an empty one; extra columns take no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -130,7 +160,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float
         own = spark.sparkContext.broadcast([(r.item_id, lower_words(r.text)) for r in rows])
 
         def run(batches, own=own):
-            find = _finder(own.value, k, similarity, radius)
+            find = _finder(own.value, k, similarity)
             for batch in batches:
                 found = [(d, i, -p, n, h, s) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, (s, p, n, h) in find(t).items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()], strict=True)], ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])

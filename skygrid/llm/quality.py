@@ -82,8 +82,9 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3, pairs:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> PairwiseModel:
     """Fit on rows of labels (doc_id, quality) that are not null.
 
-    Beyond max_rows labels, those with the smallest hash of doc_id are used. Without both classes,
-    every weight is 0 and every document scores above the threshold.
+    Beyond max_rows labels, those with the smallest hash of doc_id are used. A doc_id labelled twice counts as
+    good if one label says so; of rows that repeat a doc_id one counts. Without both classes (an
+    empty table, say), every weight is 0 and every document scores above the threshold.
     """
     own = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     share = max_rows / max(1, own.count())
@@ -91,12 +92,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     own = own.limit(2 * max_rows)
     docs = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(own), "doc_id")
-    rows = docs.select("_quality", F.array(*features(F.col("_text"))).alias("x")).collect()
-    x = np.array([r.x for r in rows], float).reshape(len(rows), -1)
+    each = docs.select("doc_id", "_quality", F.array(*features(F.col("_text"))).alias("x"))
+    rows = each.groupBy("doc_id", "_quality").agg(F.max("x").alias("x")).collect()
+    width = len(features(F.lit("")))
+    x = np.array([r.x for r in rows], float).reshape(len(rows), width)
     y = np.array([r["_quality"] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
-        k = len(features(F.lit("")))
-        return PairwiseModel((0.0,) * k, (1.0,) * k, (0.0,) * k, -1.0, threshold)
+        return PairwiseModel((0.0,) * width, (1.0,) * width, (0.0,) * width, -1.0, threshold)
     mean, sd = x.mean(0), x.std(0)
     sd[sd < 1e-9] = 1.0
     z = (x - mean) / sd
@@ -110,8 +112,11 @@ def held_out(doc_id: Column, modulus: int = 5, remainder: int = 0) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def classify(docs: DataFrame, model: PairwiseModel) -> DataFrame:
-    """docs with columns score (0 to 1) and predicted (1: keep). Null and empty texts are scored like any other."""
-    text = docs["text"]
-    taken = docs.drop("score", "predicted")
-    return taken.withColumn("score", model.score(text)).withColumn("predicted", (F.col("score") >= model.threshold).cast("int"))
+def classify(docs: DataFrame, model: PairwiseModel, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with columns score (0 to 1) and predicted (1: keep). Null and empty texts are scored like any other.
+
+    ``names`` call the two columns; input columns of those names are replaced, all others are kept. Repeated
+    rows give equal rows, an empty table an empty one.
+    """
+    kept = docs.drop(*names)
+    return kept.withColumn(names[0], model.score(docs["text"])).withColumn(names[1], (F.col(names[0]) >= model.threshold).cast("int"))

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from skygrid.llm.common import mix, rolling, sliding_min, table, word_hashes, words_of
+from skygrid.llm.common import by_key, mix, rolling, sliding_min, table, word_hashes, words_of
 
-#: Occurrences from which a key is hot; there are at most HOT_KEYS of them.
-HOT, HOT_KEYS = 20_000, 500_000
+#: Occurrences above which a key is hot, at any size of the corpus.
+HOT = 20_000
 #: Keys and strings that a partition adds up before it sends them on; bounds its memory.
 BLOCK_KEYS, BLOCK_STRINGS = 2_000_000, 150_000
 #: Windows handled at a time, so that a very long text is cut into overlapping parts.
@@ -83,9 +83,9 @@ class Units:
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, th) of docs, th a hash of the text (null: empty)."""
+    """(doc_id, text, th) of docs, th a 64-bit hash of the text (null: empty)."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("th"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -113,13 +113,13 @@ def repeated_keys(docs: DataFrame, units: Units) -> DataFrame:
             start = np.flatnonzero(np.diff(key, prepend=~key[:1]))
             total = np.add.reduceat(count, start)
             many = np.repeat(total > 1, np.diff(start, append=len(key)))
-            ids, ths = [h[2] for h in held], np.array([h[3] for h in held], np.int32)
+            ids, ths = [h[2] for h in held], np.array([h[3] for h in held], np.int64)
             for at in range(0, len(key), 100_000):
                 part = slice(at, at + 100_000)
                 k, d, m = key[part], doc[part], many[part]
                 yield pa.RecordBatch.from_arrays([_signed(np.where(m, mix(d.astype(np.uint64)), k)), _signed(k), pa.array([ids[i] for i in d.tolist()], pa.int64()), pa.array(ths[d]), pa.array(np.where(m, 0, 1).astype(np.int64))], ["at", "key", "doc_id", "th", "n"])
             k, n = key[start][total > 1], total[total > 1]
-            yield pa.RecordBatch.from_arrays([_signed(k), _signed(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int32()), pa.array(n.astype(np.int64))], ["at", "key", "doc_id", "th", "n"])
+            yield pa.RecordBatch.from_arrays([_signed(k), _signed(k), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(n.astype(np.int64))], ["at", "key", "doc_id", "th", "n"])
             held.clear()
 
         for batch in batches:
@@ -134,7 +134,7 @@ def repeated_keys(docs: DataFrame, units: Units) -> DataFrame:
                         size = 0
         yield from flush()
 
-    found = docs.mapInArrow(run, "at long, key long, doc_id long, th int, n long")
+    found = docs.mapInArrow(run, "at long, key long, doc_id long, th long, n long")
     return found.withColumn("total", F.sum("n").over(Window.partitionBy("at"))).where("n = 0 or total > 1").drop("at")
 
 
@@ -147,10 +147,10 @@ def segments(docs: DataFrame, units: Units, every: bool) -> tuple[DataFrame, int
     """
     keys = table(repeated_keys(docs, units))
     seen = keys.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(HOT, seen // HOT_KEYS)
-    hot = keys.sparkSession.sparkContext.broadcast(frozenset(r.key for r in keys.where((F.col("n") > 0) & (F.col("total") > limit)).select("key").distinct().collect()))
-    own = keys.where("n < 2").groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys"))
-    rows = docs.join(own.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "keys"), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("h"))).select("doc_id", "th", "text", "keys")
+    hot = table(keys.where((F.col("n") > 0) & (F.col("total") > HOT)).select("key").distinct().withColumn("hot", F.lit(True)))
+    own = by_key(keys.where("n < 2"), hot, "key", "left").groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hots"))
+    at = docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("h"))
+    rows = docs.join(own.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "keys", "hots"), at).select("doc_id", "th", "text", "keys", "hots")
     W = units.window
 
     def run(batches):
@@ -176,18 +176,19 @@ def segments(docs: DataFrame, units: Units, every: bool) -> tuple[DataFrame, int
             block.clear()
             for at in range(0, len(out), 20_000):
                 cols = list(zip(*out[at : at + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "th", "start", "end", "n", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "th", "start", "end", "n", "packed"])
 
         for batch in batches:
-            ids, ths, texts, lists = (batch.column(c) for c in ("doc_id", "th", "text", "keys"))
+            ids, ths, texts, lists, hots = (batch.column(c) for c in ("doc_id", "th", "text", "keys", "hots"))
             for i in range(batch.num_rows):
                 u, d, th = units.split(texts[i].as_py()), ids[i].as_py(), ths[i].as_py()
                 wanted = set(lists[i].values.to_numpy().view(np.uint64).tolist())
+                hot = set(hots[i].values.to_numpy(zero_copy_only=False).tolist())
                 where = (d is None, d or 0, th)
                 for key, a, b in zip(*(x.tolist() for x in units.runs(u)), strict=True):
                     if key in wanted:
                         signed = key - (1 << 64) if key >> 63 else key
-                        if signed in hot.value:
+                        if signed in hot:
                             for s in range(a, b):
                                 packed = units.pack(u, s, s + W)
                                 block.setdefault(packed, [xxh64_intdigest(packed) - (1 << 63)]).append((*where, s, s + W))
@@ -200,7 +201,7 @@ def segments(docs: DataFrame, units: Units, every: bool) -> tuple[DataFrame, int
                     size = 0
         yield from flush()
 
-    found = rows.mapInArrow(run, "key long, doc_id long, th int, start long, end long, n long, packed binary")
+    found = rows.mapInArrow(run, "key long, doc_id long, th long, start long, end long, n long, packed binary")
     per = 2 * units.window * (7 if units.words else 1)
     return found, max(1, -(-seen * per // BUCKET_BYTES))
 

@@ -53,9 +53,9 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
                 spans = [[] for _ in own]
             out += [(ids[i], ths[i], starts[i] + a, starts[i] + b) for i, s in zip(own, spans, strict=True) for a, b in s]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "start", "end"])
 
-    return dealt.mapInArrow(run, "doc_id long, th int, start long, end long")
+    return dealt.mapInArrow(run, "doc_id long, th long, start long, end long")
 
 
 def dedup(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFrame:

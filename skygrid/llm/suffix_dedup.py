@@ -125,7 +125,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
         family, seen, held, size = Family(length), {}, [], 0
 
         def table_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "start", "end"])
 
         def flush():
             text = np.frombuffer(b"".join(h[3] for h in held), np.uint8)
@@ -163,7 +163,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, "doc_id long, th int, start long, end long")
+    return dealt.mapInArrow(run, "doc_id long, th long, start long, end long")
 
 
 def dedup(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:

@@ -177,6 +177,58 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, found).collect()} == {2, 3, 4}
 
 
+def test_the_index_prunes_and_keeps_the_radius():
+    rng = np.random.default_rng(2)
+    index = decontaminate.ItemIndex(30, 5, [(i, rng.integers(0, 1 << 62, 26).astype(np.uint64)) for i in range(200)])
+    other = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
+    assert len(index.candidates(other)) < 0.1 * 500 * 200
+    near = []
+    for f in index.prints[:100]:
+        for b in rng.choice(64, decontaminate.RADIUS, replace=False):
+            f = f ^ (np.uint64(1) << np.uint64(b))
+        near.append(f)
+    near = np.concatenate([np.array(near, np.uint64), other])
+    wanted = {(w, i) for w, f in enumerate(near) for i, g in enumerate(index.prints) if int(np.bitwise_count(f ^ g)) <= decontaminate.RADIUS}
+    assert {(w, i) for w, i, _ in index.near(near)} == wanted and {(w, w) for w in range(100)} <= wanted
+
+
+def test_decontamination_recall_of_all_windows(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, [rng.choice(words) for _ in range(rng.choice([15, 30, 60]))]) for i in range(20)]
+    docs = []
+    for d in range(150):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        _, own = rng.choice(items)
+        own = list(own)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.choice([0, 1, -1, -2, rng.randrange(len(own))])] = "changed"
+        docs.append((d, w + own + [rng.choice(words) for _ in range(rng.randint(0, 60))]))
+    wanted = set()
+    for d, w in docs:
+        for i, item in items:
+            n = len(item)
+            b = Counter(tuple(item[j : j + 5]) for j in range(n - 4))
+            for p in range(len(w) - n + 1):
+                a = Counter(tuple(w[j : j + 5]) for j in range(p, p + n - 4))
+                both = sum(min(c, b[x]) for x, c in a.items())
+                if both / (2 * (n - 4) - both) >= 0.8:
+                    wanted.add((d, i))
+    rows = spark.createDataFrame([(d, " ".join(w), "x", 0.5) for d, w in docs], "doc_id long, text string, item_id string, similarity double")
+    found = decontaminate.matches(rows, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(wanted) > 60 and got <= wanted and len(got) >= 0.9 * len(wanted)
+
+
+def test_decontamination_edges(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, item), (1, item), (2, "z " * 300_000 + item), (None, item), (3, item + " x " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (7, "other words of the same id"), (8, item)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.start_word) for r in decontaminate.matches(docs, bench).collect())
+    assert got == {(d, i, p): n for i in (7, 8) for d, p, n in ((1, 0, 2), (2, 300_000, 1), (None, 0, 1), (3, 0, 1))}
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
 def test_decontamination_of_short_items(spark):
     items = [(1, "Solo"), (3, "three little words"), (4, "an item of four"), (5, "this one has five words")]
     texts = [t for _, t in items] + [f"lead in {t.upper()} and more text after it" for _, t in items] + [f"ends with {t}" for _, t in items] + ["three little", "little words three", "unrelated text"]
@@ -198,3 +250,14 @@ def test_classifier_on_held_out(spark):
     rows = quality.classify(docs, model).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
     assert rows and sum(r.predicted == r.quality for r in rows) / len(rows) >= 0.8
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_classifier_edges(spark):
+    schema = "doc_id long, text string, score double, predicted string"
+    rows = [(1, None, 42.0, "mine"), (2, "", 1.0, None), (2, "", 1.0, None), (3, "word " * 200_000, 0.0, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    for labels in ([], [(1, 1), (2, 1)], [(1, 1), (2, 0), (2, 0), (3, None)]):  # no label, one class, both
+        model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        got = quality.classify(docs, model, ("s", "p")).collect()
+        assert len(got) == 4 and {r.score for r in got} == {42.0, 1.0, 0.0} and all(0 <= r.s <= 1 and r.p == (r.s >= 0.3) for r in got)
+    assert quality.classify(docs.limit(0), model).count() == 0
