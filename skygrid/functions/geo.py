@@ -71,3 +71,49 @@ def authalic_sine(lat: Column) -> Column:
 def edge_area_km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Signed area under one polygon edge; the sum over a ring, made positive, is its area."""
     return F.lit(A * A / 2 / 1e6) * F.radians(x1 - x2) * (authalic_sine(y1) + authalic_sine(y2)) / 2
+
+
+#: The national conic EPSG:7755 on WGS84 (standard parallels, origin, false easting and northing).
+CONIC = {"parallels": (12.472955, 35.1728044444444), "lat": 24.0, "lon": 80.0, "x": 4_000_000.0, "y": 4_000_000.0}
+
+
+def _conic_constants() -> tuple[float, float, float]:
+    """(n, A F, radius at the origin) of the conformal conic."""
+    e = math.sqrt(E2)
+    m = lambda p: math.cos(p) / math.sqrt(1 - E2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p1, p2 = map(math.radians, CONIC["parallels"])
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    f = A * m(p1) / (n * t(p1) ** n)
+    return n, f, f * t(math.radians(CONIC["lat"])) ** n
+
+
+def conic(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(x, y) in metres on the national conic."""
+    n, f, origin = _conic_constants()
+    e, s = math.sqrt(E2), F.sin(F.radians(lat))
+    t = F.tan(F.lit(math.pi / 4) - F.radians(lat) / 2) / F.pow((1 - e * s) / (1 + e * s), F.lit(e / 2))
+    r, angle = F.lit(f) * F.pow(t, F.lit(n)), F.radians(lon - F.lit(CONIC["lon"])) * n
+    return F.lit(CONIC["x"]) + r * F.sin(angle), F.lit(CONIC["y"] + origin) - r * F.cos(angle)
+
+
+def conic_sql(lon: str, lat: str) -> tuple[str, str]:
+    """The same as SQL texts."""
+    n, f, origin = _conic_constants()
+    e = math.sqrt(E2)
+    t = f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {e!r} * sin(radians({lat}))) / (1 + {e!r} * sin(radians({lat}))), {e / 2!r}))"
+    r, angle = f"({f!r}::DOUBLE * pow({t}, {n!r}::DOUBLE))", f"(radians({lon} - 80) * {n!r}::DOUBLE)"
+    return f"({CONIC['x']!r}::DOUBLE + {r} * sin({angle}))", f"({CONIC['y'] + origin!r}::DOUBLE - {r} * cos({angle}))"
+
+
+def wkt_ring(text: Column) -> Column:
+    """The outer ring of a WKT polygon as an array of (x, y)."""
+    pairs = F.split(F.regexp_extract(text, r"\(\(([^)]*)\)", 1), ",")
+    return F.transform(pairs, lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].try_cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].try_cast("double").alias("y")))
+
+
+def ring_edges(rings):
+    """Edges (poly_id, x1, y1, x2, y2) of closed rings (poly_id, ring)."""
+    n = F.size("ring")
+    step = F.explode(F.arrays_zip(F.slice("ring", F.lit(1), n - 1).alias("a"), F.slice("ring", F.lit(2), n - 1).alias("b"))).alias("e")
+    return rings.select("poly_id", step).select("poly_id", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))

@@ -71,3 +71,48 @@ def cyclic(value: Column, period: float) -> tuple[Column, Column]:
 
 def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
+
+
+def strict(value: Column, raw: Column, what: str) -> Column:
+    """value, with an error at run time where it is null although raw is not: for input that must be readable."""
+    return F.when(value.isNull() & raw.isNotNull(), F.raise_error(F.concat(F.lit(f"not a {what}: "), raw.cast("string")))).otherwise(value)
+
+
+#: Asset statuses that are in use, and those that are not.
+IN_USE = frozenset(["operating", "operating pre-retirement", "mothballed pre-retirement"])
+NOT_IN_USE = frozenset("announced cancelled construction mothballed permitted pre-construction retired shelved unknown blank".split())
+
+
+def in_use(status_: Column) -> Column:
+    """Whether a status is one of an asset in use; a status of neither list raises."""
+    known = F.when(status_.isin(*sorted(IN_USE)), F.lit(True)).when(status_.isin(*sorted(NOT_IN_USE)), F.lit(False))
+    return strict(known, status_, "known status")
+
+
+def folded(name: Column) -> Column:
+    """Dashes, quotes and spaces of other alphabets' typesetting as plain ones."""
+    dashes, single, double, spaces = "\u2010\u2011\u2012\u2013\u2014\u2212", "\u2018\u2019\u201b\u2032", "\u201c\u201d\u2033", "\u00a0\u2009\u202f"
+    plain = "-" * len(dashes) + "'" * (len(single) + len(double) + 1) + " " * len(spaces)
+    return F.translate(name, dashes + single + double + '"' + spaces, plain)
+
+
+def looked_up(count: Column, table: list[float], fill: int) -> Column:
+    """The table's value for a count, the index clipped to the table; counts from ``fill`` on are missing."""
+    at = F.greatest(F.lit(0), F.least(count, F.lit(len(table) - 1)))
+    return F.when(count < fill, F.element_at(F.lit(table), (at + 1).cast("int")))
+
+
+def shown_metres(m: Column) -> Column:
+    return F.when(m.isNull(), "not measured").when(m < 1000, F.concat(m.cast("long").cast("string"), F.lit(" m"))).otherwise(F.format_string("%.1f km", m / 1000.0))
+
+
+def shown_percent(share: Column) -> Column:
+    """A share in per cent with one decimal."""
+    return F.when(share.isNull(), "not measured").otherwise(F.format_string("%.1f%%", share))
+
+
+def grouped_indian(n: Column) -> Column:
+    """A whole number with its last three digits and then pairs set apart."""
+    x = n.cast("string")
+    head = F.regexp_replace(F.substr(x, F.lit(1), F.length(x) - 3), r"(?<=\d)(?=(\d\d)+$)", ",")
+    return F.when(F.length(x) <= 3, x).otherwise(F.concat(head, F.lit(","), F.right(x, F.lit(3))))

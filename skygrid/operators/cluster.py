@@ -63,3 +63,24 @@ def dbscan(points: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     own = core.join(components(edges.join(c1, "a", "left_semi").join(c2, "b", "left_semi")).withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("c", "id").alias("cluster"))
     border = both.join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
     return points.select("id").join(own, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster"))
+
+
+def euclid_edges(points: DataFrame, dims: list[str], eps: float) -> DataFrame:
+    """Pairs a < b of points (id, dims) within eps of each other, from grid cells of that width."""
+    at = [F.floor(F.col(c) / eps).cast("long") for c in dims]
+    own = points.select(F.col("id").alias("a"), *(F.col(c).alias(f"_{c}") for c in dims), *(x.alias(f"_k{i}") for i, x in enumerate(at)))
+    other = points.select(F.col("id").alias("b"), *dims, *(x.alias(f"_k{i}") for i, x in enumerate(at)))
+    for i in range(len(dims)):
+        other = other.withColumn("_step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(f"_k{i}", F.col(f"_k{i}") + F.col("_step")).drop("_step")
+    square = sum(((F.col(f"_{c}") - F.col(c)) * (F.col(f"_{c}") - F.col(c)) for c in dims), F.lit(0.0))
+    return own.join(other, [f"_k{i}" for i in range(len(dims))]).where((F.col("a") < F.col("b")) & (square <= eps * eps)).select("a", "b")
+
+
+def sweep(points: DataFrame, edges: DataFrame, radii: list[int]) -> DataFrame:
+    """Per radius the number of clusters, of those with two points or more, and the size of the largest."""
+    edges, out = _saved(edges), None
+    for r in radii:
+        n = single_link(points, edges.where(F.col("metres") <= r)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        row = n.agg(F.lit(r).alias("metres"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") >= 2).alias("linked"), F.max("n").alias("largest"))
+        out = row if out is None else out.unionByName(row)
+    return out

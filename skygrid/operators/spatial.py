@@ -77,3 +77,17 @@ def matched_share(left: DataFrame, right: DataFrame, key: str, radii_m: list[int
     covered = left.join(right.select(key).distinct(), key, "left_semi").join(near, "id", "left")
     wide = covered.agg(F.count(F.lit(1)).alias("covered"), *(F.count_if(F.col("m") <= x).alias(str(x)) for x in radii_m))
     return wide.unpivot(["covered"], [str(x) for x in radii_m], "radius", "matched").select(F.col("radius").cast("int").alias("radius"), "matched", "covered")
+
+
+def edge_distance_sweep(points: DataFrame, edges: DataFrame, radii_m: list[int]) -> DataFrame:
+    """Per radius, how many points (id, lon, lat) have a polygon edge within it.
+
+    An edge goes to the one-degree bins within reach of the largest radius (up to 60 degrees of latitude).
+    """
+    reach = max(radii_m) / 111195.0797
+    span = lambda a, b, r: F.explode(F.sequence(cell(F.least(a, b) - r, 1.0), cell(F.greatest(a, b) + r, 1.0)))
+    binned = edges.withColumn("_bx", span("x1", "x2", 2 * reach)).withColumn("_by", span("y1", "y2", reach))
+    near = points.withColumn("_bx", cell(F.col("lon"), 1.0)).withColumn("_by", cell(F.col("lat"), 1.0)).join(binned, ["_bx", "_by"])
+    m = near.groupBy("id").agg(F.min(segment_m(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")))).alias("m"))
+    wide = points.select("id").join(m, "id", "left").agg(F.count(F.lit(1)).alias("orphans"), *(F.count_if(F.col("m") <= r).alias(str(r)) for r in radii_m))
+    return wide.unpivot(["orphans"], [str(r) for r in radii_m], "metres", "within").select(F.col("metres").cast("int").alias("metres"), "within", "orphans")

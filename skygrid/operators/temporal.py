@@ -61,3 +61,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance_s: int) -> DataFra
     near = own.join(spread, "_b").withColumn("_gap", F.abs(F.col("_us") - F.col("_rus"))).where(F.col("_gap") <= width)
     best = near.groupBy("id").agg(F.min(F.struct("_gap", "_rus", "ref_id")).alias("_m"))
     return left.join(best, "id", "left").select("id", F.col("_m.ref_id").alias("ref_id"), (F.col("_m._gap") / 1e6).alias("gap_s"))
+
+
+def day_gaps(rows: DataFrame, keys: list[str], day: Column) -> DataFrame:
+    """Days between successive active days of a key: (keys, gap)."""
+    days = rows.select(*keys, day.alias("_d")).distinct()
+    return days.withColumn("gap", F.datediff("_d", F.lag("_d").over(Window.partitionBy(*keys).orderBy("_d")))).where("gap is not null").select(*keys, "gap")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import reduce
 
 import pandas as pd
@@ -148,3 +149,37 @@ def console_rows(df: DataFrame, order: list[str]) -> DataFrame:
         return F.coalesce(F.col(c).cast("string"), F.lit("not assessable" if kinds[c] == "boolean" else "not measured")).alias(c)
 
     return df.select(*map(shown, order))
+
+
+def availability(lines: DataFrame, line: str) -> DataFrame:
+    """(source, first, last) of text lines 'source,date,date'; other lines are skipped."""
+    part = F.split(F.col(line), ",")
+    day = lambda i: F.try_to_timestamp(F.trim(F.get(part, F.lit(i))), F.lit("yyyy-MM-dd")).cast("date")
+    out = lines.where(F.size(part) == 3).select(F.trim(part[0]).alias("source"), day(1).alias("first"), day(2).alias("last"))
+    return out.where("source <> '' and first is not null and last is not null")
+
+
+def json_integer(text: Column, path: str) -> Column:
+    """The whole number at a JSON path; null if there is something else, a boolean or a number in quotes, say."""
+    found = F.try_variant_get(F.try_parse_json(text), path, "variant")
+    return F.when(F.schema_of_variant(found) == "BIGINT", F.try_variant_get(found, "$", "bigint"))
+
+
+@F.pandas_udf(ArrayType(StructType().add("path", StringType()).add("value", DoubleType())))
+def _numbers(texts: pd.Series) -> pd.Series:
+    def walk(x, path):
+        if isinstance(x, dict):
+            for k, v in x.items():
+                yield from walk(v, [*path, k])
+        elif isinstance(x, list):
+            for i, v in enumerate(x):
+                yield from walk(v, [*path, str(i)])
+        elif isinstance(x, int | float) and not isinstance(x, bool):
+            yield {"path": ".".join(path), "value": float(x)}
+
+    return texts.map(lambda t: list(walk(json.loads(t), [])) if t else [])
+
+
+def json_numbers(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """(ident, path, value) of every number in JSON texts, with dotted paths; booleans are none."""
+    return rows.select(ident, F.explode(_numbers(text)).alias("e")).select(ident, "e.path", "e.value")
