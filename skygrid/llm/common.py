@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: texts may be long, so a batch holds few of them.
 BATCH_ROWS = 1000
 #: Bytes of a key table that may be broadcast, at 48 a row and 16 a column; a larger one is joined by shuffle.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -155,11 +155,18 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Edges (16 bytes each) that one task may join into components; more go through rounds.
+TASK_EDGES = 100_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (v, c), c the smallest vertex reachable.
+    """Connected components of a written table of edges (a, b): rows (v, c), c the smallest vertex reachable.
 
-    Min-label propagation with pointer jumping; every round is written to the shared folder.
+    Up to TASK_EDGES edges: one union-find. More: min-label propagation with pointer jumping, every round
+    of which is written to the shared folder.
     """
+    if edges.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+        return table(edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "v long, c long"))
     both = table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")))
     for _ in range(rounds):
@@ -171,3 +178,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not new.where("c <> was").limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _union_find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(v) for v in list(root)], pa.int64())], ["v", "c"])

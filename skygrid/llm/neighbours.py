@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skygrid.llm.common import grouped, table
+from skygrid.llm.common import small_batches, table
 
-#: Rows that the cell tree is fitted on, rows that a block is meant to hold, cells at most.
-SAMPLE, BLOCK, CELLS = 20_000, 8_192, 4_096
+#: Rows whose projections (64 bytes each) the cell tree is fitted on, rows that a block is meant to hold, cells at most.
+SAMPLE, BLOCK, CELLS = 200_000, 8_192, 32_768
 LEAF = 64
 PROJECTIONS = 8
 
@@ -138,6 +138,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, confidence: float =
     one of the largest vector in array order counts. An empty table gives an empty one.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), _vector(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("vec_id is not null and v is not null")
     base = table(base.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("q").alias("q")).withColumn("m", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     schema = "query_id long, rank int, vec_id long, score double"
@@ -149,12 +150,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, confidence: float =
     matrix = np.random.default_rng(seed).standard_normal((d + 1, PROJECTIONS))
     factor = chi_square_quantile(confidence, PROJECTIONS)
     share = min(1.0, SAMPLE / n)
-    sample = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE).collect()
-    tree = CellTree(_project(np.array([r.v for r in sample]).reshape(-1, d), largest, matrix), min(CELLS, -(-n // BLOCK)))
-
     def matrix_of(column) -> np.ndarray:
         return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(-1, d) if len(column) else np.empty((0, d))
 
+    def projections(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_project(matrix_of(b.column("v")), largest, matrix).tolist(), pa.list_(pa.float64()))], ["p"])
+
+    sample = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").mapInArrow(projections, "p array<double>").limit(2 * SAMPLE).collect()
+    tree = CellTree(np.array([r.p for r in sample]).reshape(-1, PROJECTIONS), min(CELLS, -(-n // BLOCK)))
+
     def place(batches):
         for b in batches:
             if b.num_rows:
@@ -174,21 +180,29 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, confidence: float =
     candidates = own.select("block", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
 
     def run(batches):
-        held, ids, asked = None, None, []
-
-        def answer():
-            v = np.array(held[1])
-            found = list(search_block(np.array(held[0]), v, _project(v, largest, matrix), asked, k, largest, matrix, factor))
-            cols = list(zip(*found, strict=True)) if found else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-        for (b, kind), (i, v, floor) in grouped(batches, ["block", "kind"], ["vec_id", "v", "floor"]):
-            if kind == 0:
-                held, ids = (i, v), b
-            elif ids == b:
-                for s in range(0, len(i), 1000):
-                    asked = [(x, np.array(y), f) for x, y, f in zip(i[s : s + 1000], v[s : s + 1000], floor[s : s + 1000], strict=True)]
-                    yield answer()
+        """A block's rows (kind 0) are gathered as they come first; its queries (kind 1) are answered batch by batch."""
+        at, block = None, None  # the number of the block held, and its (ids, vectors, projections)
+        ids, parts = [], []
+        for batch in batches:
+            number, kind = (batch.column(c).to_numpy() for c in ("block", "kind"))
+            vec, vectors, floors = batch.column("vec_id").to_numpy(), matrix_of(batch.column("v")), batch.column("floor").to_pylist()
+            cut = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
+            for start, end in zip(cut, [*cut[1:], len(number)], strict=True):
+                if number[start] != at:
+                    at, block, ids, parts = number[start], None, [], []
+                if kind[start] == 0:
+                    ids.append(vec[start:end])
+                    parts.append(vectors[start:end])
+                    continue
+                if not ids:
+                    continue  # nothing to search
+                if block is None:
+                    v = np.concatenate(parts)
+                    block = (np.concatenate(ids), v, _project(v, largest, matrix))
+                asked = [(int(vec[i]), vectors[i], floors[i]) for i in range(start, end)]
+                found = list(search_block(*block, asked, k, largest, matrix, factor))
+                cols = list(zip(*found, strict=True)) if found else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     def find(queries: DataFrame) -> DataFrame:
         return candidates.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "query_id long, vec_id long, score double")

@@ -5,14 +5,18 @@ share one of their first n - ceil(t n) + 1 shingles in any common order (prefix
 puts shingles of frequent words last, so what two prefixes share is nearly always a real copy. A
 shared prefix shingle is a bucket; inside a bucket a signature tree finds the links.
 
-1. Two rounds route every class to one bucket it shares; the bucket's trees link whole sets.
+1. Every class is routed to one bucket it shares; the bucket's trees link whole sets. Buckets that are
+   cut into several blocks are dealt to blocks once more, by another hash, so that what each block of a
+   large group of near copies has joined becomes one component.
 2. The last rounds cover every bucket where different components still meet: trees over bitmap
    sketches rule out what cannot reach the similarity. Of the pairs left, a bucket sends spanning
-   forests over the components that meet there (2 in the first round, 8 times as many in each next
+   forests over the components that meet there (64 in the first round, 64 times as many in each next
    one); these are verified exactly, the components they link become one, and buckets that held
    pairs back are searched again, until none does.
 
-So a bucket of m sets sends at most m - 1 pairs a forest, never all pairs of two components, and a
+A pair that meets in several buckets is looked at in the first of them (more often only if that is
+not among the first of each set's). A bucket of m sets
+sends at most m - 1 pairs a forest, never all pairs of two components, and a
 pair inside one component is never looked at again. Buckets are cut into blocks of bounded size in
 step 1; in step 2 by set size, and those with more than ``CELL`` sets into slices that meet two at
 a time (slices of one and the same component need not meet), so no group is collected whole.
@@ -38,10 +42,12 @@ FREQUENT = 1 / 50_000
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 1_000
 #: Sets of a bucket and band that a slice holds at most; two slices meet in a task at a time.
 CELL = 1_000
+#: Buckets of a class that its rows name, for a pair to be looked at in one bucket only; a pair that meets later may be looked at again.
+FIRST = 16
 #: Spanning forests of candidate pairs that a bucket sends in the first round, and their growth.
-FORESTS, GROWTH = 2, 8
+FORESTS, GROWTH = 64, 64
 #: Bits of a sketch: two a shingle of the band's largest set, as a power of two between these.
-SKETCH_BITS = (1024, 1 << 18)
+SKETCH_BITS = (512, 1 << 18)
 
 
 def band(n: int, num: int, den: int) -> int:
@@ -208,14 +214,15 @@ def spanning(i: np.ndarray, j: np.ndarray, forests: np.ndarray) -> tuple[np.ndar
 
 
 def _candidates(rows: DataFrame, num: int, den: int, count: int) -> DataFrame:
-    """Pairs of rows (bucket, band, x, y, home, cid, n, c, sketch) that the trees cannot rule out, as ``count`` spanning forests a cell.
+    """Pairs of rows (bucket, band, x, y, home, cid, n, c, sketch, buckets) that the trees cannot rule out, as ``count`` spanning forests a cell.
 
+    buckets: the first of the class's in that band; a pair belongs to the smallest that both have.
     Result (a, b, ca, cb, bucket, band): classes, their components and, in a row without classes, a group that held pairs back.
     """
     columns, kinds = ["a", "b", "ca", "cb", "bucket", "band"], [pa.int64()] * 5 + [pa.int32()]
 
     def run(batches):
-        for (bucket, b, _, _), (home, ids, n, c, sketch) in grouped(batches, ["bucket", "band", "x", "y"], ["home", "cid", "n", "c", "sketch"]):
+        for (bucket, b, _, _), (home, ids, n, c, sketch, buckets) in grouped(batches, ["bucket", "band", "x", "y"], ["home", "cid", "n", "c", "sketch", "buckets"]):
             if min(c) == max(c):
                 continue
             order = np.lexsort((ids, n))
@@ -223,10 +230,19 @@ def _candidates(rows: DataFrame, num: int, den: int, count: int) -> DataFrame:
             size, c = np.array(n, np.int64)[order], np.array(c, np.int64)[order]
             names, group = np.unique(c, return_inverse=True)
             ids, home = np.array(ids, np.int64)[order], np.array(home, bool)[order]
-            forests, more = np.tile(group, (min(count, len(names)), 1)), False
+            forests, more, lower = np.tile(group, (min(count, len(names)), 1)), False, {}
+
+            def before(k):
+                """The class's buckets before this one."""
+                if k not in lower:
+                    lower[k] = {x for x in buckets[order[k]] if x < bucket}
+                return lower[k]
+
             for i, j in st.traverse(st.build(marks, size, group), num, den):
                 own = home[i] | home[j]
                 i, j = i[own], j[own]
+                first = np.array([before(x).isdisjoint(before(y)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[first], j[first]
                 if count < len(names):
                     both = np.bitwise_count(marks[i] & marks[j]).sum(1)
                     likely = np.argsort(-both / (size[i] + size[j]), kind="stable")  # the most alike first
@@ -296,9 +312,10 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
     at = lambda d: d["doc_id"].eqNullSafe(classes["rep"]) & (d["th"] == classes["th"])
     heads = sets.where("n > 0").join(classes, (sets["key"] == classes["key"]) & at(sets))
     stored_twice = heads.groupBy("cid").count().where("count > 1").limit(1).count() > 0
-    tokens = heads.select(F.explode("prefix").alias("bucket"), "cid")
+    tokens = heads.select(F.explode("prefix").alias("bucket"), "cid", classes["n"])
+    tokens = tokens.distinct() if stored_twice else tokens
     met = tokens.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
-    shared = table(tokens.join(met, "bucket").distinct().join(classes.select("cid", classes["n"]), "cid"))
+    shared = table(tokens.join(met, "bucket"))
     texts, comp = _texts(docs), None
 
     def fresh():
@@ -315,10 +332,11 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
 
     left = fresh()
     for turn in (0, 1):
-        if not left.limit(1).count():
-            break
         route = left.groupBy("cid", "n", "c").agg(F.min("bucket").alias("bucket"))
         full = route.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        full = table(full.where(F.col("blocks") > turn))
+        if not full.limit(1).count():
+            break
         route = route.join(full, "bucket").select("cid", "c", "bucket", F.pmod(F.xxhash64("cid", F.lit(turn)), "blocks").alias("block"))
         found = table(_linked(wanted(route), k, num, den))
         if found.limit(1).count():
@@ -331,8 +349,11 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
         rows = table(rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("band") == F.col("own")).drop("own"))
         groups, count = table(_groups(rows)), FORESTS
         while groups.limit(1).count():
-            placed = _cells(rows, groups, CELL).join(sketch.select("cid", "n", "sketch"), "cid")
-            pairs = table(_candidates(placed.select("bucket", "band", "x", "y", "home", "cid", "n", "c", "sketch"), num, den, count))
+            # a class has at most as many buckets as its prefix has shingles; the first ones tell nearly all pairs that met before
+            met = rows.join(groups, ["bucket", "band"], "left_semi").groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, FIRST).alias("buckets"))
+            known = met.join(sketch.select("cid", "n", "sketch"), "cid")
+            placed = _cells(rows, groups, CELL).join(known, ["cid", "band"])
+            pairs = table(_candidates(placed.select("bucket", "band", "x", "y", "home", "cid", "n", "c", "sketch", "buckets"), num, den, count))
             try_now = table(pairs.where("a is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ca").alias("ca"), F.max("cb").alias("cb")))
             edges = None
             if try_now.limit(1).count():
