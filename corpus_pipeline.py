@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, near duplicates, decontamination, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever their names. Rows that repeat a
+doc_id are rows of their own, but for near duplicates; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ BUDGET = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier rejects."""
+    """Drop documents that the classifier rejects, null and empty texts among them if it does."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.classify(docs, model)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.classify(docs, model, ("_score", "_predicted"))
+    return scored.where("_predicted = 1").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +46,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
+    """Drop documents that hold a benchmark passage; null and empty texts hold none."""
     found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.clean(docs, found)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's share of the token budget; no document twice."""
+    """Take each source's share of the token budget; no document twice, those without tokens as far as the prefix reaches."""
     return mixing.mix(docs, WEIGHTS, budget=BUDGET, epochs=1, names=("_mixed_domain", "_mixed_epoch")).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assign each document its shard and slot."""
+    """Assign each document its shard and slot, null and empty texts (size 16) too."""
     return sharding.shard(docs, 40)
 
 
