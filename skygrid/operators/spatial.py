@@ -49,13 +49,18 @@ def radius_counts(points: DataFrame, refs: DataFrame, radii: list[int], half: fl
 def inside(points: DataFrame, edges: DataFrame, bin_deg: float) -> DataFrame:
     """(id, poly_id) of points inside polygons given by edges (poly_id, x1, y1, x2, y2), by parity; holes need no care.
 
-    Edges go to the latitude bins that they cross. A point on an edge counts by the half-open rule.
+    A point first meets the polygons whose box touches its bin (longitude and latitude), then of each only the
+    edges that cross its latitude bin. A point on an edge counts by the half-open rule.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     binned = edges.where("y1 <> y2").withColumn("_by", F.explode(F.sequence(cell(low, bin_deg), cell(high, bin_deg))))
-    own = points.withColumn("_by", cell(F.col("lat"), bin_deg))
+    box = edges.groupBy("poly_id").agg(*(g(f(f"{x}1", f"{x}2")).alias(n) for n, g, f, x in (("w", F.min, F.least, "x"), ("e", F.max, F.greatest, "x"), ("s", F.min, F.least, "y"), ("n", F.max, F.greatest, "y"))))
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(a), bin_deg), cell(F.col(b), bin_deg)))
+    touched = box.withColumn("_bx", span("w", "e")).withColumn("_by", span("s", "n")).select("poly_id", "_bx", "_by")
+    own = points.select("id", "lon", "lat", cell(F.col("lon"), bin_deg).alias("_bx"), cell(F.col("lat"), bin_deg).alias("_by"))
+    near = own.join(touched, ["_bx", "_by"]).drop("_bx")
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = own.join(binned, "_by").where(crosses).groupBy("id", "poly_id").agg(F.count(F.lit(1)).alias("_n"))
+    hits = near.join(binned, ["poly_id", "_by"]).where(crosses).groupBy("id", "poly_id").agg(F.count(F.lit(1)).alias("_n"))
     return hits.where("_n % 2 = 1").select("id", "poly_id")
 
 
