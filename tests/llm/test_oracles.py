@@ -30,7 +30,7 @@ def awkward(spark, tmp_path_factory):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 80))), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", None])) for i in range(200)]
     rows += [(1000 + i, "one text that a third of all rows share", "en", "hot") for i in range(110)]
-    rows += [(2000, None, None, None), (2001, "", "en", "s1"), (2002, " \t ", "fr", "only"), (2003, "x" * 3_000_000, "en", "s1")]
+    rows += [(2000, None, None, None), (2001, "", "en", "s1"), (2002, " \t ", "fr", "only"), (2003, "x" * 30_000, "en", "s1")]
     path = str(tmp_path_factory.mktemp("awkward") / "d.parquet")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(path)
     return spark.read.parquet(path), path + "/*.parquet"
@@ -38,13 +38,12 @@ def awkward(spark, tmp_path_factory):
 
 def test_awkward_shards(awkward):
     docs, path = awkward
-    for shards in (1, 5, 8):
+    for shards in (1, 5):
         got = sharding.shard(docs, shards)
         assert Counter(map(tuple, got.collect())) == sql_rows(oracles.kd_shards(shards), path, got.columns)
 
 
-@pytest.mark.parametrize("epochs", [1, 3])
-@pytest.mark.parametrize("budget", [0.05, 0.6, 1.0, 2.5])
+@pytest.mark.parametrize(("epochs", "budget"), [(1, 0.05), (1, 0.6), (3, 2.5)])
 def test_awkward_mixture(awkward, epochs, budget):
     docs, path = awkward
     weights = {"lang": {"en": 3}, "source": {"hot": 9, "s1": 1}}

@@ -47,7 +47,10 @@ def test_decontamination_stage(spark, steps):
 
     def holds(text):
         w = (text or "").lower().split()
+        own = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
         for item in items:
+            if len(item) >= 5 and own.isdisjoint(tuple(item[j : j + 5]) for j in range(len(item) - 4)):
+                continue
             n, b = len(item), Counter(tuple(item[j : j + 5]) for j in range(max(1, len(item) - 4)))
             for p in range(len(w) - n + 1):
                 a = Counter(tuple(w[j : j + 5]) for j in range(p, p + max(1, n - 4)))
@@ -80,5 +83,5 @@ def test_awkward_rows_and_clashing_columns(spark):
         assert got.columns == docs.columns and {tuple(r)[4:] for r in got.collect()} <= values
         assert stage(spark, docs.limit(0), SF).count() == 0
     near = sorted(((r.doc_id, (r.text or "")[:3], len(r.text or "")) for r in cp.near_duplicate_stage(spark, docs, SF).collect()), key=str)
-    assert near == sorted([(1, "a0 ", len(text)), (None, "", 0), (3, "", 0), (3, "", 0), (4, "x x", 200_000)], key=str) or len(near) == 5
+    assert near == sorted([(1, "a0 ", len(text)), (None, "", 0), (3, "", 0), (3, "", 0), (4, "x x", 200_000)], key=str) or [n for n in near if n[0] == 1] != [] and len(near) == 5
     assert cp.sharding_stage(spark, docs, SF).count() == len(rows) and cp.sharding_stage(spark, docs.limit(0), SF).count() == 0
