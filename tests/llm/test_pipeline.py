@@ -83,5 +83,7 @@ def test_awkward_rows_and_clashing_columns(spark):
         assert got.columns == docs.columns and {tuple(r)[4:] for r in got.collect()} <= values
         assert stage(spark, docs.limit(0), SF).count() == 0
     near = sorted(((r.doc_id, (r.text or "")[:3], len(r.text or "")) for r in cp.near_duplicate_stage(spark, docs, SF).collect()), key=str)
-    assert near == sorted([(1, "a0 ", len(text)), (None, "", 0), (3, "", 0), (3, "", 0), (4, "x x", 200_000)], key=str) or [n for n in near if n[0] == 1] != [] and len(near) == 5
+    # of the two texts of doc_id 1 the one with the smaller hash stays; texts without words are no copies
+    assert [n for n in near if n[0] == 1] in ([(1, "a0 ", len(text))], [(1, "a0 ", len(text) + 5)])
+    assert [n for n in near if n[0] != 1] == sorted([(None, "", 0), (3, "", 0), (3, "", 0), (4, "x x", 200_000)], key=str)
     assert cp.sharding_stage(spark, docs, SF).count() == len(rows) and cp.sharding_stage(spark, docs.limit(0), SF).count() == 0
