@@ -108,3 +108,56 @@ def kd_shards(shards: int = 40) -> str:
         ]
     last = ", ".join(f"({n}, {first})" for n, (_, first) in levels[-1].items())
     return f"WITH RECURSIVE {', '.join(parts)}, f(node, shard) AS (VALUES {last}) SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY draw) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM n{len(levels) - 1} JOIN f USING (node)"
+
+
+def importance_resampling(buckets: int = 10_000, percent: int = 25, least: int = 20, seed: int = 7) -> str:
+    """Features as strings, their CRCs by the table, counts and means by grouping, ranks by one sort."""
+    words = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    feats = "len(w) AS n_words, w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS f"
+    return f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, {feats} FROM (SELECT doc_id, {words} AS w FROM documents)),
+items AS (SELECT {feats} FROM (SELECT {words} AS w FROM benchmark)),
+df AS (SELECT r, unnest(f) AS s FROM docs), bf AS (SELECT unnest(f) AS s FROM items),
+strings AS (SELECT s FROM df UNION SELECT s FROM bf),
+{_CRC},
+dc AS (SELECT r, crc % {buckets} AS b FROM df JOIN crcs USING (s)), bc AS (SELECT crc % {buckets} AS b FROM bf JOIN crcs USING (s)),
+ds AS (SELECT b, count(*) AS s FROM dc GROUP BY 1), bs AS (SELECT b, count(*) AS t FROM bc GROUP BY 1),
+tot AS (SELECT (SELECT count(*) FROM dc) AS ss, (SELECT count(*) FROM bc) AS tt),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (ss + {buckets}) / (CAST(s + 1 AS DOUBLE) * (tt + {buckets})))) AS BIGINT) AS g FROM ds LEFT JOIN bs USING (b), tot),
+w AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS g FROM dc JOIN gain USING (b) GROUP BY 1),
+scored AS (SELECT doc_id, n_words, coalesce(n, 0) AS n_features, coalesce(CAST(floor(g / n) AS BIGINT), 0) AS weight, CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM docs LEFT JOIN w USING (r)),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM scored),
+ranks AS (SELECT *, CASE WHEN n_words >= {least} THEN row_number() OVER (PARTITION BY n_words >= {least} ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS k, floor({percent} * count(*) FILTER (WHERE n_words >= {least}) OVER () / 100) AS most FROM noisy)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN k <= most THEN CAST(k AS BIGINT) END AS rank FROM ranks"""
+
+
+def merkle_manifest(levels: int = 8) -> str:
+    """One CTE a level, for up to 8 ** levels rows a lang: groups that still have several nodes are hashed by runs of eight."""
+    framed = lambda v: f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || {v}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(framed(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    parts = [
+        "strings AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents)",
+        _CRC,
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || lang, '') AS k, {leaf('text')} AS leaf, CASE WHEN crc % 3 = 0 THEN {leaf(_LOWER)} ELSE {leaf('text')} END AS f FROM documents JOIN crcs ON s = coalesce(CAST(doc_id AS VARCHAR), ''))",
+        "l0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, leaf AS h FROM d)",
+        "p0 AS (SELECT doc_id, d.k, leaf, f, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, '' AS sibs FROM d)",
+    ]
+
+    def climb(tag: str, key: str, n: int) -> None:
+        """Levels n to n + levels of nodes (key, i, h) and of the rows' places in them."""
+        for j in range(n, n + levels):
+            parts.extend([
+                f"m{tag}{j} AS (SELECT {key}, count(*) AS many FROM l{j} GROUP BY 1)",
+                f"l{j + 1} AS (SELECT {key}, CASE WHEN many > 1 THEN i // 8 ELSE i END AS i, CASE WHEN many > 1 THEN sha256(string_agg(h, '' ORDER BY l.i)) ELSE min(h) END AS h FROM l{j} l JOIN m{tag}{j} USING ({key}) GROUP BY {key}, many, CASE WHEN many > 1 THEN i // 8 ELSE i END)",
+                f"s{j} AS (SELECT l.{key}, l.i, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i < l.i), '') AS a, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i > l.i), '') AS z FROM l{j} l JOIN l{j} o ON l.{key} = o.{key} AND l.i // 8 = o.i // 8 GROUP BY 1, 2)",
+                f"p{j + 1} AS (SELECT doc_id, p.k, leaf, CASE WHEN many > 1 THEN sha256(a || f || z) ELSE f END AS f, CASE WHEN many > 1 THEN p.i // 8 ELSE p.i END AS i, sibs || a || z AS sibs FROM p{j} p JOIN m{tag}{j} m ON m.{key} = p.{key} JOIN s{j} s ON s.{key} = p.{key} AND s.i = p.i)" if tag == "a" else
+                f"p{j + 1} AS (SELECT doc_id, p.k, p.g, leaf, sub, CASE WHEN many > 1 THEN sha256(a || f || z) ELSE f END AS f, CASE WHEN many > 1 THEN p.i // 8 ELSE p.i END AS i, sibs || a || z AS sibs FROM p{j} p JOIN m{tag}{j} m ON m.{key} = p.{key} JOIN s{j} s ON s.{key} = p.{key} AND s.i = p.i)",
+            ])
+
+    climb("a", "k", 0)
+    n = levels + 1
+    parts += [
+        f"l{n} AS (SELECT 0 AS g, row_number() OVER (ORDER BY k) - 1 AS i, h FROM l{levels})",
+        f"p{n} AS (SELECT doc_id, p.k, 0 AS g, leaf, l.h AS sub, f, dense_rank() OVER (ORDER BY p.k) - 1 AS i, sibs FROM p{levels} p JOIN l{levels} l ON l.k = p.k)",
+    ]
+    climb("b", "g", n)
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT doc_id, leaf, sub AS subroot, h AS root, sha256(sibs) AS proof_sha256, f AS folded_root, f = h AS verified FROM p{n + levels} JOIN l{n + levels} USING (g)"
