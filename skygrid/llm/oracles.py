@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skygrid.llm import secret_scan
 from skygrid.llm.sharding import DIMS, tree
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -161,3 +162,34 @@ def merkle_manifest(levels: int = 8) -> str:
     ]
     climb("b", "g", n)
     return f"WITH RECURSIVE {', '.join(parts)} SELECT doc_id, leaf, sub AS subroot, h AS root, sha256(sibs) AS proof_sha256, f AS folded_root, f = h AS verified FROM p{n + levels} JOIN l{n + levels} USING (g)"
+
+
+def secret_scan_spans() -> str:
+    """A row a match with its place by running sums; the statistics by lists of the token's characters; thresholds by grouping."""
+    c = secret_scan
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT r, {i} AS kind, generate_subscripts(m, 1) AS i, unnest(m) AS m, p FROM (SELECT r, regexp_extract_all(t, {quoted(c.PATTERNS[k])}) AS m, string_split_regex(t, {quoted(c.PATTERNS[k])}) AS p FROM d)" for i, k in enumerate(c.KINDS))
+    full = "CASE " + " ".join(f"WHEN regexp_full_match(b, '{pattern}') THEN " + (f"'{name}'" if alphabet else "NULL") for name, (pattern, alphabet, _) in c.ENCODINGS.items()) + " END"
+    rows = ", ".join(f"('{name}', '{a}', {len(a)}e0, {c.class_moments(s)[0]!r}, {c.class_moments(s)[1]!r})" for name, (_, a, s) in c.ENCODINGS.items() if a)
+    sizes = "CASE " + " ".join(f"WHEN n >= {least} THEN {i}" for i, least in reversed(list(enumerate(c.LENGTHS)))) + " ELSE 0 END"
+    nulls = ", ".join(f"({b}, {c.null_share(b)!r} / {c.null_share(c.MIDDLE)!r})" for b in range(c.MIDDLE, c.LAST + 1))
+    kind = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(c.KINDS)) + " END"
+    line = f"string_agg({kind} || ':' || a || ':' || z, ',' ORDER BY a, kind)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+pos AS (SELECT r, kind, i, m, len(m) AS n, sum(len(p[i]) + len(m)) OVER (PARTITION BY r, kind ORDER BY i)::BIGINT AS z FROM f),
+spans AS (SELECT r, kind, m, z - n AS a, z FROM pos WHERE kind <> 0 OR len(regexp_extract(m, {quoted(c.PATTERNS["assign"])}, 2)) >= {c.SECRET}),
+enc(e, alpha, k, ch, bes) AS (VALUES {rows}),
+tok AS (SELECT r, a, z, b, len(b) AS n, string_split(b, '') AS cs, {full} AS e FROM (SELECT *, rtrim(m, '=') AS b FROM spans WHERE kind = 3)),
+cls AS (SELECT *, list_transform(cs, lambda x: CASE WHEN x BETWEEN 'A' AND 'Z' THEN 1 WHEN x BETWEEN 'a' AND 'z' THEN 2 WHEN x BETWEEN '0' AND '9' THEN 3 ELSE 4 END) AS cl, list_transform(cs, lambda x: instr(alpha, x) - 1 - (k - 1) / 2) AS x FROM tok JOIN enc USING (e)),
+stat AS (SELECT r, a, z, e || ':' || {sizes} AS g,
+  (k * list_sum(list_transform(list_distinct(cs), lambda x: CAST((n - len(replace(b, x, ''))) ** 2 AS DOUBLE))) / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS s1,
+  ((n - 1) * ch - 0.5e0 - len(list_filter(range(1, n), lambda i: cl[i] <> cl[i + 1]))) / sqrt((n - 1) * ch * (1 - ch) + 2 * (n - 2) * bes) AS s2,
+  abs(list_sum(list_transform(range(1, n), lambda i: x[i] * x[i + 1]))) / ((k * k - 1) / 12 * sqrt(n - 1)) AS s3 FROM cls),
+sc AS (SELECT r, a, z, g, ceil(round(10 * greatest(s1, s2, s3), 6)) AS s FROM stat),
+nul(b, x) AS (VALUES {nulls}),
+cum AS (SELECT g, b, x, count(*) FILTER (WHERE s <= b) AS u, count(*) FILTER (WHERE s <= {c.MIDDLE}) AS mid FROM sc, nul GROUP BY 1, 2, 3),
+lim AS (SELECT g, max(b) AS most FROM cum WHERE u - mid * x <= {c.FDR} * u + 2 * sqrt(u) GROUP BY 1),
+every AS (SELECT r, kind, a, z FROM spans WHERE kind < 3 UNION ALL SELECT r, 3, a, z FROM sc JOIN lim USING (g) WHERE s <= most),
+per AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2, {line.replace("a, kind)", "a, kind) FILTER (WHERE kind < 3)")} AS base, {line} AS spans FROM every GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""

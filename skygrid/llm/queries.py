@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrid.llm import attention_lm, decontaminate, html_extract, manifest, mixing, neighbours, ngram_join, oracles, quality, resample, sharding, substring_dedup, suffix_dedup
+from skygrid.llm import attention_lm, decontaminate, html_extract, manifest, mixing, neighbours, ngram_join, oracles, quality, resample, secret_scan, sharding, substring_dedup, suffix_dedup
 
 #: Target weights by level; names that are not listed weigh 1.
 WEIGHTS = {"domain": {"a": 3, "b": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
@@ -68,6 +68,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_read(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_attention_lm, op3_benchmark_decontamination, op4_projected_neighbours, op5_quality_ranking, op6_mixture, op7_suffix_dedup, op8_html_extraction, op9_kd_sharding, op10_ngram_jaccard_join, op11_importance_resampling, op13_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_attention_lm, op3_benchmark_decontamination, op4_projected_neighbours, op5_quality_ranking, op6_mixture, op7_suffix_dedup, op8_html_extraction, op9_kd_sharding, op10_ngram_jaccard_join, op11_importance_resampling, op12_secret_scan, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -90,5 +94,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_kd_sharding": oracles.kd_shards(SHARDS),
         "op10_ngram_jaccard_join": oracles.jaccard_components(),
         "op11_importance_resampling": oracles.importance_resampling(),
+        "op12_secret_scan": oracles.secret_scan_spans(),
         "op13_merkle_manifest": oracles.merkle_manifest(),
     }
