@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 def sql_rows(sql, path, columns):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
     return Counter(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
 
 
