@@ -38,7 +38,7 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 
 
 def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
-    """Split each parent's ``budget`` among children (columns cap, weight, name): alloc = min(cap, level * weight).
+    """Split each parent's ``budget`` among children (columns cap, weight above 0, name): alloc = min(cap, level * weight).
 
     The level is where the allocations use up the budget: children in order of cap / weight fill up
     until the even share of what is left no longer reaches the next one.
@@ -62,18 +62,22 @@ def _keys(docs: DataFrame, domain) -> DataFrame:
 
 
 def budgets(sizes: DataFrame, weights: dict, budget: float, epochs: int) -> DataFrame:
-    """Leaves (domain, lang, source, tokens) with their token budget."""
-    leaves = sizes.withColumn("cap", F.col("tokens") * epochs)
+    """Leaves (domain, lang, source, tokens) with their token budget; one under a name of weight 0 is shut.
+
+    A shut leaf adds nothing to what its ancestors can use, so its share goes to siblings first.
+    """
+    shut = F.lit(False)
+    for level in LEVELS:
+        shut = shut | (_weight(level, weights) == 0)
+    leaves = sizes.withColumn("cap", F.col("tokens") * epochs).withColumn("shut", shut)
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * budget).cast("long").alias("budget"))
-    level = leaves
-    held = {}
-    for i in (0, 1, 2):
-        held[i] = leaves.groupBy(*LEVELS[: i + 1]).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(LEVELS[i], weights))
+    usable = leaves.where("not shut")
+    held = [usable.groupBy(*LEVELS[: i + 1]).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(LEVELS[i], weights)) for i in range(3)]
     level = share_out(held[0].crossJoin(F.broadcast(total)), [], "domain")
     for i in (1, 2):
         above = level.select(*LEVELS[:i], F.col("alloc").alias("budget"))
         level = share_out(held[i].join(above, list(LEVELS[:i])), list(LEVELS[:i]), LEVELS[i])
-    return leaves.select(*LEVELS, "tokens").join(level.select(*LEVELS, F.col("alloc").alias("budget")), list(LEVELS))
+    return leaves.select(*LEVELS, "tokens", "shut").join(level.select(*LEVELS, F.col("alloc").alias("budget")), list(LEVELS), "left").na.fill(0, ["budget"])
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: float, epochs: int = 1, seed: int = 1, domain=default_domain, names: tuple[str, str] = ("domain", "epoch")) -> DataFrame:
@@ -95,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: float, epoc
     small = plan.count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else (lambda x: x)
     place = lambda key, epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
-    placed = slim.join(hint(plan.drop("tokens", "budget")), list(LEVELS)).withColumn("_at", place(F.col("doc_id"), F.col("full") + 1)).withColumn("_range", F.substring("_at", 1, 3))
+    placed = slim.join(hint(plan.drop("tokens", "budget", "shut")), list(LEVELS)).withColumn("_at", place(F.col("doc_id"), F.col("full") + 1)).withColumn("_range", F.substring("_at", 1, 3))
     run = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.groupBy(*LEVELS, "_range", "rest").agg(F.sum("tokens").alias("t")).withColumn("upto", F.sum("t").over(run))
     edge = sums.where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("_range", (F.col("upto") - F.col("t")).alias("base"))).alias("e")).select(*LEVELS, F.col("e._range").alias("_range"), F.col("e.base").alias("base"))
@@ -103,10 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: float, epoc
     fit = within.withColumn("upto", F.col("base") + F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
     last = fit.where("upto <= rest").groupBy(*LEVELS).agg(F.max("_at").alias("_last"))
     cut = F.when((F.col("budget") == 0) & ((F.col("tokens") > 0) | F.col("shut")), "").otherwise(F.coalesce("_last", "_range", F.lit("g")))
-    shut = F.lit(False)
-    for level in LEVELS:
-        shut = shut | (_weight(level, weights) == 0)
-    cuts = plan.withColumn("shut", shut).join(edge, list(LEVELS), "left").join(last, list(LEVELS), "left").select(*(F.col(c).alias(a) for c, a in zip(LEVELS, _OWN, strict=True)), F.col("full").alias("_mix_full"), cut.alias("_mix_cut"))
+    cuts = plan.join(edge, list(LEVELS), "left").join(last, list(LEVELS), "left").select(*(F.col(c).alias(a) for c, a in zip(LEVELS, _OWN, strict=True)), F.col("full").alias("_mix_full"), cut.alias("_mix_cut"))
     cuts = table(cuts)
     out = keyed.join(hint(cuts), list(_OWN)).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.least(F.col("_mix_full") + 1, F.lit(epochs)))))
     out = out.where((F.col("_mix_epoch") <= F.col("_mix_full")) | (place(docs["doc_id"], F.col("_mix_epoch")) <= F.col("_mix_cut")))

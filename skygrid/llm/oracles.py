@@ -58,11 +58,13 @@ def _weight_sql(level: str, weights: dict[str, dict[str, int]]) -> str:
 
 
 def mixture(weights: dict[str, dict[str, int]], budget: float, epochs: int, seed: int = 1) -> str:
-    """Budgets level by level, then the running sum of tokens over each whole leaf. Weights must not be 0."""
+    """Budgets level by level, then the running sum of tokens over each whole leaf. Leaves under a weight of 0 are no leaves there."""
     levels = ["domain", "lang", "source"]
+    weighed = " AND ".join(f"{_weight_sql(level, weights)} > 0" for level in levels)
     parts = [
         f"slim AS (SELECT doc_id, CASE WHEN md5(coalesce(source, '')) < '8' THEN 'a' ELSE 'b' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len({_WORDS.format('text')}), 0) AS tokens FROM documents)",
         f"leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {epochs} AS cap FROM slim GROUP BY 1, 2, 3)",
+        f"usable AS (SELECT * FROM leaf WHERE {weighed})",
         f"a0 AS (SELECT CAST(floor(coalesce(sum(tokens), 0)::BIGINT * {budget}e0) AS BIGINT) AS budget FROM leaf)",
     ]
     for i, level in enumerate(levels):
@@ -70,7 +72,7 @@ def mixture(weights: dict[str, dict[str, int]], budget: float, epochs: int, seed
         join = f"JOIN a{i} USING ({above})" if i else "CROSS JOIN a0"
         by = f"PARTITION BY {above} " if i else ""
         parts += [
-            f"h{i} AS (SELECT {keys}, cap, weight, budget FROM (SELECT {keys}, sum(cap)::BIGINT AS cap, {_weight_sql(level, weights)} AS weight FROM leaf GROUP BY {keys}) {join})",
+            f"h{i} AS (SELECT {keys}, cap, weight, budget FROM (SELECT {keys}, sum(cap)::BIGINT AS cap, {_weight_sql(level, weights)} AS weight FROM usable GROUP BY {keys}) {join})",
             f"l{i} AS (SELECT *, (budget - coalesce(sum(cap) OVER ({by}ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) / (sum(weight) OVER ({by}ORDER BY cap / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS lev FROM h{i})",
             f"a{i + 1} AS (SELECT {keys}, CAST(greatest(0, CASE WHEN m IS NULL THEN cap ELSE least(cap, floor(m * weight)) END) AS BIGINT) AS budget FROM (SELECT *, max(CASE WHEN cap / weight > lev THEN lev END) OVER ({by or 'PARTITION BY 1'}) AS m FROM l{i}))",
         ]

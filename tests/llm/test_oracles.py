@@ -44,10 +44,12 @@ def test_awkward_shards(awkward):
         assert Counter(map(tuple, got.collect())) == sql_rows(oracles.kd_shards(shards), path, got.columns)
 
 
-@pytest.mark.parametrize(("epochs", "budget"), [(1, 0.05), (1, 0.6), (3, 2.5)])
-def test_awkward_mixture(awkward, epochs, budget):
+HOT = {"lang": {"en": 3}, "source": {"hot": 9, "s1": 1}}
+
+
+@pytest.mark.parametrize(("epochs", "budget", "weights"), [(1, 0.05, HOT), (1, 0.6, HOT), (3, 2.5, HOT), (1, 0.6, {"domain": {"a": 0}, "source": {"s1": 0}}), (3, 2.5, {"source": {"hot": 0, "s1": 2}, "lang": {"de": 0}}), (1, 0.6, {"domain": {"a": 0, "b": 0}})])
+def test_awkward_mixture(awkward, epochs, budget, weights):
     docs, path = awkward
-    weights = {"lang": {"en": 3}, "source": {"hot": 9, "s1": 1}}
     got = mixing.mix(docs, weights, budget, epochs).select("doc_id", "domain", "lang", "source", "epoch")
     got = Counter(tuple(r)[:2] + (r.lang or "", r.source or "", r.epoch) for r in got.collect())
     assert got == sql_rows(oracles.mixture(weights, budget, epochs), path, ["doc_id", "domain", "lang", "source", "epoch"])
