@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: WGS84 and the mean Earth radius.
@@ -117,3 +117,36 @@ def ring_edges(rings):
     n = F.size("ring")
     step = F.explode(F.arrays_zip(F.slice("ring", F.lit(1), n - 1).alias("a"), F.slice("ring", F.lit(2), n - 1).alias("b"))).alias("e")
     return rings.select("poly_id", step).select("poly_id", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def wkt_rings(text: Column) -> Column:
+    """All rings of a WKT POLYGON or MULTIPOLYGON: array of (opens, points), ``opens`` where a ring begins a part, else a hole.
+
+    Null and EMPTY give no rings; a coordinate that is no number is null in its point.
+    """
+    clean = F.regexp_replace(text, r"\s*([(),])\s*", "$1")
+    opens = F.regexp_extract_all(clean, F.lit(r"(\(+)([^()]+)\)"), F.lit(1))
+    bodies = F.regexp_extract_all(clean, F.lit(r"(\(+)([^()]+)\)"), F.lit(2))
+    point = lambda p: F.transform(F.array(F.split(p, r"\s+")), lambda xy: F.struct(F.try_element_at(xy, F.lit(1)).try_cast("double").alias("x"), F.try_element_at(xy, F.lit(2)).try_cast("double").alias("y")))[0]
+    rings = F.zip_with(opens, bodies, lambda o, b: F.struct((F.length(o) >= 2).alias("opens"), F.transform(F.split(b, ","), point).alias("points")))
+    return F.coalesce(rings, F.array().cast("array<struct<opens:boolean,points:array<struct<x:double,y:double>>>>"))
+
+
+def wkt_edges(areas, ident: str, text: str):
+    """Edges (poly_id, part, ring, seq, x1, y1, x2, y2) of areas with WKT: outer rings counter-clockwise, holes clockwise.
+
+    Parts, rings of a part and edges count from 0. A ring that is not closed, has fewer than four
+    points or one that is no number raises, with the area's id.
+    """
+    ring = areas.select(F.col(ident).alias("poly_id"), F.posexplode(wkt_rings(F.col(text))).alias("_n", "_r")).select("poly_id", "_n", F.col("_r.opens").alias("opens"), F.col("_r.points").alias("p"))
+    bad = (F.size("p") < 4) | F.exists("p", lambda q: q["x"].isNull() | q["y"].isNull()) | (F.element_at("p", 1) != F.element_at("p", -1))
+    pairs = F.arrays_zip(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))).alias("a"), F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).alias("b"))
+    twice = F.aggregate(pairs, F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not a closed ring in area "), F.col("poly_id").cast("string")))).otherwise(F.col("p"))
+    ring = ring.select("poly_id", "_n", "opens", F.when((twice > 0) == F.col("opens"), checked).otherwise(F.reverse(checked)).alias("ring"))
+    order = Window.partitionBy("poly_id").orderBy("_n")
+    ring = ring.withColumn("part", F.sum(F.col("opens").cast("int")).over(order) - 1)
+    ring = ring.withColumn("k", F.row_number().over(Window.partitionBy("poly_id", "part").orderBy("_n")) - 1)
+    n = F.size("ring") - 1
+    step = F.posexplode(F.arrays_zip(F.slice("ring", F.lit(1), n).alias("a"), F.slice("ring", F.lit(2), n).alias("b"))).alias("seq", "e")
+    return ring.select("poly_id", "part", F.col("k").alias("ring"), step).select("poly_id", "part", "ring", "seq", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skygrid.operators.spatial import inside
+from skygrid.sources.scratch import written
+
 
 def order(ident: str, seed: str = "") -> list[Column]:
     return [F.md5(F.concat(F.lit(seed), F.col(ident).cast("string")).cast("binary")), F.col(ident)]
@@ -48,3 +51,38 @@ def majority_cap(rows: DataFrame, ident: str, label: str, share: float) -> DataF
 def bucket(ident: Column, seed: str, buckets: int) -> Column:
     """A bucket by md5 of seed and id: for calibration splits and folds."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), ident.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
+def uniform(seed: str, *parts: Column) -> Column:
+    """A number from 0 up to 1 by md5 of seed and parts."""
+    text = F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def probes(edges: DataFrame, quota: int, seed: str, bin_deg: float = 1.0, rounds: int = 40) -> DataFrame:
+    """(poly_id, n, lon, lat): ``quota`` points of each polygon, uniform by area on the sphere, numbered from 0.
+
+    Draw i of a polygon hangs on seed, polygon and i only: a point in its box that counts if it lies
+    inside. The first ``quota`` that count are taken, whatever the partitions. A round makes twice the quota of
+    draws for polygons that still lack points; after ``rounds`` of them those that lack any raise.
+    """
+    ends = [g(f(f"{x}1", f"{x}2")).alias(n) for n, g, f, x in (("w", F.min, F.least, "x"), ("e", F.max, F.greatest, "x"), ("s", F.min, F.least, "y"), ("n", F.max, F.greatest, "y"))]
+    short, out = written(edges.groupBy("poly_id").agg(*ends).withColumn("lack", F.lit(quota))), None
+    sine = lambda c: F.sin(F.radians(c))
+    for r in range(rounds):
+        if short.isEmpty():
+            return out.select("poly_id", "n", "lon", "lat")
+        i = F.explode(F.sequence(F.lit(2 * quota * r).cast("long"), F.lit(2 * quota * (r + 1) - 1).cast("long")))
+        drawn = short.withColumn("i", i)
+        lon = F.col("w") + uniform(seed, F.col("poly_id"), F.col("i"), F.lit("x")) * (F.col("e") - F.col("w"))
+        lat = F.degrees(F.asin(sine("s") + uniform(seed, F.col("poly_id"), F.col("i"), F.lit("y")) * (sine("n") - sine("s"))))
+        drawn = drawn.select(F.struct("poly_id", "i").alias("id"), "poly_id", "i", "lack", lon.alias("lon"), lat.alias("lat"))
+        hit = inside(drawn, edges.join(short.select("poly_id"), "poly_id", "left_semi"), bin_deg).where("id.poly_id = poly_id").select("id")
+        place = F.row_number().over(Window.partitionBy("poly_id").orderBy("i")) - 1
+        took = written(drawn.join(hit, "id", "left_semi").withColumn("p", place).where("p < lack").select("poly_id", (F.lit(quota) - F.col("lack") + F.col("p")).alias("n"), "lon", "lat"))
+        out = took if out is None else out.unionByName(took)
+        got = took.groupBy("poly_id").agg(F.count(F.lit(1)).alias("got"))
+        short = written(short.join(got, "poly_id", "left").withColumn("lack", F.col("lack") - F.coalesce("got", F.lit(0))).drop("got").where("lack > 0"))
+    if short.isEmpty():
+        return out.select("poly_id", "n", "lon", "lat")
+    raise ValueError(f"polygons without {quota} points after {rounds} rounds: {[x.poly_id for x in short.select('poly_id').limit(10).collect()]}")

@@ -183,3 +183,15 @@ def _numbers(texts: pd.Series) -> pd.Series:
 def json_numbers(rows: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, path, value) of every number in JSON texts, with dotted paths; booleans are none."""
     return rows.select(ident, F.explode(_numbers(text)).alias("e")).select(ident, "e.path", "e.value")
+
+
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """Administrative areas (osm_id, admin_level, name, name_en, wkt) of a CSV with header; of an area's rows the first counts.
+
+    Fields may be as long as a line may: a state's WKT has megabytes.
+    """
+    schema = "osm_id long, admin_level string, name string, name_en string, wkt string"
+    rows = spark.read.csv(path, schema=schema, header=True, maxCharsPerColumn=-1, escape='"')
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    first = rows.withColumn("_at", place).groupBy("osm_id", "admin_level").agg(F.min_by(F.struct("name", "name_en", "wkt"), "_at").alias("r"))
+    return first.select("osm_id", "admin_level", "r.*")
