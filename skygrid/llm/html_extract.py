@@ -8,8 +8,8 @@ share of the standard deviation of the fused ratios) are content paths. The inne
 holds three quarters of the text on content paths is the article; so headings and short lines between
 content nodes stay. Where that is the whole page (a short article in a large frame), names break the
 tie: the ratios are taken again without elements that are called navigation, header, footer or sidebar.
-Of the article, such elements go too, as do, before any ratio, those called advert, form, notice or
-comment, which no ratio tells from prose.
+Such elements inside of the article go too; one that the article itself lies in, by its ratios, was badly named.
+Elements called advert, form, notice or comment go before any ratio, as none tells them from prose.
 
 Pages are independent: one Arrow map over the table, no shuffle.
 """
@@ -41,15 +41,9 @@ ENDS_P = BLOCK - frozenset("html body".split())
 ENDS_OWN = {"li": {"ul", "ol", "menu"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}}
 BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?(?:-?(?:banner|notice|consent|bar))?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|reactions?|widget|copyright|legal)(?![a-z])")
 FRAME_NAME = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|toolbar|pagination|pager|skip-link)(?![a-z])")
-GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story|main|body|content)(?![a-z])")
+GOOD_END = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story|main|body|content)$")
 BAD_ROLE = frozenset("search dialog alert form".split())
 FRAME_ROLE = frozenset("navigation banner contentinfo complementary menu menubar toolbar".split())
-
-NAME = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?(?:-?(?:banner|notice|consent|bar))?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|reactions?|widget|toolbar|pagination|pager|skip-link|copyright|legal)(?![a-z])")
-GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article|entry|post|story|main|body|content)(?![a-z])")
-BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)[A-Za-z][^<>]*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -61,20 +55,23 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|_")
 
 @dataclass(slots=True)
 class Node:
-    """An open element: its tag path and the container around it as numbers; whether it is no part of an article, or of the frame."""
+    """An open element: its tag path and the container around it as numbers; whether it is no part of an article.
+
+    ``frame``: how many containers had opened when the innermost frame element around it began, -1 for none.
+    """
 
     name: str
     path: int
     container: int
     apart: bool = False
-    frame: bool = False
+    frame: int = -1
 
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block: the pieces of text between block boundaries, with path, container, and whether they are apart or frame."""
+    """Text of one block: the pieces of text between block boundaries, with path, container, whether they are apart, and frame."""
 
-    pieces: list[tuple[str, int, int, bool, bool]] = field(default_factory=list)
+    pieces: list[tuple[str, int, int, bool, int]] = field(default_factory=list)
 
 
 @dataclass
@@ -102,8 +99,8 @@ def _attributes(tag: str) -> tuple[bool, bool, bool]:
         elif key in ("class", "id"):
             for word in value.split():
                 word = CAMEL.sub("-", word).lower()
-                if not GOOD_NAME.search(word):
-                    bad, frame = bad or bool(BAD_NAME.search(word)), frame or bool(FRAME_NAME.search(word))
+                bad = bad or bool(BAD_NAME.search(word))
+                frame = frame or bool(FRAME_NAME.search(word)) and not GOOD_END.search(word)
     return bad, frame, hidden
 
 
@@ -206,7 +203,7 @@ def parse(source: str) -> Page:
         if name in VOID or tag.endswith("/>") and name not in BLOCK:
             continue
         bad, frame, hidden = _attributes(tag) if any(c in tag for c in " \n\t\r\f/") else (False, False, False)
-        top, container = stack[-1], stack[-1].container
+        top, container, number = stack[-1], stack[-1].container, len(page.ends)
         if name in CONTAINER:
             container = len(page.ends)
             page.ends.append(n)
@@ -215,7 +212,7 @@ def parse(source: str) -> Page:
         else:
             apart = hidden or bad and name not in ("html", "body") or name in NEVER
             frame = frame and name not in ("html", "body") or name in FRAME and not (name == "header" and inside and not frame)  # an article's own heading
-        stack.append(Node(name, paths.setdefault((top.path, name), len(paths) + 1), container, top.apart or apart, top.frame or frame))
+        stack.append(Node(name, paths.setdefault((top.path, name), len(paths) + 1), container, top.apart or apart, number if frame else top.frame))
         is_open[name] += 1
         inside += name in LANDMARK
     cut()
@@ -253,7 +250,7 @@ def content_paths(parts: list[tuple[int, str]], share: float) -> set[int]:
     return {p for p, x in zip(paths, fused, strict=True) if x >= share * deviation}
 
 
-def article(page: Page, found: list[tuple[str, int, int, bool]], share: float) -> int:
+def article(page: Page, found: list[tuple[str, int, int, int]], share: float) -> int:
     """The innermost container that holds three quarters of the text on content paths of (text, path, container, frame)."""
     paths = content_paths([(p, t) for t, p, _, _ in found], share)
     own = [0] * len(page.ends)
@@ -270,23 +267,26 @@ def main_text(source: str | None, share: float = 0.5) -> str:
         return ""
     page, found = parse(source), []
     for b in page.blocks:
-        for frame in (False, True):  # a block is of one kind, unless an inline element says otherwise
+        for frame in sorted({p[4] for p in b.pieces}):  # a block is of one kind, unless an inline element says otherwise
             pieces = [p for p in b.pieces if not p[3] and p[4] == frame]
             text = SPACE.sub(" ", "".join(p[0] for p in pieces)).strip()
             if text:
                 found.append((text, max(pieces, key=lambda p: len(p[0]))[1], pieces[0][2], frame))
     region = article(page, found, share)
-    inner = [x for x in found if not x[3]]
     if all(page.holds(region, c) for _, _, c, _ in found):
-        region = article(page, inner, share)
-    return "\n".join(t for t, _, c, _ in inner if page.holds(region, c))
+        region = article(page, [x for x in found if x[3] < 0], share)
+    inside = [x for x in found if page.holds(region, x[2])]
+    own = [x for x in inside if x[3] <= region]  # frames that begin inside of the region are not the article
+    return "\n".join(x[0] for x in own or inside)
 
 
 def extract(pages: DataFrame, share: float = 0.5) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points). ``share``: threshold in standard deviations.
 
     A null or empty html has an empty text, as has a page without text; a null page_id or url stays null;
-    repeated rows each give one; an empty table gives an empty one.
+    repeated rows each give one; an empty table gives an empty one. Pages are read whole, however long, in time
+    linear in their length. Of containers that hold equal shares the innermost, then the last is the article.
+    Other columns are ignored, whatever their names.
     """
     small_batches(pages.sparkSession)
 

@@ -1,5 +1,7 @@
 import time
 
+import pytest
+
 from skygrid.llm import html_extract
 from skygrid.llm.html_extract import extract, main_text
 
@@ -54,3 +56,28 @@ def test_time_is_linear_in_the_page():
         began = time.process_time()
         main_text(page)
         assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("name", ["class=post-comments", "id=comments-content", "class=content-ad", "class=entry-footer", "class='x post-navigation'", "class=articleComments", "role=navigation", "class=main-newsletter"])
+def test_bad_names_win_over_good_ones(name):
+    page = f"<body><article class=post-content><h1>Head</h1><p>The text, which is long enough. It says so.</p><div {name}><p>Not of the article, though it reads like it. At length, too.</p></div><p>And its end, as good as that.</p></article></body>"
+    assert main_text(page) == "Head\nThe text, which is long enough. It says so.\nAnd its end, as good as that."
+
+
+def misnamed(links: int, outer: str) -> str:
+    menu = "".join(f"<li><a href='/{i}'>Part {i} of it</a></li>" for i in range(links))
+    text = "".join(f"<p>Paragraph {i} has much to say, and it says it; at some length, too. It goes on, and on.</p>" for i in range(4))
+    return f"<body><div class=links><ul>{menu}</ul></div><{outer}><div class=text><h2>A heading</h2>{text}<nav><a>Next</a></nav></div></{outer.split()[0]}><div class=more><ul>{menu}</ul></div></body>"
+
+
+@pytest.mark.parametrize("outer", ["div class=header-wrap", "div id=sidebar-left", "section role=complementary", "aside"])
+def test_ratios_overrule_a_frame_name_around_the_article(monkeypatch, outer):
+    wanted = ["A heading"] + [f"Paragraph {i} has much to say, and it says it; at some length, too. It goes on, and on." for i in range(4)]
+    assert main_text(misnamed(30, outer)).split("\n") == wanted
+    monkeypatch.setattr(html_extract, "content_paths", lambda parts, share: {p for p, _ in parts})
+    assert main_text(misnamed(30, outer)).split("\n") != wanted
+
+
+def test_ties_take_the_innermost_container():
+    page = "<body><div><div><p>All of the text, and no more than that. It is here.</p></div></div></body>"
+    assert main_text(page) == "All of the text, and no more than that. It is here."
