@@ -310,7 +310,7 @@ def _bg(name: str, expr: str) -> str:
 
 _DETECTED = f"""
 WITH {_GRID}, ext AS (SELECT granule, max("row") AS rows, max("col") AS cols FROM px GROUP BY 1),
-cand AS (SELECT px.granule, px."row", px."col", greatest(0, least(rows, px."row" + a.i)) AS r, greatest(0, least(cols, px."col" + b.i)) AS c FROM px JOIN ext USING (granule), range(-2, 3) a(i), range(-2, 3) b(i) WHERE mir > 3000),
+cand AS (SELECT px.granule, px."row", px."col", greatest(0, least(rows, px."row" + a.i)) AS r, greatest(0, least(cols, px."col" + b.i)) AS c FROM px JOIN ext USING (granule), range(-5, 6) a(i), range(-5, 6) b(i) WHERE mir > 3000),
 near AS (SELECT c.granule, c."row", c."col", p.mir AS m, p.tir1 AS t FROM cand c JOIN px p ON p.granule = c.granule AND p."row" = c.r AND p."col" = c.c),
 {_bg("mir", "m")}, {_bg("diff", "(m - t)")}, {_bg("tir", "t")}
 SELECT px.granule, px."row", px."col", round(px.mir / 10, 6) AS mir, round(b_mir.bg / 10, 6) AS bg_mir, round(b_diff.bg / 10, 6) AS bg_diff, round(b_tir.bg / 10, 6) AS bg_tir1 FROM px JOIN b_mir USING (granule, "row", "col") JOIN b_diff USING (granule, "row", "col") JOIN b_tir USING (granule, "row", "col")
@@ -319,7 +319,7 @@ WHERE mir > 3000 AND mir > b_mir.bg + greatest(40, 3 * b_mir.mad) AND mir - tir1
 
 @query(_DETECTED)
 def contextual_detector(t):
-    out = raster.detect(pixels(t), floor=3000, margin=40.0, spread=3.0, deficit=-10.0, radius=2)
+    out = raster.detect(pixels(t), floor=3000, margin=40.0, spread=3.0, deficit=-10.0, radius=5)
     return rounded(out.select("granule", "row", "col", *((F.col(c) / 10).alias(c) for c in ("mir", "bg_mir", "bg_diff", "bg_tir1"))))
 
 
