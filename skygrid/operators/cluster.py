@@ -12,6 +12,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skygrid.functions.geo import R
 from skygrid.operators.spatial import in_box
 
 
@@ -84,3 +85,29 @@ def sweep(points: DataFrame, edges: DataFrame, radii: list[int]) -> DataFrame:
         row = n.agg(F.lit(r).alias("metres"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") >= 2).alias("linked"), F.max("n").alias("largest"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def summary(members: DataFrame, least: int, registered_m: float) -> DataFrame:
+    """One row a cluster of ``least`` members or more, the largest first (then by cluster).
+
+    members: (cluster, lon, lat, state, priors, night, asset_m). Centre to five places; the commonest state, the
+    smaller name if tied, null without any; the spread is the largest distance from the centre with both
+    coordinates as angles on the sphere, unscaled; an asset that no member has in reach is null and not registered.
+    """
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("detections"), F.avg("lon").alias("_x"), F.avg("lat").alias("_y"), F.max("priors").alias("max_priors"), F.round(F.avg(F.col("night").cast("double")), 3).alias("night_fraction"), F.min("asset_m").alias("_m")).where(F.col("detections") >= least)
+    states = members.where("state is not null").groupBy("cluster", "state").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "state")).alias("s"))
+    angle = F.sqrt(F.pow(F.radians(F.col("lat") - F.col("_y")), 2) + F.pow(F.radians(F.col("lon") - F.col("_x")), 2))
+    far = members.join(size.select("cluster", "_x", "_y"), "cluster").groupBy("cluster").agg(F.max(angle * R).alias("_far"))
+    out = size.join(far, "cluster").join(states, "cluster", "left")
+    return out.select("cluster", F.round("_x", 5).alias("lon"), F.round("_y", 5).alias("lat"), F.col("s.state").alias("state"), "detections", "max_priors", "night_fraction", F.round("_m").cast("long").alias("nearest_asset_m"), F.coalesce(F.col("_m") <= registered_m, F.lit(False)).alias("registered"), F.round("_far").cast("long").alias("spread_m")).orderBy(F.desc("detections"), "cluster")
+
+
+def density_sweep(points: DataFrame, edges: DataFrame, radii: list[float], leasts: list[int]) -> DataFrame:
+    """Per radius and least neighbourhood: clusters, points in them, points in none; from one list of edges at the largest radius."""
+    edges, out = _saved(edges), None
+    for r in radii:
+        for least in leasts:
+            found = dbscan(points, edges.where(F.col("metres") <= r).select("a", "b"), least)
+            row = found.agg(F.lit(r).alias("metres"), F.lit(least).alias("least"), F.countDistinct("cluster").alias("clusters"), F.count("cluster").alias("clustered"), F.count_if(F.col("cluster").isNull()).alias("noise"))
+            out = row if out is None else out.unionByName(row)
+    return out

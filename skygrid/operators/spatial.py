@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.functions.geo import cell, distance_m, haversine_m
+from skygrid.functions.geo import cell, conic, distance_m, haversine_m
 
 
 def in_box(points: DataFrame, refs: DataFrame, half: float, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -96,3 +96,41 @@ def edge_distance_sweep(points: DataFrame, edges: DataFrame, radii_m: list[int])
     m = near.groupBy("id").agg(F.min(segment_m(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")))).alias("m"))
     wide = points.select("id").join(m, "id", "left").agg(F.count(F.lit(1)).alias("orphans"), *(F.count_if(F.col("m") <= r).alias(str(r)) for r in radii_m))
     return wide.unpivot(["orphans"], [str(r) for r in radii_m], "metres", "within").select(F.col("metres").cast("int").alias("metres"), "within", "orphans")
+
+
+def conic_segment_m(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Metres from a point to its closest point on a segment, all in metres of one plane."""
+    dx, dy = x2 - x1, y2 - y1
+    along = F.coalesce(((x - x1) * dx + (y - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.hypot(x - x1 - t * dx, y - y1 - t * dy)
+
+
+def other_group_m(points: DataFrame, edges: DataFrame, reach: float, bin_deg: float = 1.0) -> DataFrame:
+    """(id, metres) of points (id, grp, lon, lat): distance on the national conic to the nearest polygon of another group.
+
+    Edges are (poly_id, grp, x1, y1, x2, y2) in degrees, straight on the conic. A point inside such a polygon is
+    at 0; null: none within ``reach``. An edge is met by the squares of twice ``reach`` that its box, widened, touches.
+    """
+    side = 2 * reach
+    ends = dict(zip(("_x1", "_y1", "_x2", "_y2"), (*conic(F.col("x1"), F.col("y1")), *conic(F.col("x2"), F.col("y2"))), strict=True))
+    flat = edges.withColumns(ends).select(F.col("grp").alias("_grp"), *ends)
+    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - reach, side), cell(F.greatest(a, b) + reach, side)))
+    flat = flat.withColumn("_bx", span("_x1", "_x2")).withColumn("_by", span("_y1", "_y2"))
+    x, y = conic(F.col("lon"), F.col("lat"))
+    own = points.withColumns({"_x": x, "_y": y}).withColumns({"_bx": cell(F.col("_x"), side), "_by": cell(F.col("_y"), side)})
+    near = own.join(flat, ["_bx", "_by"]).where("grp <> _grp").withColumn("m", conic_segment_m(*(F.col(c) for c in ("_x", "_y", *ends)))).where(F.col("m") <= reach)
+    groups = edges.select("poly_id", F.col("grp").alias("_grp")).distinct()
+    within = inside(points, edges, bin_deg).join(groups, "poly_id").join(points.select("id", "grp"), "id").where("grp <> _grp").select("id", F.lit(0.0).alias("m"))
+    best = near.select("id", "m").unionByName(within).groupBy("id").agg(F.min("m").alias("metres"))
+    return points.select("id").join(best, "id", "left")
+
+
+def region_distances(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """(id, poly_id, metres): each point (id, lon, lat) with every polygon that has an edge within ``reach``, and the distance to its nearest edge."""
+    degrees = reach / 111195.0797
+    span = lambda a, b, r: F.explode(F.sequence(cell(F.least(a, b) - r, 1.0), cell(F.greatest(a, b) + r, 1.0)))
+    binned = edges.withColumn("_bx", span("x1", "x2", 2 * degrees)).withColumn("_by", span("y1", "y2", degrees))
+    near = points.withColumn("_bx", cell(F.col("lon"), 1.0)).withColumn("_by", cell(F.col("lat"), 1.0)).join(binned, ["_bx", "_by"])
+    m = near.groupBy("id", "poly_id").agg(F.min(segment_m(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")))).alias("metres"))
+    return m.where(F.col("metres") <= reach)

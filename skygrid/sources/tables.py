@@ -127,8 +127,10 @@ def finite(df: DataFrame) -> DataFrame:
     return df
 
 
-def write_release(df: DataFrame, path: str, kind: str) -> None:
-    """Parquet with ZSTD, gzipped CSV with header, or JSON that refuses what is not finite."""
+def write_release(df: DataFrame, path: str, kind: str, order: list[str] | None = None) -> None:
+    """Parquet with ZSTD, gzipped CSV with header, or JSON that refuses what is not finite; files and their rows in ``order``."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     if kind == "parquet":
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     elif kind == "csv":
@@ -195,3 +197,24 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
     place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
     first = rows.withColumn("_at", place).groupBy("osm_id", "admin_level").agg(F.min_by(F.struct("name", "name_en", "wkt"), "_at").alias("r"))
     return first.select("osm_id", "admin_level", "r.*")
+
+
+def first_row_status(assets: DataFrame, key: str, sheet: DataFrame, sheet_key: str, status: str, line: str) -> DataFrame:
+    """assets with ``status``: that of the key's first row in the sheet (by ``line``, ties by status), '' where the sheet lacks the key or the row its status."""
+    first = sheet.groupBy(F.trim(F.col(sheet_key).cast("string")).alias("_k")).agg(F.min(F.struct(F.col(line).alias("l"), F.col(status).alias("s"))).alias("_r"))
+    return assets.join(first, F.trim(F.col(key).cast("string")) == F.col("_k"), "left").withColumn("status", F.coalesce("_r.s", F.lit(""))).drop("_k", "_r")
+
+
+def window_warnings(windows: DataFrame, tiers: dict[str, list[str]], available: DataFrame) -> DataFrame:
+    """(win, sensor, warning) of windows (win, start, end): sources that nobody offers, and sensors that cover none or part of a window.
+
+    ``tiers`` names each sensor's sources; available: (source, first, last). Days of a sensor are added over its sources.
+    """
+    pairs = F.array(*(F.struct(F.lit(sensor).alias("sensor"), F.lit(source).alias("source")) for sensor, sources in tiers.items() for source in sources))
+    met = windows.withColumn("_t", F.explode(pairs)).select("win", "start", "end", "_t.*").join(available, "source", "left")
+    first, last = F.greatest("start", "first"), F.least("end", "last")
+    days = F.when(F.col("first").isNotNull(), F.greatest(F.datediff(last, first) + 1, F.lit(0))).otherwise(0)
+    absent = met.where("first is null").select("win", "sensor", F.concat("source", F.lit(" absent from the availability response")).alias("warning"))
+    covered = met.groupBy("win", "sensor", "start", "end").agg(F.sum(days).alias("d")).withColumn("all", F.datediff("end", "start") + 1)
+    told = F.when(F.col("d") == 0, F.concat_ws(" ", "sensor", F.lit("covers none of"), "start", F.lit("to"), "end")).when(F.col("d") < F.col("all"), F.concat_ws(" ", "sensor", F.lit("covers"), "d", F.lit("of"), "all", F.lit("days in"), "start", F.lit("to"), "end"))
+    return absent.unionByName(covered.select("win", "sensor", told.alias("warning")).where("warning is not null"))

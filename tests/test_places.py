@@ -209,3 +209,53 @@ def test_typed_json(spark):
     assert sorted(map(tuple, strict_json.strict(good, "doc", SHAPE).collect())) == sorted(map(tuple, good.collect()))
     with pytest.raises(Exception, match=r"not of the shape: \$\.id: expected integer, found string"):
         strict_json.strict(rows.where("i = 3"), "doc", SHAPE).collect()
+
+
+def test_whitelist_refuses_what_it_must(spark):
+    from skygrid.functions import matrix
+
+    rows = spark.createDataFrame([(1, 2.0, None, 3.0)], "id int, a double, b double, lat double")
+    assert matrix.whitelisted(rows, ["id"], ["b", "a"], ["label"], ["lat"]).columns == ["id", "b", "a"]
+    for features, told in ((["a", "lat"], "lat tells the place"), (["a", "a"], "a is named twice"), (["a", "zz"], "no column zz")):
+        with pytest.raises(ValueError, match=told):
+            matrix.whitelisted(rows, ["id"], features, ["label"], ["lat"])
+    with pytest.raises(ValueError, match="a defines the label"):
+        matrix.whitelisted(rows, [], ["a"], ["a"], [])
+    seen = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (float("nan"), 1.0)], "a double, b double")
+    assert [r[0] for r in seen.select(matrix.observed(["a", "b"])).collect()] == [True, False, False]
+
+
+def test_summary_of_clusters(spark):
+    from skygrid.operators import cluster
+
+    rows = [(1, 80.0, 20.0, "B", 3, True, None), (1, 80.2, 20.0, "A", 9, False, 400.0), (1, 80.1, 20.3, None, 1, True, 900.0), (2, 70.0, 10.0, None, 0, False, None), (2, 70.0, 10.0, None, 0, False, None), (3, 1.0, 1.0, "C", 1, True, 1.0)]
+    got = cluster.summary(spark.createDataFrame(rows, "cluster int, lon double, lat double, state string, priors int, night boolean, asset_m double"), 2, 500).collect()
+    spread = round(geo.R * max(math.hypot(math.radians(x - 80.1), math.radians(y - 20.1)) for x, y in ((80.0, 20.0), (80.2, 20.0), (80.1, 20.3))))
+    assert [tuple(r) for r in got] == [(1, 80.1, 20.1, "A", 3, 9, 0.667, 400, True, spread), (2, 70.0, 10.0, None, 2, 0, 0.0, None, False, 0)]
+
+
+def test_first_row_of_a_sheet_wins(spark):
+    from skygrid.sources import tables
+
+    sheet = spark.createDataFrame([("k1 ", "operating", 7), ("k1", "retired", 2), ("k2", None, 1), ("k2", "later", 5)], "k string, s string, line int")
+    got = tables.first_row_status(spark.createDataFrame([("k1",), (" k2",), ("k3",)], "id string"), "id", sheet, "k", "s", "line")
+    assert {r.id: r.status for r in got.collect()} == {"k1": "retired", " k2": "", "k3": ""}
+
+
+def test_release_is_in_order(spark, tmp_path):
+    from skygrid.sources import tables
+
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("t"), "id")
+    tables.write_release(rows, str(tmp_path / "o"), "csv", ["t", "id"])
+    read = [int(r.t) for f in sorted((tmp_path / "o").glob("part*")) for r in spark.read.csv(str(f), header=True).collect()]
+    assert read == list(range(500))
+
+
+def test_exposure_on_the_conic(spark):
+    square = lambda i, g, x: [(i, g, x, 20.0, x + 1, 20.0), (i, g, x + 1, 20.0, x + 1, 21.0), (i, g, x + 1, 21.0, x, 21.0), (i, g, x, 21.0, x, 20.0)]
+    edges = spark.createDataFrame(square(1, 0, 80.0) + square(2, 1, 81.5), "poly_id long, grp int, x1 double, y1 double, x2 double, y2 double")
+    pts = [(1, 0, 80.9, 20.5), (2, 0, 80.1, 20.5), (3, 1, 80.5, 20.5), (4, 1, 82.0, 20.5)]
+    got = {r.id: r.metres for r in spatial.other_group_m(spark.createDataFrame(pts, "id long, grp int, lon double, lat double"), edges, 90_000).collect()}
+    assert got[1] == pytest.approx(vincenty(80.9, 20.5, 81.5, 20.5), rel=0.02)
+    assert got[2] is None and got[3] == 0.0
+    assert got[4] == pytest.approx(vincenty(82.0, 20.5, 81.0, 20.5), rel=0.02) if got[4] else got[4] is None
