@@ -53,14 +53,23 @@ def active_runs(rows: DataFrame, key: str, day: Column) -> DataFrame:
 def asof_nearest(left: DataFrame, right: DataFrame, tolerance_s: int) -> DataFrame:
     """Each left (id, at) with the right (ref_id, rat) nearest in time within the tolerance, the earlier and smaller if tied.
 
-    Time bins of the tolerance's width give an equi-join; a right row is spread over three bins.
+    Both sides are dealt into bins of the tolerance's width and sorted by time; the nearest ones before and
+    after come with running frames in the bin, or are the last and first of the bins beside it. Every row is in one bin, so work
+    is linear however many rows share one. A left row without a time has no match.
     """
     width = tolerance_s * 1_000_000
-    spread = right.withColumn("_rus", micros(F.col("rat"))).withColumn("_b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("_rus") / width) + d)))
-    own = left.withColumn("_us", micros(F.col("at"))).withColumn("_b", F.floor(F.col("_us") / width))
-    near = own.join(spread, "_b").withColumn("_gap", F.abs(F.col("_us") - F.col("_rus"))).where(F.col("_gap") <= width)
-    best = near.groupBy("id").agg(F.min(F.struct("_gap", "_rus", "ref_id")).alias("_m"))
-    return left.join(best, "id", "left").select("id", F.col("_m.ref_id").alias("ref_id"), (F.col("_m._gap") / 1e6).alias("gap_s"))
+    refs = right.where("rat is not null").groupBy(micros(F.col("rat")).alias("_us")).agg(F.min("ref_id").alias("ref_id")).withColumn("_own", F.lit(False))
+    refs = refs.withColumn("_r", F.struct("_us", "ref_id"))
+    rows = left.select("id", micros(F.col("at")).alias("_us")).withColumn("_own", F.lit(True))
+    both = rows.where("_us is not null").unionByName(refs.drop("ref_id"), allowMissingColumns=True).withColumn("_b", F.floor(F.col("_us") / width))
+    near = lambda *order: F.last("_r", ignorenulls=True).over(Window.partitionBy("_b").orderBy(*order, "_own").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_before", near(F.col("_us").asc())).withColumn("_after", near(F.col("_us").desc())).where("_own")
+    ends = refs.groupBy(F.floor(F.col("_us") / width).alias("_b")).agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
+    found = found.join(ends.select((F.col("_b") + 1).alias("_b"), "_last"), "_b", "left").join(ends.select((F.col("_b") - 1).alias("_b"), "_first"), "_b", "left")
+    one = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_us") - F.col(f"{c}._us")).alias("gap"), F.col(f"{c}._us").alias("us"), F.col(f"{c}.ref_id").alias("ref_id")))
+    best = F.least(*map(one, ("_before", "_after", "_last", "_first")))
+    kept = found.withColumn("_m", best).withColumn("_m", F.when(F.col("_m.gap") <= width, F.col("_m"))).select("id", F.col("_m.ref_id").alias("ref_id"), (F.col("_m.gap") / 1e6).alias("gap_s"))
+    return kept.unionByName(rows.where("_us is null").select("id"), allowMissingColumns=True)
 
 
 def day_gaps(rows: DataFrame, keys: list[str], day: Column) -> DataFrame:

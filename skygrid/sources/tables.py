@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
@@ -167,24 +170,42 @@ def json_integer(text: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(found) == "BIGINT", F.try_variant_get(found, "$", "bigint"))
 
 
-@F.pandas_udf(ArrayType(StructType().add("path", StringType()).add("value", DoubleType())))
-def _numbers(texts: pd.Series) -> pd.Series:
-    def walk(x, path):
-        if isinstance(x, dict):
-            for k, v in x.items():
-                yield from walk(v, [*path, k])
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                yield from walk(v, [*path, str(i)])
-        elif isinstance(x, int | float) and not isinstance(x, bool):
-            yield {"path": ".".join(path), "value": float(x)}
+def _no_number(text: str) -> float:
+    raise ValueError(f"{text} is no JSON")
+
 
-    return texts.map(lambda t: list(walk(json.loads(t), [])) if t else [])
+def numbers_in(text: str | None) -> list[tuple[str, float]]:
+    """(dotted path, value) of every number in a JSON text, however deep; nothing for null and for what is no JSON."""
+    try:
+        todo = [("", json.loads(text, parse_constant=_no_number))] if text else []
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict | list):
+            todo += [(f"{path}.{k}" if path else str(k), v) for k, v in (x.items() if isinstance(x, dict) else enumerate(x))]
+        elif isinstance(x, int | float) and not isinstance(x, bool):
+            with contextlib.suppress(OverflowError):  # beyond the doubles
+                found.append((path, float(x)))
+    return found
 
 
 def json_numbers(rows: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, path, value) of every number in JSON texts, with dotted paths; booleans are none."""
-    return rows.select(ident, F.explode(_numbers(text)).alias("e")).select(ident, "e.path", "e.value")
+    """(ident, path, value) of every number in JSON texts, with dotted paths; booleans are none, nor does a text that is no JSON have any."""
+    kind = dict(rows.dtypes)[ident]
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, values = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for path, value in numbers_in(t):
+                    at.append(i)
+                    paths.append(path)
+                    values.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.float64())], [ident, "path", "value"])
+
+    return rows.select(ident, text).mapInArrow(walk, f"`{ident}` {kind}, path string, value double")
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
