@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.llm.common import lower_words, mix, shingles, small_batches, table
+from skygrid.llm.common import by_key, lower_words, mix, shingles, small_batches, table, text_hash
 
 #: Items sent to the tasks at a time.
 ITEMS = 5_000
@@ -143,7 +143,14 @@ def _finder(items: list[tuple[int, list[bytes]]], k: int, similarity: float):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per document and item found in it: (doc_id, item_id, start_word, n_words, hamming, similarity), the best window.
+    """As ``keyed_matches``, without the hash of the text."""
+    return keyed_matches(docs, benchmark, k, similarity).drop("th")
+
+
+def keyed_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per document and item found in it: (doc_id, th, item_id, start_word, n_words, hamming, similarity), the best window.
+
+    ``th`` hashes the text, so that a clean text of the same doc_id is told apart.
 
     Null or empty texts match nothing, on either side; an item of fewer than k words is one shingle. Texts
     are searched whole, however long; of windows of equal similarity the first counts. A document stored
@@ -162,15 +169,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float
         def run(batches, own=own):
             find = _finder(own.value, k, similarity)
             for batch in batches:
-                found = [(d, i, -p, n, h, s) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, (s, p, n, h) in find(t).items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()], strict=True)], ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
+                found = [(d, th, i, -p, n, h, s) for d, th, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True) for i, (s, p, n, h) in find(t).items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()], strict=True)], ["doc_id", "th", "item_id", "start_word", "n_words", "hamming", "similarity"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, th long, item_id long, start_word long, n_words long, hamming int, similarity double")
         out = part if out is None else out.union(part)
     return out
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without those that hold an item. A null doc_id that holds one takes all rows with a null doc_id."""
-    bad = table(found.select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs without the rows whose (doc_id, text) holds an item, by ``keyed_matches``; null is a doc_id like any other.
+
+    From ``matches``, which does not tell the texts of a doc_id apart, all rows of the doc_id go.
+    """
+    keyed = "th" in found.columns
+    bad = table(found.select(F.col("doc_id").alias("_bad"), (F.col("th") if keyed else F.lit(0).cast("long")).alias("_th")).distinct())
+    on = docs["doc_id"].cast("long").eqNullSafe(bad["_bad"])
+    return by_key(docs, bad, on & (text_hash(docs["text"]) == bad["_th"]) if keyed else on, "left_anti")

@@ -175,6 +175,9 @@ def test_decontamination(spark):
     found = decontaminate.matches(docs, bench)
     assert [(r.doc_id, r.item_id, r.start_word) for r in found.collect()] == [(1, 7, 3)]
     assert {r.doc_id for r in decontaminate.clean(docs, found).collect()} == {2, 3, 4}
+    again = docs.union(spark.createDataFrame([(1, "another text, which is clean"), (None, item), (None, "clean"), (1, "a b c " + item.upper() + " d e")], docs.schema))
+    kept = decontaminate.clean(again, decontaminate.keyed_matches(again, bench)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(2, "clean text of some words here"), (3, None), (4, ""), (1, "another text, which is clean"), (None, "clean")])
 
 
 def test_the_index_prunes_and_keeps_the_radius():
