@@ -46,8 +46,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage; null and empty texts hold none."""
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drop documents that hold a benchmark passage; null and empty texts hold none, and a clean text of a doc_id whose other text holds one stays."""
+    found = decontaminate.keyed_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.clean(docs, found)
 
 
