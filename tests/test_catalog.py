@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from skygrid.plans import catalog, evidence  # noqa: F401  evidence adds queries to the catalog
+from skygrid.plans import catalog, evidence, models, places  # noqa: F401  the last three add queries to the catalog
 
 DATA = "/root/testdata/sf0.001"
 
