@@ -19,7 +19,7 @@ BUDGET = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier rejects, null and empty texts among them if it does."""
+    """Drop documents that the classifier rejects, null and empty texts among them if it does. Texts are read whole, however long; equal ones fare alike."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.classify(docs, model, ("_score", "_predicted"))
     return scored.where("_predicted = 1").select(*docs.columns)
@@ -52,12 +52,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's share of the token budget; no document twice, those without tokens as far as the prefix reaches."""
+    """Take each source's share of the token budget; no document twice, those without tokens as far as the prefix reaches.
+
+    A document's length counts in tokens, however long it is; rows that repeat a doc_id share their place and go or stay together.
+    """
     return mixing.mix(docs, WEIGHTS, budget=BUDGET, epochs=1, names=("_mixed_domain", "_mixed_epoch")).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assign each document its shard and slot, null and empty texts (size 16) too."""
+    """Assign each document its shard and slot, null and empty texts (size 16) too; no text is split, however long, and ties are told apart by a draw of doc_id and text."""
     return sharding.shard(docs, 40)
 
 

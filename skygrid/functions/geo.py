@@ -35,7 +35,10 @@ def local_solar_hour(hour: Column, lon: Column, meridian: float = 82.5) -> Colum
 
 
 def solar_zenith_deg(day: Column, hour: Column, lon: Column, lat: Column) -> Column:
-    """Solar zenith angle from the day of the year and the UTC hour (Fourier series of Spencer 1971)."""
+    """Solar zenith angle from the day of the year and the UTC hour (Fourier series of Spencer 1971).
+
+    Its coefficients are fixed values.
+    """
     g = (day - 1 + (hour - 12) / 24.0) * F.lit(2 * math.pi / 365)
     decl = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
     eqt = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
