@@ -1,4 +1,10 @@
-"""Density clustering as edges and connected components.
+"""Density clustering by cells of a grid and connected components.
+
+A cell is so small that its rows are all near each other: one component, and all core rows where it holds
+enough. So only neighbouring cells are compared, and of two crowded ones no more is asked than whether any rows
+of theirs are near: representatives of ever smaller parts answer that, and what they leave open is small. Rows
+are compared one by one only where one side is a cell with few rows; a heap of rows, even of equal ones, costs
+its size and never its square.
 
 Components: every round each vertex takes the smallest label among itself and its neighbours, then the
 label of its label. Rounds grow with the logarithm of a component's length; each is checkpointed to
@@ -7,13 +13,20 @@ cut lineage, and the loop ends only when no label changes.
 
 from __future__ import annotations
 
+import math
 import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.functions.geo import R
-from skygrid.operators.spatial import in_box
+from skygrid.functions.geo import R, distance_m
+from skygrid.sources.scratch import written
+
+#: Comparisons of two parts' rows that are made outright; above, the parts are split. Splits at most: coordinates differ by then.
+PAIRS, SPLITS = 256, 40
 
 
 def _saved(df: DataFrame) -> DataFrame:
@@ -41,47 +54,131 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def eps_edges(points: DataFrame, metres: float, half: float) -> DataFrame:
-    """Pairs a < b of points (id, lon, lat) within ``metres``; half: degrees that hold the distance."""
-    refs = points.select(F.col("id").alias("ref_id"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
-    return in_box(points, refs, half).where((F.col("id") < F.col("ref_id")) & (F.col("metres") <= metres)).select(F.col("id").alias("a"), F.col("ref_id").alias("b"), "metres")
-
-
-def single_link(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, cluster) of all points; a point without edges is its own cluster."""
-    found = components(edges)
-    return points.select("id").join(found.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("c", "id").alias("cluster"))
+@dataclass(frozen=True)
+class Space:
+    """What near means: at most ``eps`` by ``distance`` (of the columns of two structs).
 
+    Cells have edges of ``side`` over ``dims``; no two rows of one are further apart than ``spread`` (at most eps), and
+    rows near each other are at most ``reach`` cells apart along each dimension.
+    """
 
-def dbscan(points: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """(id, cluster): core points have ``least`` neighbours, themselves included; null is noise.
-
-    A border point goes to the cluster of its neighbouring core points that has the smallest first core id.
+    dims: tuple[str, ...]
+    eps: float
+    side: float
+    reach: int
+    spread: float
+    distance: Callable[[Column, Column], Column]
+
+    def cell(self, split: int = 0) -> Column:
+        """The cell of a row, or its part after so many halvings of the edges."""
+        return F.array(*(F.floor(F.col(c) * F.lit(2.0**split) / F.lit(self.side)).cast("long") for c in self.dims))
+
+    def around(self, half: bool = False) -> Column:
+        """Steps to the cells in reach, the own one included; half: each pair of cells once, without the own."""
+        steps = product(range(-self.reach, self.reach + 1), repeat=len(self.dims))
+        zero = (0,) * len(self.dims)
+        return F.array(*(F.array(*(F.lit(x).cast("long") for x in step)) for step in steps if not half or step > zero))
+
+
+def on_earth(metres: float, half: float) -> Space:
+    """Points (lon, lat) within metres of each other; half: degrees that hold the distance along both."""
+    side = metres / (1.5 * 111_700)  # no degree is longer
+    return Space(("lon", "lat"), metres, side, math.ceil(half / side), metres * math.sqrt(2) / 1.5, lambda a, b: distance_m(a["lon"], a["lat"], b["lon"], b["lat"]))
+
+
+def euclidean(dims: list[str], eps: float) -> Space:
+    side = eps / math.sqrt(len(dims)) * 0.999
+    square = lambda a, b: sum(((a[c] - b[c]) * (a[c] - b[c]) for c in dims), F.lit(0.0))
+    return Space(tuple(dims), eps, side, math.ceil(eps / side), eps * 0.9995, lambda a, b: F.sqrt(square(a, b)))
+
+
+def _whole(points: DataFrame, space: Space) -> DataFrame:
+    """(id, dims, k) of the points whose coordinates are numbers, with their cells."""
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    kept = points.select("id", *(F.col(c).cast("double").alias(c) for c in space.dims))
+    for c in space.dims:
+        kept = kept.where(number(c))
+    return kept.withColumn("k", space.cell())
+
+
+def _cell_links(rows: DataFrame, space: Space) -> DataFrame:
+    """(a, b): cells, by their smallest ids, that hold rows near each other. rows: (home, id, dims) of distinct coordinates."""
+    row = F.struct("id", *space.dims)
+
+    def parts(split: int) -> DataFrame:
+        return rows.groupBy("home", space.cell(split).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("r"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{x}_{c}") for c in df.columns))
+
+    def judged(pairs: DataFrame, split: int) -> DataFrame:
+        """Pairs with near: true if their representatives are, false if they are too far for any rows of theirs, else null."""
+        d = space.distance(F.col("x_r"), F.col("y_r"))
+        apart = d > space.eps + 2.02 * space.spread / 2**split
+        return written(pairs.withColumn("near", F.when(d <= space.eps, True).when(apart, False)).where("near is not false"))
+
+    cells = written(parts(0))
+    step = F.explode(space.around(half=True))
+    left = side(cells, "x").withColumn("_s", step).withColumn("y_k", F.zip_with("x_k", "_s", lambda k, s: k + s)).drop("_s")
+    open_ = judged(left.join(side(cells, "y"), "y_k"), 0)
+    ends = ["x_home", "y_home"]
+    links = open_.where("near").select(*ends).distinct()
+    for split in range(SPLITS + 1):
+        open_ = open_.where("near is null").join(links, ends, "left_anti")
+        few = (F.col("x_n") * F.col("y_n") <= PAIRS) if split < SPLITS else F.lit(True)
+        own = rows.select("home", space.cell(split).alias("k"), row.alias("r"))
+        tried = open_.where(few).drop("x_r", "y_r").join(side(own, "x"), ["x_home", "x_k"]).join(side(own, "y"), ["y_home", "y_k"])
+        links = links.unionByName(tried.where(space.distance(F.col("x_r"), F.col("y_r")) <= space.eps).select(*ends).distinct())
+        many = open_.where(~few)
+        if split == SPLITS or many.isEmpty():
+            break
+        links = written(links)
+        finer = written(parts(split + 1).withColumn("up", F.transform("k", lambda x: F.floor(x / 2).cast("long"))))
+        half = lambda x: side(finer, x).withColumnRenamed(f"{x}_up", f"{x}_k_")  # noqa: B023, E731
+        pairs = many.join(links, ends, "left_anti").select(*ends, F.col("x_k").alias("x_k_"), F.col("y_k").alias("y_k_"))
+        open_ = judged(pairs.join(half("x"), ["x_home", "x_k_"]).join(half("y"), ["y_home", "y_k_"]).drop("x_k_", "y_k_"), split + 1)
+        links = written(links.unionByName(open_.where("near").select(*ends)).distinct())
+    return links.select(F.col("x_home").alias("a"), F.col("y_home").alias("b")).distinct()
+
+
+def single_link(points: DataFrame, space: Space) -> DataFrame:
+    """(id, cluster) of all points (id, dims): the smallest id reachable over near points; a point without a number for a coordinate is alone."""
+    whole = _whole(points, space)
+    homes = written(whole.groupBy("k").agg(F.min("id").alias("home")))
+    rows = written(whole.groupBy("k", *space.dims).agg(F.min("id").alias("id")).join(homes, "k").drop("k"))
+    named = homes.join(components(_cell_links(rows, space)).withColumnRenamed("v", "home"), "home", "left").select("k", F.coalesce("c", "home").alias("cluster"))
+    own = whole.join(named, "k").select("id", "cluster")
+    return own.unionByName(points.join(whole, "id", "left_anti").select("id", F.col("id").alias("cluster")))
+
+
+def dbscan(points: DataFrame, space: Space, least: int) -> DataFrame:
+    """(id, cluster) of points (id unique, dims): core points have ``least`` near ones, themselves included; null is noise.
+
+    A border point goes to the cluster of its near core points that has the smallest first core id. A point without a
+    number for a coordinate is noise.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    core = _saved(both.groupBy(F.col("a").alias("id")).agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select("id"))
-    c1, c2 = core.withColumnRenamed("id", "a"), core.withColumnRenamed("id", "b")
-    own = core.join(components(edges.join(c1, "a", "left_semi").join(c2, "b", "left_semi")).withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("c", "id").alias("cluster"))
-    border = both.join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
+    whole = _whole(points, space)
+    sizes = written(whole.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    placed = written(whole.join(sizes, "k"))
+    row = F.struct(*space.dims)
+    few = placed.where(F.col("n") < least).select("id", row.alias("r"), F.explode(space.around()).alias("_s"), "k").select("id", "r", F.zip_with("k", "_s", lambda k, s: k + s).alias("k"))
+
+    def near(some: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows of cells with few of them, next to all others near them."""
+        return some.join(others.select("k", row.alias("o"), *(c for c in ("cluster",) if c in others.columns)), "k").where(space.distance(F.col("r"), F.col("o")) <= space.eps)
+
+    enough = near(few, placed).groupBy("id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least)
+    core = written(placed.where(F.col("n") >= least).unionByName(placed.where(F.col("n") < least).join(enough.select("id"), "id", "left_semi")).drop("n"))
+    own = written(single_link(core.drop("k"), space))
+    border = near(few.join(own, "id", "left_anti"), core.join(own, "id")).groupBy("id").agg(F.min("cluster").alias("near"))
     return points.select("id").join(own, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster"))
 
 
-def euclid_edges(points: DataFrame, dims: list[str], eps: float) -> DataFrame:
-    """Pairs a < b of points (id, dims) within eps of each other, from grid cells of that width."""
-    at = [F.floor(F.col(c) / eps).cast("long") for c in dims]
-    own = points.select(F.col("id").alias("a"), *(F.col(c).alias(f"_{c}") for c in dims), *(x.alias(f"_k{i}") for i, x in enumerate(at)))
-    other = points.select(F.col("id").alias("b"), *dims, *(x.alias(f"_k{i}") for i, x in enumerate(at)))
-    for i in range(len(dims)):
-        other = other.withColumn("_step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(f"_k{i}", F.col(f"_k{i}") + F.col("_step")).drop("_step")
-    square = sum(((F.col(f"_{c}") - F.col(c)) * (F.col(f"_{c}") - F.col(c)) for c in dims), F.lit(0.0))
-    return own.join(other, [f"_k{i}" for i in range(len(dims))]).where((F.col("a") < F.col("b")) & (square <= eps * eps)).select("a", "b")
-
-
-def sweep(points: DataFrame, edges: DataFrame, radii: list[int]) -> DataFrame:
+def sweep(points: DataFrame, space: Callable[[int], Space], radii: list[int]) -> DataFrame:
     """Per radius the number of clusters, of those with two points or more, and the size of the largest."""
-    edges, out = _saved(edges), None
+    points, out = written(points), None
     for r in radii:
-        n = single_link(points, edges.where(F.col("metres") <= r)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        n = single_link(points, space(r)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
         row = n.agg(F.lit(r).alias("metres"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") >= 2).alias("linked"), F.max("n").alias("largest"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -102,12 +199,12 @@ def summary(members: DataFrame, least: int, registered_m: float) -> DataFrame:
     return out.select("cluster", F.round("_x", 5).alias("lon"), F.round("_y", 5).alias("lat"), F.col("s.state").alias("state"), "detections", "max_priors", "night_fraction", F.round("_m").cast("long").alias("nearest_asset_m"), F.coalesce(F.col("_m") <= registered_m, F.lit(False)).alias("registered"), F.round("_far").cast("long").alias("spread_m")).orderBy(F.desc("detections"), "cluster")
 
 
-def density_sweep(points: DataFrame, edges: DataFrame, radii: list[float], leasts: list[int]) -> DataFrame:
-    """Per radius and least neighbourhood: clusters, points in them, points in none; from one list of edges at the largest radius."""
-    edges, out = _saved(edges), None
+def density_sweep(points: DataFrame, space: Callable[[float], Space], radii: list[float], leasts: list[int]) -> DataFrame:
+    """Per radius and least neighbourhood: clusters, points in them, points in none."""
+    points, out = written(points), None
     for r in radii:
         for least in leasts:
-            found = dbscan(points, edges.where(F.col("metres") <= r).select("a", "b"), least)
+            found = dbscan(points, space(r), least)
             row = found.agg(F.lit(r).alias("metres"), F.lit(least).alias("least"), F.countDistinct("cluster").alias("clusters"), F.count("cluster").alias("clustered"), F.count_if(F.col("cluster").isNull()).alias("noise"))
             out = row if out is None else out.unionByName(row)
     return out

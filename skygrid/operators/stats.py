@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skygrid.sources.scratch import written
+
 
 def circular(rows: DataFrame, key: str, hour: Column) -> DataFrame:
     """Per key: circular mean hour (24 h) and resultants of the angle and of the doubled angle."""
@@ -40,30 +42,46 @@ def cramers_v(rows: DataFrame, a: str, b: str) -> DataFrame:
     return part.select("n", (F.col("n") * (F.col("q") - 1)).alias("chi2"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") - 1) / F.nullif(F.least("ka", "kb") - 1, F.lit(0))).alias("v"))
 
 
-def running(counts: DataFrame, keys: list[str], by: str, amount: str, parts: int = 64) -> DataFrame:
-    """counts with ``upto``: the running sum of ``amount`` in the order of the number ``by``, per keys (none: over all rows).
+#: Rows that a range of values is meant to hold, and ranges at most; beyond RANGE * RANGES rows the ranges grow.
+RANGE, RANGES = 1_000_000, 4_096
+
+
+def ranged(counts: DataFrame, by: str) -> DataFrame:
+    """counts, written once, with ``_part``: the number of its range of ``by``. Ranges ascend, equal values are in one.
+
+    A table of up to RANGE rows is one range; a larger one is dealt by sampled bounds and written in that order.
+    """
+    counts = written(counts)
+    parts = min(RANGES, -(-counts.count() // RANGE))
+    if parts <= 1:
+        return counts.withColumn("_part", F.lit(0))
+    return written(counts.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id()))
+
+
+def running(cut: DataFrame, keys: list[str], by: str, amounts: dict[str, str]) -> DataFrame:
+    """cut (of ``ranged``) with running sums {name: column} in the order of ``by``, per keys (none: over all rows).
 
-    Rows are cut into ranges of ``by`` at approximate quantiles; sums of the ranges give each its base, so
-    no task holds a whole key. Equal values of ``by`` share their sum.
+    A range sums its own rows, and sums of the ranges give each its base, so no task holds a whole key.
+    Equal values of ``by`` share their sums; null keys are a key.
     """
-    edges = counts.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(by))) if edges else F.lit(0)
-    cut = counts.withColumn("_part", part)
     own = [*keys, "_part"]
-    sums = cut.groupBy(*own).agg(F.sum(amount).alias("_s"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    within = F.sum(amount).over(Window.partitionBy(*own).orderBy(by))  # RANGE: peers count
-    return cut.withColumn("_in", within).join(base, own).withColumn("upto", F.col("_in") + F.col("_base")).drop("_part", "_in", "_base")
+    sums = cut.groupBy(*own).agg(*(F.sum(c).alias(f"_s_{name}") for name, c in amounts.items()))
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*(F.col(k).alias(f"_k_{k}") for k in own), *(F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in amounts))
+    within = Window.partitionBy(*own).orderBy(by)  # RANGE: peers count
+    here = cut.select("*", *(F.sum(c).over(within).alias(f"_i_{name}") for name, c in amounts.items()))
+    at = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in own]
+    return here.join(base, at).select(*(c for c in cut.columns if c != "_part"), *((F.col(f"_i_{name}") + F.col(f"_b_{name}")).alias(name) for name in amounts))
 
 
 def quantiles(rows: DataFrame, key: str, value: str, picks: dict) -> DataFrame:
     """Per key the values at ranks (from 0) that ``picks`` name as functions of the count; between two ranks, linear.
 
-    It works on counts of distinct values, so a value that very many rows share is one row.
+    It works on counts of distinct values, written once, so a value that very many rows share is one row.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    n = counts.groupBy(key).agg(F.sum("_c").alias("_n"))
-    run = running(counts, [key], value, "_c").join(n, key)
+    cut = ranged(rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")), value)
+    n = cut.groupBy(F.col(key).alias("_key")).agg(F.sum("_c").alias("_n"))
+    run = running(cut, [key], value, {"upto": "_c"}).join(n, F.col(key).eqNullSafe(F.col("_key")))
     at = lambda r: F.min(F.when(F.col("upto") > r, F.col(value)))
     ranks = {c: f(F.col("_n")).cast("double") for c, f in picks.items()}
     found = run.groupBy(key, "_n").agg(*(x for c, r in ranks.items() for x in (at(F.floor(r)).alias(f"_l_{c}"), at(F.ceil(r)).alias(f"_h_{c}"))))
@@ -79,9 +97,9 @@ def vote(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 def greedy_coverage(sizes: DataFrame, key: str, n: str, shares: list[float]) -> DataFrame:
     """Fewest keys whose n reach each share of the total, from the number of keys of each size."""
-    by = sizes.groupBy((-F.col(n)).alias("_by")).agg(F.count(key).alias("_keys"), F.sum(n).alias("_sum"))
+    by = ranged(sizes.groupBy((-F.col(n)).alias("_by")).agg(F.count(key).alias("_keys"), F.sum(n).alias("_sum")), "_by")
     total = by.agg(F.sum("_sum")).first()[0] or 0
-    run = running(by, [], "_by", "_sum").join(running(by, [], "_by", "_keys").select("_by", F.col("upto").alias("_upto_keys")), "_by")
+    run = running(by, [], "_by", {"upto": "_sum", "_upto_keys": "_keys"})
     need = lambda x: F.lit(x * total - 1e-12 * total)
     # of the size that reaches the share, as many keys as still lack
     keys = lambda x: F.min(F.when(F.col("upto") >= need(x), F.col("_upto_keys") - F.col("_keys") + F.greatest(F.lit(1), F.ceil((need(x) - F.col("upto") + F.col("_sum")) / -F.col("_by")))))
@@ -105,8 +123,7 @@ def classification(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 def average_precision(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
     """One row: sum of precision times the step in recall over distinct scores, from counts by score."""
     by = rows.groupBy((-score).alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
-    run = running(by, [], "s", "p").select("s", "p", "n", F.col("upto").alias("tp"))
-    run = run.join(running(by, [], "s", "n").select("s", F.col("upto").alias("k")), "s")
+    run = running(ranged(by, "s"), [], "s", {"tp": "p", "k": "n"})
     return run.agg((F.sum(F.col("p") * F.col("tp") / F.col("k")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
 
 

@@ -23,8 +23,9 @@ def applicability(rows: DataFrame, ident: str, vector: str, fit: Column, q: floa
     """(id, distance, threshold, outside) of rows outside the fit set.
 
     Rows are standardised by the mean and population deviation of all fit rows. Neighbours are sought among
-    at most ``most`` fit rows (the first in md5 order), which go to the tasks in one block. threshold: the
-    q-quantile of their own nearest distances. Rows with a missing component get nulls, as do all rows
+    at most ``most`` fit rows (the first in md5 order), which go to the tasks in one block: 20 MB at 64
+    components. Tasks compare them, 256 at a time, with each other too; threshold: the q-quantile of their
+    own nearest distances. Rows with a missing component get nulls, as do all rows
     where fewer than two fit rows are whole.
     """
     whole = F.forall(vector, lambda x: x.isNotNull()) & F.col(vector).isNotNull()
@@ -38,25 +39,30 @@ def applicability(rows: DataFrame, ident: str, vector: str, fit: Column, q: floa
     z = (known - mean) / sd
     square = (z**2).sum(1)
 
-    def near(x: np.ndarray, skip_self: bool) -> np.ndarray:
+    def near(x: np.ndarray, first: int | None = None) -> np.ndarray:
+        """Distance of each row of x to the nearest known one; first: x are known rows from there on, each leaves itself out."""
         out = np.empty(len(x))
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
             d = (part**2).sum(1)[:, None] + square - 2 * part @ z.T
-            if skip_self:
-                d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
+            if first is not None:
+                d[np.arange(len(part)), np.arange(first + at, first + at + len(part))] = np.inf
             out[at : at + 256] = np.sqrt(np.maximum(d.min(1), 0))
         return out
 
-    threshold = float(np.quantile(near(z, True), q))
+    @F.pandas_udf("array<double>")
+    def among(start: pd.Series) -> pd.Series:
+        return start.map(lambda i: near(z[i : i + 256], i).tolist())
 
     @F.pandas_udf("double")
     def distance(v: pd.Series) -> pd.Series:
         good = v.map(lambda x: x is not None and all(c == c for c in x))
         out = pd.Series(np.nan, index=v.index)
         if good.any():
-            out[good] = near((np.stack(v[good].to_list()).astype(float) - mean) / sd, False)
+            out[good] = near((np.stack(v[good].to_list()).astype(float) - mean) / sd)
         return out
 
+    starts = rows.sparkSession.range(0, len(z), 256, max(1, min(1000, len(z) // 256)))
+    threshold = starts.select(F.explode(among("id")).alias("d")).agg(F.percentile("d", F.lit(q))).first()[0]
     d = rows.where(~fit).select(ident, F.when(whole, distance(vector)).alias("distance"))
     return d.select(ident, "distance", F.lit(threshold).alias("threshold"), (F.col("distance") > threshold).alias("outside"))

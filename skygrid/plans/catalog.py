@@ -610,7 +610,7 @@ def sites(t) -> DataFrame:
 @query(f"""WITH RECURSIVE p AS (SELECT * FROM {_SUB}), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND b.lon BETWEEN a.lon - 0.2e0 AND a.lon + 0.2e0 AND b.lat BETWEEN a.lat - 0.2e0 AND a.lat + 0.2e0 AND {_distance("a.lon", "a.lat", "b.lon", "b.lat")} <= 15000),
 w AS (SELECT id AS v, id AS c FROM p UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.v) SELECT v AS id, min(c) AS cluster FROM w GROUP BY 1""")
 def eps_components(t):
-    return cluster.single_link(sites(t), cluster.eps_edges(sites(t), 15000, 0.2))
+    return cluster.single_link(sites(t), cluster.on_earth(15000, 0.2))
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT * FROM {_SUB}), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND b.lon BETWEEN a.lon - 0.8e0 AND a.lon + 0.8e0 AND b.lat BETWEEN a.lat - 0.8e0 AND a.lat + 0.8e0 AND {_distance("a.lon", "a.lat", "b.lon", "b.lat")} <= 60000),
@@ -619,7 +619,7 @@ m AS (SELECT cluster, count(*) AS size, avg(lon) AS mid_lon, avg(lat) AS mid_lat
 SELECT cluster, size, round(mid_lon, 6) AS mid_lon, round(mid_lat, 6) AS mid_lat, round(max({_haversine("lon", "lat", "mid_lon", "mid_lat")}), 3) AS spread_m FROM own JOIN p USING (id) JOIN m USING (cluster) GROUP BY ALL""")
 def cluster_summary(t):
     """Clusters of five or more with their size, centre and spread (m)."""
-    own = cluster.single_link(sites(t), cluster.eps_edges(sites(t), 60000, 0.8)).join(sites(t), "id")
+    own = cluster.single_link(sites(t), cluster.on_earth(60000, 0.8)).join(sites(t), "id")
     mid = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("lon").alias("mid_lon"), F.avg("lat").alias("mid_lat")).where("size >= 5")
     far = own.join(mid, "cluster").groupBy("cluster", "size", "mid_lon", "mid_lat").agg(F.max(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("mid_lon"), F.col("mid_lat"))).alias("spread_m"))
     return rounded(far).withColumn("spread_m", F.round("spread_m", 3))
@@ -631,7 +631,7 @@ w AS (SELECT id AS v, id AS c FROM core UNION SELECT ce.b, w.c FROM w JOIN ce ON
 border AS (SELECT e.a AS id, min(own.cluster) AS near FROM e JOIN own ON own.id = e.b GROUP BY 1)
 SELECT p.id, coalesce(own.cluster, border.near) AS cluster FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN border ON border.id = p.id""")
 def dbscan_clusters(t):
-    return cluster.dbscan(sites(t), cluster.eps_edges(sites(t), 30000, 0.4), 4)
+    return cluster.dbscan(sites(t), cluster.on_earth(30000, 0.4), 4)
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS square, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS first FROM embeddings""")

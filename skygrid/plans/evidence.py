@@ -256,8 +256,8 @@ def _linked(metres: int, half: str) -> str:
 @query(f"""WITH RECURSIVE {_linked(60000, "0.8")}, {", ".join(f"w{r} AS (SELECT id AS v, id AS c FROM p UNION SELECT e.b, w{r}.c FROM w{r} JOIN e ON e.a = w{r}.v AND m <= {r}), c{r} AS (SELECT c, count(*) AS n FROM (SELECT v, min(c) AS c FROM w{r} GROUP BY 1) GROUP BY 1)" for r in (20000, 40000, 60000))}
 {" UNION ALL ".join(f"SELECT {r} AS metres, count(*) AS clusters, count(*) FILTER (WHERE n >= 2) AS linked, max(n) AS largest FROM c{r}" for r in (20000, 40000, 60000))}""")
 def radius_sweep(t):
-    """Clusters at several radii, from one list of edges at the largest."""
-    return cluster.sweep(sites(t), cluster.eps_edges(sites(t), 60000, 0.8), [20000, 40000, 60000])
+    """Clusters at several radii."""
+    return cluster.sweep(sites(t), lambda r: cluster.on_earth(r, 0.8 * r / 60000), [20000, 40000, 60000])
 
 
 _AT = f"(SELECT id, event_type, user_id, lon * 0.011e0 AS x, lat * 0.011e0 AS y, day(ts) * 0.01e0 AS z FROM {POINTS} WHERE event_type <> 'view')"
@@ -271,7 +271,7 @@ SELECT l.id, l.cluster, coalesce(n.n >= 20, false) AS industrial FROM l LEFT JOI
 def space_time_density(t):
     """Density clusters in (longitude, latitude, day), scaled; a cluster of 20 or more counts as industrial."""
     p = points(t).where("event_type <> 'view'").select("id", (F.col("lon") * 0.011).alias("x"), (F.col("lat") * 0.011).alias("y"), (F.day("ts") * 0.01).alias("z"))
-    found = cluster.dbscan(p, cluster.euclid_edges(p, ["x", "y", "z"], 0.015), 8)
+    found = cluster.dbscan(p, cluster.euclidean(["x", "y", "z"], 0.015), 8)
     size = found.where("cluster is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return found.join(size, "cluster", "left").select("id", "cluster", F.coalesce(F.col("n") >= 20, F.lit(False)).alias("industrial"))
 

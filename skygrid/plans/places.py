@@ -221,4 +221,4 @@ SELECT CAST(r AS INTEGER) AS metres, CAST(k AS INTEGER) AS least, count(DISTINCT
 def density_sweep(t):
     """Density clusters at two radii and two least neighbourhoods."""
     s = catalog.sites(t)
-    return cluster.density_sweep(s, cluster.eps_edges(s, 30000, 0.4), [15000, 30000], [2, 4])
+    return cluster.density_sweep(s, lambda r: cluster.on_earth(r, 0.4 * r / 30000), [15000, 30000], [2, 4])
