@@ -6,19 +6,19 @@ of theirs are near: representatives of ever smaller parts answer that, and what
 are compared one by one only where one side is a cell with few rows; a heap of rows, even of equal ones, costs
 its size and never its square.
 
-Components: every round each vertex takes the smallest label among itself and its neighbours, then the
-label of its label. Rounds grow with the logarithm of a component's length; each is checkpointed to
-cut lineage, and the loop ends only when no label changes.
+Components: every round each vertex takes the smallest label among itself and its neighbours, then the label of
+its label; the graph of the labels is what the next round works on, until one task can finish it. Rounds are
+written to the shared folder.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,43 +29,65 @@ from skygrid.sources.scratch import written
 PAIRS, SPLITS = 256, 40
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+#: Edges (16 bytes each, if ids are numbers) that one task joins into components; more are contracted first.
+TASK_EDGES = 100_000
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(v, c) of undirected edges (a, b): c is the smallest vertex reachable."""
-    both = _saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = _saved(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    now, labels = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        up = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        new = _saved(step.join(up, "c", "left").select("v", "was", F.least("c", F.coalesce("up", "c")).alias("c")))
-        labels = new.select("v", "c")
-        if new.where("c <> was").isEmpty():
+        last = now.count() <= TASK_EDGES
+        if last:
+            step = now.coalesce(1).mapInArrow(_union_find, now.withColumnsRenamed({"a": "v", "b": "c"}).schema)
+        else:
+            ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = written(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")))
+            for _ in range(2):  # to the label of the label
+                step = step.join(step.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", F.col("up").alias("c"))
+        step = written(step)
+        to = lambda c: step.select(F.col("v").alias(c), F.col("c").alias("_to"))  # noqa: B023, E731
+        labels = step if labels is None else written(labels.join(to("c"), "c", "left").select("v", F.coalesce("_to", "c").alias("c")))
+        if last:
             return labels
+        now = now.join(to("a"), "a").select(F.col("_to").alias("x"), "b").join(to("b"), "b").select(F.least("x", "_to").alias("a"), F.greatest("x", "_to").alias("b"))
+        now = written(now.where("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _union_find(batches):
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kinds = None
+    for batch in batches:
+        kinds = batch.schema.types
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    if kinds:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), kinds[0]), pa.array([find(v) for v in list(root)], kinds[1])], ["v", "c"])
+
+
 @dataclass(frozen=True)
 class Space:
     """What near means: at most ``eps`` by ``distance`` (of the columns of two structs).
 
     Cells have edges of ``side`` over ``dims``; no two rows of one are further apart than ``spread`` (at most eps), and
-    rows near each other are at most ``reach`` cells apart along each dimension.
+    rows near each other are at most ``reach`` cells apart along a dimension.
     """
 
     dims: tuple[str, ...]
     eps: float
     side: float
-    reach: int
+    reach: tuple[int, ...]
     spread: float
     distance: Callable[[Column, Column], Column]
 
@@ -75,21 +97,21 @@ class Space:
 
     def around(self, half: bool = False) -> Column:
         """Steps to the cells in reach, the own one included; half: each pair of cells once, without the own."""
-        steps = product(range(-self.reach, self.reach + 1), repeat=len(self.dims))
+        steps = product(*(range(-x, x + 1) for x in self.reach))
         zero = (0,) * len(self.dims)
         return F.array(*(F.array(*(F.lit(x).cast("long") for x in step)) for step in steps if not half or step > zero))
 
 
 def on_earth(metres: float, half: float) -> Space:
-    """Points (lon, lat) within metres of each other; half: degrees that hold the distance along both."""
+    """Points (lon, lat) within metres of each other; half: degrees of longitude that hold the distance."""
     side = metres / (1.5 * 111_700)  # no degree is longer
-    return Space(("lon", "lat"), metres, side, math.ceil(half / side), metres * math.sqrt(2) / 1.5, lambda a, b: distance_m(a["lon"], a["lat"], b["lon"], b["lat"]))
+    return Space(("lon", "lat"), metres, side, (math.ceil(half / side), math.ceil(metres / 110_500 / side)), metres * math.sqrt(2) / 1.5, lambda a, b: distance_m(a["lon"], a["lat"], b["lon"], b["lat"]))
 
 
 def euclidean(dims: list[str], eps: float) -> Space:
     side = eps / math.sqrt(len(dims)) * 0.999
     square = lambda a, b: sum(((a[c] - b[c]) * (a[c] - b[c]) for c in dims), F.lit(0.0))
-    return Space(tuple(dims), eps, side, math.ceil(eps / side), eps * 0.9995, lambda a, b: F.sqrt(square(a, b)))
+    return Space(tuple(dims), eps, side, (math.ceil(eps / side),) * len(dims), eps * 0.9995, lambda a, b: F.sqrt(square(a, b)))
 
 
 def _whole(points: DataFrame, space: Space) -> DataFrame:

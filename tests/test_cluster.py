@@ -50,6 +50,20 @@ def test_cells_equal_all_pairs(spark, monkeypatch, pairs):
     assert found(cluster.dbscan(frame(spark, x), space, 5)) == brute(x, 1.0, 5)
 
 
+@pytest.mark.parametrize("most", [0, 5, 100_000])
+def test_components_by_contraction(spark, monkeypatch, most):
+    monkeypatch.setattr(cluster, "TASK_EDGES", most)
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100), (70, 60)] + [(int(a) + 200, int(b) + 200) for a, b in rng.integers(0, 60, (40, 2))]
+    root = {v: v for e in edges for v in e if e[0] != e[1]}
+    while any(root[a] != root[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = cluster.components(spark.createDataFrame(edges, "a long, b long"))
+    assert dict(map(tuple, got.collect())) == root and got.count() == len(root)
+
+
 def test_heaps_cost_their_size(spark):
     """Two heaps of 30,000 rows out of reach, one of 30,000 equal rows: no pairs of a heap are made."""
     rng = np.random.default_rng(1)
