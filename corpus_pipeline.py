@@ -31,9 +31,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are in no group and stay, repeated or not.
     """
     found = table(ngram_join.labelled(docs, k=5, num=4, den=5).where("component is not null"))
-    lead = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")).where("n > 1")
+    # a component may hold a third of all rows: its key is broadcast as far as the table of components allows
+    lead = table(found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")).where("n > 1"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    of_groups = found.join(lead, "component")
+    of_groups = by_key(found, lead, "component")
     key = lambda rows: table(rows.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct())
     gone = key(of_groups.where(~first.eqNullSafe(F.col("lead"))))
     again = key(of_groups.where(first.eqNullSafe(F.col("lead"))).groupBy("doc_id", "th").count().where("count > 1"))

@@ -144,15 +144,21 @@ def _table_v(table: np.ndarray) -> float:
     return math.sqrt(max(0.0, float((table * table / (r * c)).sum()) - 1) / small) if small > 0 and n else 0.0
 
 
+#: Categories of a column, and cells of their table, that a draw from the margins may have.
+CATEGORIES, CELLS = 100_000, 4_000_000
+
+
 def permutation_null(rows: DataFrame, a: str, b: str, times: int, seed: int = 17) -> DataFrame:
     """One row: v of the columns, and mean, sd, max of v over ``times`` shuffles of one against the other; z, p = (k + 1) / (times + 1).
 
     A shuffle keeps both margins, so its table is a draw from the margins (hypergeometric row by row): a
     draw costs the size of the table of categories, whatever the number of rows. Draws are tasks of their own.
+    Margins of more than CATEGORIES categories, or a table of more than CELLS cells, are an error.
     """
-    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    across = [r.n for r in cells.groupBy("a").agg(F.sum("n").alias("n")).orderBy("a").collect()]
-    down = [r.n for r in cells.groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").collect()]
+    cells = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    across, down = ([r.n for r in cells.groupBy(c).agg(F.sum("n").alias("n")).orderBy(c).limit(CATEGORIES + 1).collect()] for c in ("a", "b"))
+    if max(len(across), len(down)) > CATEGORIES or len(across) * len(down) > CELLS:
+        raise ValueError(f"more than {CATEGORIES} categories or {CELLS} cells")
 
     def draw(batches):
         for batch in batches:

@@ -50,7 +50,7 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
-def test_permutation_null_against_shuffles(spark):
+def test_permutation_null_against_shuffles(spark, monkeypatch):
     import random
     import statistics
 
@@ -76,6 +76,9 @@ def test_permutation_null_against_shuffles(spark):
     assert got.draws == 300 and got.n == 400 and got.v == pytest.approx(v([x for x, _ in rows], [y for _, y in rows]))
     assert got["mean"] == pytest.approx(statistics.mean(draws), rel=0.1) and got.sd == pytest.approx(statistics.pstdev(draws), rel=0.25)
     assert got.z == pytest.approx((got.v - got["mean"]) / got.sd) and 1 / 301 <= got.p <= 1
+    monkeypatch.setattr(stats, "CATEGORIES", 4)
+    with pytest.raises(ValueError, match="more than 4 categories"):
+        stats.permutation_null(spark.createDataFrame(rows, "x string, y int"), "x", "y", 300)
 
 
 def test_names_of_granules_and_finite_numbers(spark):
