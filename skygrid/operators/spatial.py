@@ -1,16 +1,24 @@
 """Spatial joins as equi-joins: grid bins for nearest and radius searches, edge parity for polygons.
 
-The reference side is spread over the neighbouring bins (at most nine rows each), so the join has an
-equi key and neither side needs to be small; Spark picks broadcast or sort-merge by size, and AQE
-splits a hot bin. Points without a partner stay, with nulls.
+One side is spread over the neighbouring bins (at most nine rows each), so the join has an equi key and
+neither side needs to be small. Spark's estimate does not count those nine rows, so the join is told to merge;
+AQE splits a hot bin. The nearest one is sought in cells that hold about one ref, then in wider ones for the
+points that these leave open, so the pairs looked at grow with the points and not with the refs in the box.
+Points without a partner stay, with nulls.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygrid.functions.geo import cell, conic, distance_m, haversine_m
+from skygrid.sources.scratch import written
+
+#: Points, spread over nine cells, that are sent to all tasks instead of being dealt (some 5 MB); halvings of the box at most.
+FEW, HALVINGS = 10_000, 14
 
 
 def in_box(points: DataFrame, refs: DataFrame, half: float, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -18,25 +26,99 @@ def in_box(points: DataFrame, refs: DataFrame, half: float, extra: tuple[str, ..
 
     ``extra``: columns that both have and that must be equal (a granule, say).
     """
-    spread = refs.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    spread = spread.withColumn("_bx", cell(F.col("rlon"), half) + F.col("_dx")).withColumn("_by", cell(F.col("rlat"), half) + F.col("_dy")).drop("_dx", "_dy")
-    own = points.withColumn("_bx", cell(F.col("lon"), half)).withColumn("_by", cell(F.col("lat"), half))
-    near = own.join(spread, ["_bx", "_by", *extra]).drop("_bx", "_by")
+    return _met(points, refs, half, half, extra)
+
+
+def _spread(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
+    """rows in their own cell and the eight around it."""
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    out = rows.withColumn("_s", steps)
+    return out.withColumn("_bx", cell(F.col(x), width) + F.col("_s.x")).withColumn("_by", cell(F.col(y), width) + F.col("_s.y")).drop("_s")
+
+
+def _celled(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
+    return rows.withColumn("_bx", cell(F.col(x), width)).withColumn("_by", cell(F.col(y), width))
+
+
+def _met(points: DataFrame, refs: DataFrame, width: float, half: float, extra: tuple[str, ...], spread_points: bool = False, few: bool = False) -> DataFrame:
+    """Pairs inside +-half degrees of points and the refs in the nine cells of ``width`` about them, with metres."""
+    if spread_points:
+        own, others = _spread(points, "lon", "lat", width), _celled(refs, "rlon", "rlat", width)
+        near = others.join(F.broadcast(own) if few else own.hint("merge"), ["_bx", "_by", *extra])
+    else:
+        near = _celled(points, "lon", "lat", width).join(_spread(refs, "rlon", "rlat", width).hint("merge"), ["_bx", "_by", *extra])
     box = F.col("rlon").between(F.col("lon") - half, F.col("lon") + half) & F.col("rlat").between(F.col("lat") - half, F.col("lat") + half)
-    return near.where(box).withColumn("metres", distance_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat")))
+    return near.drop("_bx", "_by").where(box).withColumn("metres", distance_m(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat")))
+
+
+def _widths(refs: DataFrame, half: float, extra: tuple[str, ...]) -> list[float]:
+    """Cell widths up to ``half``, each twice the one before; in the first, a cell with refs holds about two or fewer."""
+    widths = [half / 2**i for i in range(HALVINGS + 1)]
+    held = (F.approx_count_distinct(F.xxhash64(cell(F.col("rlon"), w), cell(F.col("rlat"), w), *extra)).alias(f"c{i}") for i, w in enumerate(widths))
+    got = refs.agg(F.count(F.lit(1)).alias("n"), *held).first()
+    first = next((i for i in range(HALVINGS + 1) if got["n"] <= 2 * got[f"c{i}"]), HALVINGS)
+    return widths[first::-1]
+
+
+def _searched(points: DataFrame, refs: DataFrame, half: float, extra: tuple[str, ...], valid: Column | None, margin: float) -> list[tuple[float, DataFrame]]:
+    """(width, found) by rounds; found: points' columns, ref_id, best, of those settled at that width.
+
+    A point is settled once its best is nearer than whatever lies outside of its nine cells, by ``margin`` too.
+    """
+    places = written(refs.groupBy(*(c for c in refs.columns if c != "ref_id")).agg(F.min("ref_id").alias("ref_id")))
+    open_, rounds, known = written(points.where("lon is not null and lat is not null")), [], [c for c in points.columns if c != "id" and c not in extra]
+    refs_n, ident = places.count(), ["id", *extra]
+    pick = F.struct("metres", "ref_id")
+    for width in _widths(places, half, extra):
+        n = open_.count()
+        if not n:
+            break
+        pairs = _met(open_, places, width, half, extra, n < refs_n, n <= FEW)
+        best = pairs.groupBy(*ident).agg(F.min(pick if valid is None else F.when(valid, pick)).alias("_b"), *(F.any_value(c).alias(c) for c in known)).where("_b is not null")
+        # no degree of latitude is shorter than 110,500 m; one of longitude shrinks towards the pole
+        east = F.lit(111_300 * width) * F.cos(F.radians(F.least(F.abs("lat") + width, F.lit(90.0))))
+        sure = F.lit(True) if width == half else F.col("_b.metres") + margin < F.least(F.lit(110_500 * width), east)
+        found = written(best.where(sure).select(*ident, *known, F.col("_b.ref_id").alias("ref_id"), F.col("_b.metres").alias("best")))
+        rounds.append((width, found))
+        if width < half:
+            open_ = written(open_.join(found.select(*ident), ident, "left_anti"))
+    return rounds
+
+
+def nearest(points: DataFrame, refs: DataFrame, half: float, extra: tuple[str, ...] = (), valid: Column | None = None) -> DataFrame:
+    """(id, extra, ref_id, metres) of the nearest ref in the box (the smaller id if tied); points without one are left out.
+
+    ``id`` and ``extra`` name a point once. ``valid``: a condition on columns of a pair other than ref_id.
+    """
+    out = [found.select("id", *extra, "ref_id", F.col("best").alias("metres")) for _, found in _searched(points, refs, half, extra, valid, 0.0)]
+    empty = points.sparkSession.createDataFrame([], points.select("id", *extra).join(refs.select("ref_id")).withColumn("metres", F.lit(0.0)).schema)
+    return reduce(DataFrame.unionByName, out, empty)
+
+
+def nearest_ties(points: DataFrame, refs: DataFrame, half: float, within: float) -> DataFrame:
+    """(id, ref_id, metres) of all refs in the box less than ``within`` metres further than the nearest."""
+    out = []
+    for width, found in _searched(points.select("id", "lon", "lat"), refs.select("ref_id", "rlon", "rlat"), half, (), None, 2 * within):
+        pairs = _met(found.drop("ref_id"), refs.select("ref_id", "rlon", "rlat"), width, half, ())
+        out.append(pairs.where(F.abs(F.col("metres") - F.col("best")) < within).select("id", "ref_id", "metres"))
+    empty = points.sparkSession.createDataFrame([], points.select("id").join(refs.select("ref_id")).withColumn("metres", F.lit(0.0)).schema)
+    return reduce(DataFrame.unionByName, out, empty)
 
 
 def nearest_in_box(points: DataFrame, refs: DataFrame, half: float, valid: Column | None = None) -> DataFrame:
     """Each point's id, nearest ref (the smaller id if tied) and metres, and with ``valid`` also among valid refs."""
-    pairs = in_box(points, refs, half)
-    best = lambda c: F.min(c)
-    pick = F.struct("metres", "ref_id")
-    aggs = [best(pick).alias("_n")] + ([best(F.when(valid, pick)).alias("_v")] if valid is not None else [])
-    found = pairs.groupBy("id").agg(*aggs)
-    out = [F.col("_n.ref_id").alias("ref_id"), F.col("_n.metres").alias("metres")]
+    out = points.select("id").join(nearest(points.select("id", "lon", "lat"), refs.select("ref_id", "rlon", "rlat"), half), "id", "left")
     if valid is not None:
-        out += [F.col("_v.ref_id").alias("valid_ref_id"), F.col("_v.metres").alias("valid_metres")]
-    return points.select("id").join(found, "id", "left").select("id", *out)
+        also = nearest(points, refs, half, valid=valid).withColumnsRenamed({"ref_id": "valid_ref_id", "metres": "valid_metres"})
+        out = out.join(also, "id", "left")
+    return out
+
+
+def nearest_of_kinds(points: DataFrame, refs: DataFrame, half: float, kind: str) -> DataFrame:
+    """(id, kind, metres): the nearest ref of each kind in the box; ``kind`` is a column of refs, null ones take no part."""
+    kinds = refs.select(kind).where(F.col(kind).isNotNull()).distinct()
+    each = points.select("id", "lon", "lat").crossJoin(F.broadcast(kinds))  # few kinds
+    return nearest(each, refs.where(F.col(kind).isNotNull()).select("ref_id", "rlon", "rlat", kind), half, (kind,)).drop("ref_id")
 
 
 def radius_counts(points: DataFrame, refs: DataFrame, radii: list[int], half: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skygrid.functions import geo, scalars
 from skygrid.operators import cluster, labels, spatial, stats, temporal
-from skygrid.plans.catalog import _NEAR, BOXES, INSIDE, METRES, PARTS, POINTS, _distance, edges, labelled, located, parts, points, query, rounded, sites
+from skygrid.plans.catalog import _NEAR, BOXES, INSIDE, METRES, PARTS, POINTS, _distance, edges, kinds_m, labelled, located, parts, points, query, rounded, sites
 from skygrid.sources import tables as T
 
 # ---- labels and splits ------------------------------------------------------------------------------------------
@@ -17,9 +17,7 @@ from skygrid.sources import tables as T
 k AS (SELECT id, CASE WHEN f <= 8000 THEN 1 WHEN i <= 12000 THEN 2 WHEN a <= 12000 THEN 3 WHEN event_type = 'click' THEN 4 WHEN event_type = 'view' THEN 5 ELSE 6 END AS k FROM d)
 SELECT id, ['flare', 'industrial', 'industrial', 'agricultural', 'unlabelled', 'unlabelled'][k] AS label, ['flare catalogue', 'industrial map', 'asset register', 'land cover', 'land cover', 'none'][k] AS source, ['within 8000 m of a flare', 'within 12000 m of an industrial feature', 'within 12000 m of an operating asset', 'cropland and nothing nearer', 'vegetation and nothing nearer', 'no rule holds'][k] AS rule, [0.9e0, 0.7e0, 0.7e0, 0.5e0, 0.0e0, 0.0e0][k] AS confidence FROM k""")
 def weak_label_evidence(t):
-    near = spatial.in_box(points(t).select("id", "lon", "lat"), parts(t), 0.25)
-    least = lambda k: F.min(F.when(F.col("ref_id") % 5 == k, F.col("metres")))
-    m = near.groupBy("id").agg(least(0).alias("f"), least(1).alias("i"), least(2).alias("a"))
+    m = kinds_m(t, ["f", "i", "a"])
     cover = F.when(F.col("event_type") == "click", "cropland").when(F.col("event_type") == "view", "grassland")
     out = points(t).select("id", "event_type").join(m, "id", "left")
     return out.select("id", labels.evidence(F.col("f"), F.col("i"), F.col("a"), cover, 8000, 12000).alias("e")).select("id", "e.*")
@@ -84,9 +82,7 @@ def orphan_distance_sweep(t):
 SELECT j.id, count(*) AS tied, min(ref_id) AS first_ref, max(p_brand) AS brand FROM j JOIN n ON j.id = n.id AND abs(j.m - best) < 0.001 JOIN part ON p_partkey = ref_id GROUP BY 1""")
 def rejoin_matched(t):
     """Attributes of the matched reference: all that lie within a millimetre of the nearest."""
-    pairs = spatial.in_box(points(t).select("id", "lon", "lat"), parts(t), 0.25)
-    best = pairs.groupBy("id").agg(F.min("metres").alias("best"))
-    tied = pairs.join(best, "id").where(F.abs(F.col("metres") - F.col("best")) < 0.001)
+    tied = spatial.nearest_ties(points(t), parts(t), 0.25, 0.001)
     return tied.join(t("part"), F.col("ref_id") == F.col("p_partkey")).groupBy("id").agg(F.count(F.lit(1)).alias("tied"), F.min("ref_id").alias("first_ref"), F.max("p_brand").alias("brand"))
 
 
