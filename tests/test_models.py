@@ -159,3 +159,17 @@ def test_floors_hold_for_rows_and_sites(spark):
     assert got["g", "b"].f1 is None and got["g", "b"].note == "insufficient support, n=114 from 2 sites"
     assert got["g", "c"].note == "insufficient support, n=5 from 5 sites"
     assert got["h", "a"].recall == 0.0 and got["h", "b"].note == "insufficient support, n=0 from 0 sites"
+
+
+def test_sums_of_a_batch_longer_than_a_packed_part(spark):
+    import pyarrow as pa
+
+    n, most = 3 * boosting.PACKED + 5, boosting.UNIT // 4
+    bins = np.arange(n, dtype=np.int16) % 3
+    batch = pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int64))], ["b0", "y", "mask"])
+    ensemble = boosting.Ensemble(("x",), ((0.0,),), ("a", "b"), ("m",), np.zeros((1, 2)), [])
+    trees = {(0, k): boosting.Tree(value={0: 0.0}) for k in range(2)}
+    (sums,) = boosting.histograms([batch], ensemble, 0, trees, {key: [0] for key in trees}, 3)
+    counts = np.bincount(bins)
+    assert sums["n"].to_pylist() == [*counts, *counts] and sums["h"].to_pylist() == [c * most for c in (*counts, *counts)]
+    assert sums["g"].to_pylist() == [-c * boosting.UNIT // 2 for c in counts] + [c * boosting.UNIT // 2 for c in counts]
