@@ -11,10 +11,10 @@ their own, the others share classes by frequency; inside a class a subword has i
 counts. Class logits are smoothed bigram logits plus one attention head over the context window.
 
 Word, subword and bigram counts cover every subword of all training documents: bigrams inside words come
-from the word counts, those from word to word from one pass over the texts. Only the head is trained on a
-sample: windows from every training document, as many as its length calls for, at places that a hash of
-the whole text chooses, by rounds of local Adam steps whose parameters are averaged. For scoring, windows of CONTEXT subwords overlap by half: each scores
-its second half, so every subword is scored once with at least half a window before it, also where a long text is
+from the word counts, those from word to word from one pass over the texts. The head is trained on every subword
+of all training documents: windows of CONTEXT subwords, one after the other, cover each text, and each is
+learned from in one of the rounds, by local Adam steps of a task whose parameters are averaged after the round.
+For scoring, windows of CONTEXT subwords overlap by half: each scores its second half, so every subword is scored once with at least half a window before it, also where a long text is
 scored in parts; all windows of a batch of documents go through one masked attention.
 """
 
@@ -42,8 +42,8 @@ END = b"\n"
 INPUTS, CLASSES, SINGLE, WIDTH, CONTEXT = 1024, 64, 40, 8, 16
 #: Words whose counts all tasks get (at most so many rows); the rest are joined.
 COMMON_WORDS = 300_000
-#: Training: a window a document and one more for each so many words; rounds of averaging; shards.
-WORDS_A_WINDOW, ROUNDS, SHARDS = 500, 2, 8
+#: Training: rounds of averaging, which share the windows; windows of an Adam step.
+ROUNDS, STEP = 2, 256
 #: Words scored at a time (a longer text is scored in parts), and distinct words whose subwords a task remembers.
 PART, REMEMBERED = 30_000, 300_000
 
@@ -129,33 +129,38 @@ def gradients(params: list[np.ndarray], bias: np.ndarray, ids: np.ndarray, targe
     """Gradients of the mean cross-entropy over targets (n, CONTEXT; -1: none)."""
     e, pos, wq, wk, wv, wo = params
     o, (x, q, k, v, a) = attend(params, ids, 0)
-    p = bias[np.maximum(ids, 0)] + o @ wo
-    p = np.exp(p - p.max(2, keepdims=True))
-    p /= p.sum(2, keepdims=True)
-    live = (targets >= 0) & (ids >= 0)
-    np.put_along_axis(p, np.maximum(targets, 0)[..., None], np.take_along_axis(p, np.maximum(targets, 0)[..., None], 2) - 1, 2)
-    p *= (live / max(1, live.sum()))[..., None].astype(np.float32)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    go = p @ wo.T
+    p = flat(o) @ wo
+    p += bias[np.maximum(ids, 0).ravel()]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    live = ((targets >= 0) & (ids >= 0)).ravel()
+    weight = (live / max(1, live.sum())).astype(p.dtype)
+    p *= (weight / p.sum(1))[:, None]
+    p[np.arange(len(p)), np.maximum(targets, 0).ravel()] -= weight
+    go = (p @ wo.T).reshape(o.shape)
     ga, gv = go @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ go
     gs = a * (ga - (ga * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
     gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
     gx = gq @ wq.T + gk @ wk.T + gv @ wv.T
-    ge = np.zeros_like(e)
-    np.add.at(ge, np.maximum(ids, 0).ravel(), flat(gx))
+    rows = np.maximum(ids, 0).ravel()
+    ge = np.stack([np.bincount(rows, column, len(e)) for column in flat(gx).T], 1).astype(e.dtype)
     return [ge, gx.sum(0), flat(x).T @ flat(gq), flat(x).T @ flat(gk), flat(x).T @ flat(gv), flat(o).T @ flat(p)]
 
 
-def train(params: list[np.ndarray], bias: np.ndarray, ids: np.ndarray, targets: np.ndarray, rate: float = 0.01, size: int = 256) -> list[np.ndarray]:
-    """One pass of Adam over the windows."""
-    params = [p.copy() for p in params]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t, at in enumerate(range(0, len(ids), size), 1):
-        for p, g, mi, vi in zip(params, gradients(params, bias, ids[at : at + size], targets[at : at + size]), m, v, strict=True):
-            mi += 0.1 * (g - mi)
-            vi += 0.01 * (g * g - vi)
-            p -= rate * (mi / (1 - 0.9**t)) / (np.sqrt(vi / (1 - 0.99**t)) + 1e-8)
-    return params
+class Adam:
+    """Steps of Adam on parameters of its own."""
+
+    def __init__(self, params: list[np.ndarray], rate: float = 0.01):
+        self.params, self.rate, self.t = [p.copy() for p in params], rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def step(self, bias: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> None:
+        self.t += 1
+        for p, g, m, v in zip(self.params, gradients(self.params, bias, ids, targets), self.m, self.v, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -198,26 +203,44 @@ def _subword_counts(counts: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def _windows(docs: DataFrame, path: str) -> DataFrame:
-    """(shard, ids): CONTEXT + 1 subword ids from places of every document that its text chooses."""
+def _windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(subwords before, subwords) of texts with so many ids each, as rows of CONTEXT (-1: nothing there); a text starts after an end.
 
-    def run(batches):
-        encode = subwords(path)
-        for batch in batches:
-            shard, out = [], []
-            for text in batch.column(0).to_pylist():
-                words = [*lower_words(text), END]
-                whole = xxh64_intdigest(b" ".join(words))
-                for j in range(1 + len(words) // WORDS_A_WINDOW):
-                    h = xxh64_intdigest(b"%d" % j, seed=whole)
-                    start = h % len(words)
-                    ids = list(chain.from_iterable(encode(words[max(0, start - 1) : start + CONTEXT])))
-                    ids = ([VOCABULARY] + ids if start == 0 else ids)[: CONTEXT + 1]
-                    shard.append(h // 7 % SHARDS)
-                    out.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["shard", "ids"])
-
-    return docs.select("text").mapInArrow(run, "shard int, ids array<int>")
+    A text's windows follow one another, so each of its ids is in one window.
+    """
+    rows = -(-lengths // CONTEXT)
+    first = np.cumsum(rows) - rows
+    at = np.arange(len(ids)) + np.repeat(first * CONTEXT - (np.cumsum(lengths) - lengths), lengths)
+    x, y = np.full(int(rows.sum()) * CONTEXT, -1, np.int64), np.full(int(rows.sum()) * CONTEXT, -1, np.int64)
+    y[at] = ids
+    x[at[1:]] = ids[:-1]
+    x[first * CONTEXT] = VOCABULARY
+    return x.reshape(-1, CONTEXT), y.reshape(-1, CONTEXT)
+
+
+def _training_windows(batches, encode: Subwords, turn: int):
+    """_windows of the texts of a task, some at a time: of its windows, numbered through, those whose number falls to this round."""
+    number = 0
+
+    def cut(texts: list[list[tuple]]):
+        nonlocal number
+        length = np.fromiter((sum(map(len, t)) for t in texts), np.int64, len(texts))
+        ids = np.fromiter(chain.from_iterable(chain.from_iterable(texts)), np.int64, int(length.sum()))
+        x, y = _windows(ids, length)
+        mine = (np.arange(len(x)) + number) % ROUNDS == turn
+        number += len(x)
+        return x[mine], y[mine]
+
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.append(encode([*lower_words(text), END]))
+            size += len(held[-1])
+            if size >= PART:
+                yield cut(held)
+                held, size = [], 0
+    if held:
+        yield cut(held)
 
 
 class _Edges(dict):
@@ -285,13 +308,6 @@ def _bigrams(docs: DataFrame, counts: DataFrame, path: str, shared) -> tuple[np.
     return out[: INPUTS * CLASSES].reshape(INPUTS, CLASSES), out[INPUTS * CLASSES :]
 
 
-def _padded(ids: list[list[int]]) -> np.ndarray:
-    out = np.full((len(ids), CONTEXT + 1), -1, np.int64)
-    for row, i in zip(out, ids, strict=True):
-        row[: len(i)] = i
-    return out
-
-
 class Model:
     def __init__(self, params: list[np.ndarray], bias: np.ndarray, classes: Classes, words: np.ndarray):
         self.params, self.bias, self.classes = params, bias, classes
@@ -349,7 +365,6 @@ class Model:
 def fit(docs: DataFrame, counts: DataFrame, path: str) -> Model:
     """Model of training docs whose word counts are ``counts``."""
     spark = docs.sparkSession
-    windows = table(_windows(docs, path).repartition(SHARDS, "shard"))
     total = _subword_counts(counts, path)
     with open(path, "rb") as f:
         starts = np.array([not base64.b64decode(line.split()[0]).startswith(b" ") for line in f] + [False])
@@ -366,16 +381,29 @@ def fit(docs: DataFrame, counts: DataFrame, path: str) -> Model:
 
         def step(batches, now=now):
             params, bias, c, turn = now.value
-            done = 0
-            for batch in batches:
-                ids = _padded(batch.column("ids").to_pylist())
-                x = np.where(ids >= 0, c.inputs[np.maximum(ids, 0)], -1)[:, :-1]
-                y = np.where(ids >= 0, c.out[np.maximum(ids, 0)], -1)[:, 1:]
-                params, done = train(params, bias, x, y, 0.01 / (1 + turn)), done + len(ids)
-            flat = np.concatenate([p.ravel() for p in params]).astype(np.float64) * done
+            adam, done = Adam(params, 0.01 / (1 + turn)), 0
+            held, size = [], 0
+
+            def learn(x, y):
+                nonlocal done
+                for at in range(0, len(x), STEP):
+                    adam.step(bias, x[at : at + STEP], y[at : at + STEP])
+                done += len(x)
+
+            for x, y in _training_windows(batches, subwords(path), turn):
+                held.append((np.where(x >= 0, c.inputs[np.maximum(x, 0)], -1), np.where(y >= 0, c.out[np.maximum(y, 0)], -1)))
+                size += len(x)
+                if size >= 16 * STEP:
+                    x, y = map(np.concatenate, zip(*held, strict=True))
+                    whole = len(x) // STEP * STEP
+                    learn(x[:whole], y[:whole])
+                    held, size = [(x[whole:], y[whole:])], len(x) - whole
+            if held:
+                learn(*map(np.concatenate, zip(*held, strict=True)))
+            flat = np.concatenate([p.ravel() for p in adam.params]).astype(np.float64) * done
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat))), pa.array(np.concatenate([[done], flat]))], ["i", "x"])
 
-        sums = windows.mapInArrow(step, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        sums = docs.select("text").mapInArrow(step, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
         if sums and sums[0].x > 0:
             flat, at, new = np.array([r.x for r in sums[1:]]) / sums[0].x, 0, []
             for p in params:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,23 @@ def test_bigrams_cover_every_subword(spark, monkeypatch):
     assert np.allclose(model.bias, np.log((full + 20 * prior) / (full.sum(1, keepdims=True) + 20)), atol=1e-5)
 
 
+def test_head_learns_from_every_subword(monkeypatch):
+    monkeypatch.setattr(attention_lm, "PART", 50)
+    rng = random.Random(2)
+    texts = [None, "", "Fresh", *(" ".join(rng.choices(["the", "unbelievably", "cat", "zqxv17", "naïve"], k=k)) for k in (3000, 16, 1, 40))]
+    encode = attention_lm.Subwords(attention_lm.TOKENIZER)
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(part, pa.string())}) for part in (texts[:4], texts[4:])]
+    wanted, seen = Counter(), Counter()
+    for t in texts:
+        ids = [attention_lm.VOCABULARY, *attention_lm.chain.from_iterable(encode([*attention_lm.lower_words(t), attention_lm.END]))]
+        wanted.update(zip(ids, ids[1:], strict=False))
+    for turn in range(attention_lm.ROUNDS):
+        for x, y in attention_lm._training_windows(batches, encode, turn):
+            assert ((x >= 0) == (y >= 0)).all()
+            seen.update(zip(x[y >= 0].tolist(), y[y >= 0].tolist(), strict=True))
+    assert seen == wanted
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     params = [p.astype(np.float64) for p in attention_lm.init()]
