@@ -93,34 +93,50 @@ def _project(vectors: np.ndarray, largest: float, matrix: np.ndarray) -> np.ndar
     return vectors @ matrix[:-1] + rest[:, None] * matrix[-1]
 
 
-def search_block(ids, vectors, projected, queries, k: int, largest: float, matrix: np.ndarray, factor: float):
-    """The k best (query_id, vec_id, score) of each query (id, vector, k-th score so far or None) in a block."""
+def search_block(ids, vectors, projected, asked, v, floor, k: int, largest: float, matrix: np.ndarray, factor: float):
+    """The k best (query_id, vec_id, score), as arrays, of each query (asked: ids, v: vectors, floor: k-th score so far or -inf) in a block.
+
+    The queries visit their leaves together, by rounds: the nearest, the next two, the next four and so on. A leaf is
+    one product with all that visit it in a round; what may be among the best is scored again row by row.
+    """
     leaves = kd_leaves(projected, LEAF)
     low, high = np.array([projected[r].min(0) for r in leaves]), np.array([projected[r].max(0) for r in leaves])
-    for query, v, floor in queries:
-        norm = math.sqrt(float((v * v).sum()))
-        scale = largest / norm
-        z = scale * (v @ matrix[:-1])
-        gap = (np.maximum(np.maximum(low - z, z - high), 0) ** 2).sum(1)
-        order = np.argsort(gap, kind="stable")
-        score, own = np.empty(0), np.empty(0, np.int64)
-        worst, at, step = -math.inf if floor is None else floor, 0, 1
-        reach = lambda s: (2 * largest**2 - 2 * scale * s) * factor * (1 + 1e-9) + 1e-9 * largest**2
-        while at < len(order) and (worst == -math.inf or gap[order[at]] <= reach(worst)):
-            rows = np.concatenate([leaves[i] for i in order[at : at + step]])
-            if worst > -math.inf:
-                rows = rows[((projected[rows] - z) ** 2).sum(1) <= reach(worst)]
-            rows = rows[ids[rows] != query]
-            s = (vectors[rows] * v).sum(1)
-            keep = s >= worst
-            score, own = np.concatenate([score, s[keep]]), np.concatenate([own, ids[rows][keep]])
-            best = np.lexsort((own, -score))[:k]
-            score, own = score[best], own[best]
-            if len(score) == k:
-                worst = max(worst, float(score[-1]))
-            at, step = at + step, step * 2
-        for s, i in zip(score.tolist(), own.tolist(), strict=True):
-            yield query, i, s
+    held = [vectors[r] for r in leaves]
+    scale = largest / np.sqrt((v * v).sum(1))
+    z = scale[:, None] * (v @ matrix[:-1])
+    gap = np.zeros((len(v), len(leaves)))
+    for i in range(z.shape[1]):
+        gap += np.maximum(np.maximum(low[:, i] - z[:, i : i + 1], z[:, i : i + 1] - high[:, i]), 0) ** 2
+    order = np.argsort(gap, axis=1, kind="stable")
+    worst, slack = floor.copy(), 1e-12 * v.shape[1] * largest * largest / scale  # more than a product's rounding
+    whose, own, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    at, step = 0, 1
+    while at < len(leaves):
+        visit = order[:, at : at + step]
+        open_ = np.take_along_axis(gap, visit, 1) <= np.where(worst == -np.inf, np.inf, (2 * largest**2 - 2 * scale * worst) * factor * (1 + 1e-9) + 1e-9 * largest**2)[:, None]
+        if not open_.any():
+            break
+        who, column = np.nonzero(open_)
+        leaf = visit[who, column]
+        by_leaf = np.argsort(leaf, kind="stable")
+        who, leaf = who[by_leaf], leaf[by_leaf]
+        new = [(whose, own, score)]
+        for part in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1):
+            x, q = leaf[part[0]], who[part]
+            i, j = np.nonzero(v[q] @ held[x].T >= (worst[q] - slack[q])[:, None])
+            q, row = q[i], ids[leaves[x][j]]
+            exact = (held[x][j] * v[q]).sum(1)
+            keep = (row != asked[q]) & (exact >= worst[q])
+            new.append((q[keep], row[keep], exact[keep]))
+        whose, own, score = (np.concatenate(c) for c in zip(*new, strict=True))
+        best = np.lexsort((own, -score, whose))
+        whose, own, score = whose[best], own[best], score[best]
+        place = np.arange(len(whose)) - np.searchsorted(whose, whose)
+        whose, own, score = whose[place < k], own[place < k], score[place < k]
+        full = place[place < k] == k - 1
+        worst[whose[full]] = np.maximum(worst[whose[full]], score[full])
+        at, step = at + step, step * 2
+    return asked[whose], own, score
 
 
 def _vector(c: Column) -> Column:
@@ -185,7 +201,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, confidence: float =
         ids, parts = [], []
         for batch in batches:
             number, kind = (batch.column(c).to_numpy() for c in ("block", "kind"))
-            vec, vectors, floors = batch.column("vec_id").to_numpy(), matrix_of(batch.column("v")), batch.column("floor").to_pylist()
+            vec, vectors, floors = batch.column("vec_id").to_numpy(), matrix_of(batch.column("v")), batch.column("floor").fill_null(-math.inf).to_numpy()
             cut = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
             for start, end in zip(cut, [*cut[1:], len(number)], strict=True):
                 if number[start] != at:
@@ -199,10 +215,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, confidence: float =
                 if block is None:
                     v = np.concatenate(parts)
                     block = (np.concatenate(ids), v, _project(v, largest, matrix))
-                asked = [(int(vec[i]), vectors[i], floors[i]) for i in range(start, end)]
-                found = list(search_block(*block, asked, k, largest, matrix, factor))
-                cols = list(zip(*found, strict=True)) if found else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                found = search_block(*block, vec[start:end], vectors[start:end], floors[start:end], k, largest, matrix, factor)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     def find(queries: DataFrame) -> DataFrame:
         return candidates.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "query_id long, vec_id long, score double")

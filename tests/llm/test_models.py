@@ -131,6 +131,28 @@ def test_neighbours_recall(spark, monkeypatch):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_block_search_of_many_queries():
+    """4,000 rows and 200 queries at once against brute force."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((4000, 16))
+    v[50:90] = v[50]
+    ids, largest = np.arange(4000) * 3, float(np.sqrt((v * v).sum(1).max()))
+    matrix = rng.standard_normal((17, neighbours.PROJECTIONS))
+    projected = neighbours._project(v, largest, matrix)
+    q, k = np.arange(0, 4000, 20), 20
+    factor = neighbours.chi_square_quantile(0.97, neighbours.PROJECTIONS)
+    whose, own, score = neighbours.search_block(ids, v, projected, ids[q], v[q], np.full(len(q), -np.inf), k, largest, matrix, factor)
+    hits = 0
+    for i in q:
+        s = (v * v[i]).sum(1)
+        s[i] = -np.inf
+        best = np.lexsort((ids, -s))[:k]
+        mine = whose == ids[i]
+        assert mine.sum() == k and np.array_equal(score[mine], (v[own[mine] // 3] * v[i]).sum(1)) and (np.diff(score[mine]) <= 0).all()
+        hits += len(set(own[mine].tolist()) & set(ids[best].tolist()))
+    assert hits / (len(q) * k) >= 0.9
+
+
 def test_shards(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sharding.shard(docs, 8).collect()
