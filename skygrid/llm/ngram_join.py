@@ -314,8 +314,11 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
     stored_twice = heads.groupBy("cid").count().where("count > 1").limit(1).count() > 0
     tokens = heads.select(F.explode("prefix").alias("bucket"), "cid", classes["n"])
     tokens = tokens.distinct() if stored_twice else tokens
-    met = tokens.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
-    shared = table(tokens.join(met, "bucket"))
+    # a class names a bucket once, so a bucket that is counted once is no one's but its own; 40 of its 64 bits tell, as
+    # fresh() looks at whole buckets
+    coarse = F.shiftright("bucket", 24)
+    met = tokens.groupBy(coarse.alias("bits")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bits")
+    shared = table(tokens.join(met, coarse == F.col("bits"), "left_semi"))
     texts, comp = _texts(docs), None
 
     def fresh():
