@@ -123,8 +123,12 @@ def _whole(points: DataFrame, space: Space) -> DataFrame:
     return kept.withColumn("k", space.cell())
 
 
-def _cell_links(rows: DataFrame, space: Space) -> DataFrame:
-    """(a, b): cells, by their smallest ids, that hold rows near each other. rows: (home, id, dims) of distinct coordinates."""
+def _joined_cells(rows: DataFrame, space: Space) -> DataFrame:
+    """(v, c): cells, by their smallest ids, and the smallest one they reach over cells that hold rows near each other.
+
+    rows: (home, id, dims) of distinct coordinates. Cells that are next to no other are left out. A pair of cells is
+    looked at only until both are in one component, so crowded places are settled by the first representatives.
+    """
     row = F.struct("id", *space.dims)
 
     def parts(split: int) -> DataFrame:
@@ -137,30 +141,50 @@ def _cell_links(rows: DataFrame, space: Space) -> DataFrame:
         """Pairs with near: true if their representatives are, false if they are too far for any rows of theirs, else null."""
         d = space.distance(F.col("x_r"), F.col("y_r"))
         apart = d > space.eps + 2.02 * space.spread / 2**split
-        return written(pairs.withColumn("near", F.when(d <= space.eps, True).when(apart, False)).where("near is not false"))
+        return written(pairs.withColumn("near", F.when(d <= space.eps, True).when(apart, False)).where("near is not false").drop("x_r", "y_r"))
+
+    names, ends = None, ["x_home", "y_home"]
+
+    def named(df: DataFrame) -> DataFrame:
+        """Pairs of different components, with these (a, b)."""
+        for end, to in (("x_home", "a"), ("y_home", "b")):
+            df = df.drop(to) if names is None else df.drop(to).join(names.select(F.col("v").alias(end), F.col("c").alias(to)), end, "left")
+            df = df.withColumn(to, F.col(end)) if names is None else df.withColumn(to, F.coalesce(to, end))
+        return df.where("a <> b")
+
+    def merge(links: DataFrame) -> None:
+        """Joins the components (a, b) of links."""
+        nonlocal names
+        step = components(links)
+        if names is None:
+            names = step
+        else:
+            to = step.select(F.col("v").alias("c"), F.col("c").alias("_to"))
+            alone = step.join(names.select("v"), "v", "left_anti")
+            names = written(names.join(to, "c", "left").select("v", F.coalesce("_to", "c").alias("c")).unionByName(alone))
 
     cells = written(parts(0))
     step = F.explode(space.around(half=True))
     left = side(cells, "x").withColumn("_s", step).withColumn("y_k", F.zip_with("x_k", "_s", lambda k, s: k + s)).drop("_s")
     open_ = judged(left.join(side(cells, "y"), "y_k"), 0)
-    ends = ["x_home", "y_home"]
-    links = open_.where("near").select(*ends).distinct()
+    merge(open_.where("near").select(F.col("x_home").alias("a"), F.col("y_home").alias("b")))
     for split in range(SPLITS + 1):
-        open_ = open_.where("near is null").join(links, ends, "left_anti")
+        open_ = written(named(open_.where("near is null")))
+        if open_.isEmpty():
+            break
         few = (F.col("x_n") * F.col("y_n") <= PAIRS) if split < SPLITS else F.lit(True)
         own = rows.select("home", space.cell(split).alias("k"), row.alias("r"))
-        tried = open_.where(few).drop("x_r", "y_r").join(side(own, "x"), ["x_home", "x_k"]).join(side(own, "y"), ["y_home", "y_k"])
-        links = links.unionByName(tried.where(space.distance(F.col("x_r"), F.col("y_r")) <= space.eps).select(*ends).distinct())
+        tried = open_.where(few).join(side(own, "x"), ["x_home", "x_k"]).join(side(own, "y"), ["y_home", "y_k"])
+        merge(tried.where(space.distance(F.col("x_r"), F.col("y_r")) <= space.eps).select("a", "b"))
         many = open_.where(~few)
         if split == SPLITS or many.isEmpty():
             break
-        links = written(links)
         finer = written(parts(split + 1).withColumn("up", F.transform("k", lambda x: F.floor(x / 2).cast("long"))))
         half = lambda x: side(finer, x).withColumnRenamed(f"{x}_up", f"{x}_k_")  # noqa: B023, E731
-        pairs = many.join(links, ends, "left_anti").select(*ends, F.col("x_k").alias("x_k_"), F.col("y_k").alias("y_k_"))
+        pairs = named(many).select(*ends, "a", "b", F.col("x_k").alias("x_k_"), F.col("y_k").alias("y_k_"))
         open_ = judged(pairs.join(half("x"), ["x_home", "x_k_"]).join(half("y"), ["y_home", "y_k_"]).drop("x_k_", "y_k_"), split + 1)
-        links = written(links.unionByName(open_.where("near").select(*ends)).distinct())
-    return links.select(F.col("x_home").alias("a"), F.col("y_home").alias("b")).distinct()
+        merge(open_.where("near").select("a", "b"))
+    return names
 
 
 def single_link(points: DataFrame, space: Space) -> DataFrame:
@@ -168,7 +192,7 @@ def single_link(points: DataFrame, space: Space) -> DataFrame:
     whole = _whole(points, space)
     homes = written(whole.groupBy("k").agg(F.min("id").alias("home")))
     rows = written(whole.groupBy("k", *space.dims).agg(F.min("id").alias("id")).join(homes, "k").drop("k"))
-    named = homes.join(components(_cell_links(rows, space)).withColumnRenamed("v", "home"), "home", "left").select("k", F.coalesce("c", "home").alias("cluster"))
+    named = homes.join(_joined_cells(rows, space).withColumnRenamed("v", "home"), "home", "left").select("k", F.coalesce("c", "home").alias("cluster"))
     own = whole.join(named, "k").select("id", "cluster")
     return own.unionByName(points.join(whole, "id", "left_anti").select("id", F.col("id").alias("cluster")))
 

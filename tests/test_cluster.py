@@ -73,6 +73,18 @@ def test_heaps_cost_their_size(spark):
     assert [tuple(r) for r in got] == [(0, 30_000), (30_000, 30_000), (60_000, 30_000)]
 
 
+def test_a_crowded_field_is_not_split(spark, monkeypatch):
+    """Cells that are in one component after the first representatives are not compared again, crowded as they are."""
+    seen, written = [], cluster.written
+    monkeypatch.setattr(cluster, "PAIRS", 4)
+    monkeypatch.setattr(cluster, "written", lambda df: seen.append(df) or written(df))
+    x = np.concatenate([np.random.default_rng(4).random((6_000, 2)) * 10, [[30.0, 30.0], [30.5, 30.0]]])
+    got = found(cluster.single_link(frame(spark, x), cluster.euclidean(["x", "y"], 1.0)))
+    assert got == [0] * 6_000 + [6_000] * 2
+    pairs = [df.count() for df in seen if "x_home" in df.columns and "y_home" in df.columns]
+    assert pairs[0] > 1_000 and sum(pairs[1:]) < 10
+
+
 def test_rows_without_coordinates(spark):
     rows = [(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 0.0), (4, 0.5, 0.0), (5, float("inf"), 1.0)]
     df, space = spark.createDataFrame(rows, "id long, x double, y double"), cluster.euclidean(["x", "y"], 1.0)
