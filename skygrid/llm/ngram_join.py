@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 1_000
 CELL = 1_000
 #: Buckets of a class that its rows name, for a pair to be looked at in one bucket only; a pair that meets later may be looked at again.
 FIRST = 16
+#: Bits of a shingle's hash that name its bucket, tokens that a task packs at a time. Two shingles of one name share a bucket, which costs a look and no link.
+NAME_BITS, PACK = 42, 2_000_000
 #: Spanning forests of candidate pairs that a bucket sends in the first round, and their growth.
 FORESTS, GROWTH = 64, 64
 #: Bits of a sketch: two a shingle of the band's largest set, as a power of two between these.
@@ -144,18 +147,89 @@ def _own_sets(texts: list, keys: list, k: int) -> list[np.ndarray | None]:
     return [s if set_key(s) == key else None for s, key in zip(sets, keys, strict=True)]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: small ones of a wide type take little."""
+    return zlib.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(packs: list[bytes], kind: type) -> list[np.ndarray]:
+    width = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(width, -1).T).view(kind).ravel() for x in packs]
+
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """(bucket, cid, n): the buckets that more than one class of heads (cid, n, prefix) names, with these classes.
+
+    Names travel once, packed by their first bits with the classes next to them; a task holds one such piece at a time.
+    """
+
+    def pack(batches):
+        held, size = [], 0
+
+        def flush():
+            name, cid, n = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(name, kind="stable")
+            name, cid, n = name[order], cid[order], n[order]
+            low = (name & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            at = np.flatnonzero(np.diff(name >> np.uint64(32), prepend=np.uint64(1 << 63)))
+            cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(name)], strict=True))
+            piece = (name[at] >> np.uint64(32)).astype(np.int32)
+            rows = [(np.diff(low[a:b], prepend=np.uint32(0)), cid[a:b], n[a:b]) for a, b in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(piece)] + [pa.array([_packed(x) for x in c], pa.binary()) for c in zip(*rows, strict=True)], ["piece", "names", "cids", "ns"])
+
+        for batch in batches:
+            prefix = batch.column("prefix")
+            length = np.diff(prefix.offsets.to_numpy())
+            flat = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - NAME_BITS)
+            if len(flat):
+                held.append((flat, *(np.repeat(batch.column(c).to_numpy(), length) for c in ("cid", "n"))))
+                size += len(flat)
+            if size >= PACK:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def unpack(batches):
+        for (piece,), (names, cids, ns) in grouped(batches, ["piece"], ["names", "cids", "ns"]):
+            name = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in _unpacked(names, np.uint32)]).astype(np.int64) | piece << 32
+            cid, n = (np.concatenate(_unpacked(x, np.int64)) for x in (cids, ns))
+            order = np.lexsort((cid, name))
+            name, cid, n = name[order], cid[order], n[order]
+            own = np.append(True, (name[1:] != name[:-1]) | (cid[1:] != cid[:-1]))  # a class names a bucket once
+            name, cid, n = name[own], cid[own], n[own]
+            more = name[1:] == name[:-1]
+            kept = np.flatnonzero(np.append(more, False) | np.append(False, more))
+            for k in range(0, len(kept), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept[k : k + 100_000]]) for x in (name, cid, n)], ["bucket", "cid", "n"])
+
+    packed = heads.select("cid", "n", "prefix").mapInArrow(pack, "piece int, names binary, cids binary, ns binary")
+    return dealt(packed, "piece").mapInArrow(unpack, "bucket long, cid long, n long")
+
+
+def _zipped(routed: DataFrame) -> DataFrame:
+    """routed (cid, c, bucket, block, key, text) with each text compressed, which is less to shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [zlib.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], ["cid", "c", "bucket", "block", "key", "text"])
+
+    return routed.select("cid", "c", "bucket", "block", "key", "text").mapInArrow(run, "cid long, c long, bucket long, block long, key binary, text binary")
+
+
 def _linked(routed: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(v, c): each component that rows (bucket, block, cid, c, key, text) of a block link to a smaller one, and the smallest."""
 
     def run(batches):
         for _, (cids, c, keys, texts) in grouped(batches, ["bucket", "block"], ["cid", "c", "key", "text"]):
             if min(c) < max(c):
-                own = {cid: (s, x) for cid, s, x in zip(cids, _own_sets(texts, keys, k), c, strict=True) if s is not None}
+                own = {cid: (s, x) for cid, s, x in zip(cids, _own_sets([zlib.decompress(t).decode("utf-8", "surrogatepass") for t in texts], keys, k), c, strict=True) if s is not None}
                 found = st.linked([s for s, _ in own.values()], [x for _, x in own.values()], num, den)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["v", "c"])
 
-    return dealt(routed, "bucket", "block").mapInArrow(run, "v long, c long")
+    return dealt(_zipped(routed), "bucket", "block").mapInArrow(run, "v long, c long")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -216,7 +290,7 @@ def spanning(i: np.ndarray, j: np.ndarray, forests: np.ndarray) -> tuple[np.ndar
 def _candidates(rows: DataFrame, num: int, den: int, count: int) -> DataFrame:
     """Pairs of rows (bucket, band, x, y, home, cid, n, c, sketch, buckets) that the trees cannot rule out, as ``count`` spanning forests a cell.
 
-    buckets: the first of the class's in that band; a pair belongs to the smallest that both have.
+    buckets: those before this one, of the first of the class's in that band; a pair belongs to the smallest that both have.
     Result (a, b, ca, cb, bucket, band): classes, their components and, in a row without classes, a group that held pairs back.
     """
     columns, kinds = ["a", "b", "ca", "cb", "bucket", "band"], [pa.int64()] * 5 + [pa.int32()]
@@ -235,7 +309,7 @@ def _candidates(rows: DataFrame, num: int, den: int, count: int) -> DataFrame:
             def before(k):
                 """The class's buckets before this one."""
                 if k not in lower:
-                    lower[k] = {x for x in buckets[order[k]] if x < bucket}
+                    lower[k] = set(buckets[order[k]])
                 return lower[k]
 
             for i, j in st.traverse(st.build(marks, size, group), num, den):
@@ -312,13 +386,7 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
     at = lambda d: d["doc_id"].eqNullSafe(classes["rep"]) & (d["th"] == classes["th"])
     heads = sets.where("n > 0").join(classes, (sets["key"] == classes["key"]) & at(sets))
     stored_twice = heads.groupBy("cid").count().where("count > 1").limit(1).count() > 0
-    tokens = heads.select(F.explode("prefix").alias("bucket"), "cid", classes["n"])
-    tokens = tokens.distinct() if stored_twice else tokens
-    # a class names a bucket once, so a bucket that is counted once is no one's but its own; 40 of its 64 bits tell, as
-    # fresh() looks at whole buckets
-    coarse = F.shiftright("bucket", 24)
-    met = tokens.groupBy(coarse.alias("bits")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bits")
-    shared = table(tokens.join(met, coarse == F.col("bits"), "left_semi"))
+    shared = table(_shared(heads.select("cid", classes["n"], "prefix")))
     texts, comp = _texts(docs), None
 
     def fresh():
@@ -355,7 +423,7 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
             # a class has at most as many buckets as its prefix has shingles; the first ones tell nearly all pairs that met before
             met = rows.join(groups, ["bucket", "band"], "left_semi").groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, FIRST).alias("buckets"))
             known = met.join(sketch.select("cid", "n", "sketch"), "cid")
-            placed = _cells(rows, groups, CELL).join(known, ["cid", "band"])
+            placed = _cells(rows, groups, CELL).join(known, ["cid", "band"]).withColumn("buckets", F.filter("buckets", lambda x: x < F.col("bucket")))  # those before
             pairs = table(_candidates(placed.select("bucket", "band", "x", "y", "home", "cid", "n", "c", "sketch", "buckets"), num, den, count))
             try_now = table(pairs.where("a is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ca").alias("ca"), F.max("cb").alias("cb")))
             edges = None

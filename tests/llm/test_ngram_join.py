@@ -111,3 +111,23 @@ def test_folding():
 
     tokens = np.random.default_rng(1).integers(0, 1 << 60, 300).astype(np.uint64)
     assert (ngram_join.folded(st.bitmap(tokens, 4096).tobytes(), 1024) == st.bitmap(tokens, 1024)).all()
+
+
+def test_shared_buckets_travel_once_and_packed(spark, monkeypatch):
+    """Names that two classes or more have, from one shuffle of packed rows and no join; a class stored twice counts once."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(i << 33, int(n), [int(x) << 30 for x in rng.integers(-300, 300, n)]) for i, n in enumerate(rng.integers(0, 9, 80))]
+    rows += [rows[3], (99, 2, [1 << 60, 1 << 60])]
+    monkeypatch.setattr(ngram_join, "PACK", 50)  # many packs a task
+    heads = spark.createDataFrame(rows, "cid long, n long, prefix array<long>").repartition(3)
+    names = {}
+    for cid, n, prefix in rows:
+        for x in prefix:
+            names.setdefault((x % (1 << 64)) >> (64 - ngram_join.NAME_BITS), set()).add((cid, n))
+    got = ngram_join._shared(heads)
+    wanted = sorted((b, cid, n) for b, held in names.items() if len(held) > 1 for cid, n in held)
+    assert sorted(map(tuple, got.collect())) == wanted and len(wanted) > 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
