@@ -1,8 +1,8 @@
 """Spatial joins as equi-joins: grid bins for nearest and radius searches, edge parity for polygons.
 
 One side is spread over the neighbouring bins (at most nine rows each), so the join has an equi key and
-neither side needs to be small. Spark's estimate does not count those nine rows, so the join is told to merge;
-AQE splits a hot bin. The nearest one is sought in cells that hold about one ref, then in wider ones for the
+neither side needs to be small. Spark's estimate does not count those nine rows, nor what a written table holds once
+it is unpacked, so joins are told to merge; AQE splits a hot bin. The nearest one is sought in cells that hold about one ref, then in wider ones for the
 points that these leave open, so the pairs looked at grow with the points and not with the refs in the box.
 Points without a partner stay, with nulls.
 """
@@ -81,7 +81,7 @@ def _searched(points: DataFrame, refs: DataFrame, half: float, extra: tuple[str,
         found = written(best.where(sure).select(*ident, *known, F.col("_b.ref_id").alias("ref_id"), F.col("_b.metres").alias("best")))
         rounds.append((width, found))
         if width < half:
-            open_ = written(open_.join(found.select(*ident), ident, "left_anti"))
+            open_ = written(open_.join(found.select(*ident).hint("merge"), ident, "left_anti"))
     return rounds
 
 
@@ -107,10 +107,10 @@ def nearest_ties(points: DataFrame, refs: DataFrame, half: float, within: float)
 
 def nearest_in_box(points: DataFrame, refs: DataFrame, half: float, valid: Column | None = None) -> DataFrame:
     """Each point's id, nearest ref (the smaller id if tied) and metres, and with ``valid`` also among valid refs."""
-    out = points.select("id").join(nearest(points.select("id", "lon", "lat"), refs.select("ref_id", "rlon", "rlat"), half), "id", "left")
+    out = points.select("id").join(nearest(points.select("id", "lon", "lat"), refs.select("ref_id", "rlon", "rlat"), half).hint("merge"), "id", "left")
     if valid is not None:
         also = nearest(points, refs, half, valid=valid).withColumnsRenamed({"ref_id": "valid_ref_id", "metres": "valid_metres"})
-        out = out.join(also, "id", "left")
+        out = out.join(also.hint("merge"), "id", "left")
     return out
 
 
@@ -125,7 +125,7 @@ def radius_counts(points: DataFrame, refs: DataFrame, radii: list[int], half: fl
     """Refs within each radius of each point, from one join at the largest; zero where there are none."""
     pairs = in_box(points, refs, half)
     found = pairs.groupBy("id").agg(*(F.count_if(F.col("metres") <= r).alias(f"n_{r}") for r in radii))
-    return points.select("id").join(found, "id", "left").select("id", *(F.nvl(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in radii))
+    return points.select("id").join(found.hint("merge"), "id", "left").select("id", *(F.nvl(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in radii))
 
 
 def inside(points: DataFrame, edges: DataFrame, bin_deg: float) -> DataFrame:

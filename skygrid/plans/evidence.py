@@ -19,7 +19,7 @@ SELECT id, ['flare', 'industrial', 'industrial', 'agricultural', 'unlabelled', '
 def weak_label_evidence(t):
     m = kinds_m(t, ["f", "i", "a"])
     cover = F.when(F.col("event_type") == "click", "cropland").when(F.col("event_type") == "view", "grassland")
-    out = points(t).select("id", "event_type").join(m, "id", "left")
+    out = points(t).select("id", "event_type").join(m.hint("merge"), "id", "left")
     return out.select("id", labels.evidence(F.col("f"), F.col("i"), F.col("a"), cover, 8000, 12000).alias("e")).select("id", "e.*")
 
 
@@ -83,7 +83,7 @@ SELECT j.id, count(*) AS tied, min(ref_id) AS first_ref, max(p_brand) AS brand F
 def rejoin_matched(t):
     """Attributes of the matched reference: all that lie within a millimetre of the nearest."""
     tied = spatial.nearest_ties(points(t), parts(t), 0.25, 0.001)
-    return tied.join(t("part"), F.col("ref_id") == F.col("p_partkey")).groupBy("id").agg(F.count(F.lit(1)).alias("tied"), F.min("ref_id").alias("first_ref"), F.max("p_brand").alias("brand"))
+    return tied.join(t("part").hint("merge"), F.col("ref_id") == F.col("p_partkey")).groupBy("id").agg(F.count(F.lit(1)).alias("tied"), F.min("ref_id").alias("first_ref"), F.max("p_brand").alias("brand"))
 
 
 @query(f"""WITH a AS (SELECT id, CAST(ts AS DATE) AS day, lon, lat FROM {POINTS} WHERE event_type = 'purchase'), b AS (SELECT CAST(ts AS DATE) AS day, lon AS rlon, lat AS rlat FROM {POINTS} WHERE event_type = 'click'),

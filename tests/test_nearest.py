@@ -55,6 +55,14 @@ def test_boxes_are_joined_by_merge(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["label_lift", "nearest_ref_in_box", "nearest_valid_ref", "radius_count_sweep", "rejoin_matched", "survival_filter", "weak_label_case", "weak_label_evidence"])
+def test_found_refs_are_never_broadcast(spark, name):
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_applicability_takes_all_fit_rows(spark):
     import numpy as np
 
