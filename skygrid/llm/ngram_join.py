@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from skygrid.llm import signature_tree as st
-from skygrid.llm.common import by_key, components, dealt, grouped, lists, lower_words, rolling, small_batches, table, text_hash, word_hashes
+from skygrid.llm.common import by_key, components, dealt, grouped, lower_words, rolling, small_batches, table, text_hash, word_hashes
 
 #: A word is frequent from this share of all words; so there are at most as many such words.
 FREQUENT = 1 / 50_000
@@ -119,8 +119,26 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _names(prefix: np.ndarray) -> bytes:
+    """The bucket names of prefix shingles, NAME_BITS each and nothing between them."""
+    bits = np.unpackbits(prefix.astype(">u8").view(np.uint8)).reshape(-1, 64)
+    return np.packbits(bits[:, :NAME_BITS]).tobytes()
+
+
+def _named(prefix: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket names of a column of ``_names`` or of lists of shingles, and how many each row has."""
+    if not pa.types.is_binary(prefix.type):
+        return prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - NAME_BITS), np.diff(prefix.offsets.to_numpy())
+    rows = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(x) * 8 // NAME_BITS * NAME_BITS).reshape(-1, NAME_BITS) for x in prefix.to_pylist()]
+    length = np.fromiter(map(len, rows), np.int64, len(rows))
+    wide = np.zeros((int(length.sum()), 64), np.uint8)
+    if len(wide):
+        wide[:, 64 - NAME_BITS :] = np.concatenate(rows)
+    return np.packbits(wide).view(">u8").astype(np.uint64), length
+
+
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, th, n, key, prefix): hash of the text, set size, digest of the set (null: empty), prefix shingles."""
+    """(doc_id, th, n, key, prefix): hash of the text, set size, digest of the set (null: empty), packed names of the prefix shingles."""
 
     def run(batches):
         for batch in batches:
@@ -130,10 +148,10 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                prefix.append(s[np.lexsort((s, common))[:p]])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(prefix, pa.int64())], ["doc_id", "th", "n", "key", "prefix"])
+                prefix.append(_names(s[np.lexsort((s, common))[:p]]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "th", "n", "key", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, th long, n long, key binary, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, n long, key binary, prefix binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -178,9 +196,7 @@ def _shared(heads: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(piece)] + [pa.array([_packed(x) for x in c], pa.binary()) for c in zip(*rows, strict=True)], ["piece", "names", "cids", "ns"])
 
         for batch in batches:
-            prefix = batch.column("prefix")
-            length = np.diff(prefix.offsets.to_numpy())
-            flat = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - NAME_BITS)
+            flat, length = _named(batch.column("prefix"))
             if len(flat):
                 held.append((flat, *(np.repeat(batch.column(c).to_numpy(), length) for c in ("cid", "n"))))
                 size += len(flat)
@@ -243,16 +259,15 @@ def _groups(rows: DataFrame) -> DataFrame:
     return met.where("lo < hi and any").groupBy("m", "x", "y").agg(F.min(F.struct("bucket", "band")).alias("g")).select("g.bucket", "g.band", "m")
 
 
-def _cells(rows: DataFrame, groups: DataFrame, cell: int) -> DataFrame:
-    """rows (bucket, band, home, cid, c) of the groups (bucket, band, m) with the cells (x, y) they meet in.
+def _cells(rows: DataFrame, cell: int) -> DataFrame:
+    """rows (bucket, band, home, cid, c, m) of groups of m rows with the cells (x, y) they meet in.
 
     A group of up to ``cell`` rows is one cell. A larger one is cut into slices: those of a component
     with more than half a slice of rows hold only it, the other components are dealt to slices whole. A
     cell holds two slices, unless both are of one component.
     """
-    rows = rows.join(groups, ["bucket", "band"])
     small = rows.where(F.col("m") <= cell).select("bucket", "band", "home", "cid", "c", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    if not groups.where(F.col("m") > cell).limit(1).count():
+    if not rows.where(F.col("m") > cell).limit(1).count():
         return small
     hot = rows.where(F.col("m") > cell)
     held = hot.groupBy("bucket", "band", "c").agg(F.count(F.lit(1)).alias("k")).withColumn("big", F.col("k") * 2 > cell)
@@ -421,9 +436,10 @@ def labelled(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFr
         groups, count = table(_groups(rows)), FORESTS
         while groups.limit(1).count():
             # a class has at most as many buckets as its prefix has shingles; the first ones tell nearly all pairs that met before
-            met = rows.join(groups, ["bucket", "band"], "left_semi").groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, FIRST).alias("buckets"))
-            known = met.join(sketch.select("cid", "n", "sketch"), "cid")
-            placed = _cells(rows, groups, CELL).join(known, ["cid", "band"]).withColumn("buckets", F.filter("buckets", lambda x: x < F.col("bucket")))  # those before
+            open_ = table(rows.join(groups, ["bucket", "band"]))
+            met = open_.groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, FIRST).alias("buckets"))
+            placed = _cells(open_, CELL).join(met, ["cid", "band"]).withColumn("buckets", F.filter("buckets", lambda x: x < F.col("bucket")))  # those before
+            placed = placed.join(sketch.select("cid", "n", "sketch"), "cid")  # last, so that a sketch is dealt once before it goes to its cells
             pairs = table(_candidates(placed.select("bucket", "band", "x", "y", "home", "cid", "n", "c", "sketch", "buckets"), num, den, count))
             try_now = table(pairs.where("a is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ca").alias("ca"), F.max("cb").alias("cb")))
             edges = None

@@ -131,3 +131,34 @@ def test_shared_buckets_travel_once_and_packed(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == wanted and len(wanted) > 50
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+
+
+def test_names_are_packed_without_gaps():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (0, 1, 3, 4, 50, 0, 21)]
+    packs = [ngram_join._names(s) for s in sets]
+    assert [len(p) for p in packs] == [-(-len(s) * ngram_join.NAME_BITS // 8) for s in sets]
+    for kind, column in ((pa.binary(), packs), (pa.list_(pa.int64()), [s.view(np.int64).tolist() for s in sets])):
+        names, length = ngram_join._named(pa.array(column, kind))
+        assert length.tolist() == [len(s) for s in sets]
+        assert (names == np.concatenate(sets) >> np.uint64(64 - ngram_join.NAME_BITS)).all()
+    assert ngram_join._named(pa.array([b"", b""], pa.binary()))[1].tolist() == [0, 0]
+
+
+def test_sketches_are_dealt_once_before_their_cells(spark, monkeypatch):
+    """Of the shuffles below a round's cells, two hold sketches: that by class, and that of the cells themselves."""
+    seen, real = [], ngram_join._candidates
+
+    def candidates(rows, *args):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, *args)
+
+    monkeypatch.setattr(ngram_join, "_candidates", candidates)
+    check(spark, 3, 9, 10)
+    assert seen
+    for plan in seen:
+        top = next(line for line in plan.splitlines() if "Join" in line)
+        assert "cid" in top and "band" not in top
