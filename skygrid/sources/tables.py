@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, NumericType, StringType, StructType
 
 from skygrid.functions.scalars import acquisition_instant, confidence_band, local_clock
 
@@ -221,9 +221,14 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_row_status(assets: DataFrame, key: str, sheet: DataFrame, sheet_key: str, status: str, line: str) -> DataFrame:
-    """assets with ``status``: that of the key's first row in the sheet (by ``line``, ties by status), '' where the sheet lacks the key or the row its status."""
-    first = sheet.groupBy(F.trim(F.col(sheet_key).cast("string")).alias("_k")).agg(F.min(F.struct(F.col(line).alias("l"), F.col(status).alias("s"))).alias("_r"))
-    return assets.join(first, F.trim(F.col(key).cast("string")) == F.col("_k"), "left").withColumn("status", F.coalesce("_r.s", F.lit(""))).drop("_k", "_r")
+    """assets with ``status``: that of the key's first row in the sheet (by ``line``, nulls last, ties by status), '' where the sheet lacks the key or the row its status.
+
+    Two numbers are one key if they are equal, whatever their types; other keys are compared as trimmed texts.
+    """
+    numbers = all(isinstance(d.schema[c].dataType, NumericType) for d, c in ((assets, key), (sheet, sheet_key)))
+    own = lambda c: F.col(c) if numbers else F.trim(F.col(c).cast("string"))
+    first = sheet.groupBy(own(sheet_key).alias("_k")).agg(F.min(F.struct(F.col(line).isNull().alias("n"), F.col(line).alias("l"), F.col(status).alias("s"))).alias("_r"))
+    return assets.join(first, own(key) == F.col("_k"), "left").withColumn("status", F.coalesce("_r.s", F.lit(""))).drop("_k", "_r")
 
 
 def window_warnings(windows: DataFrame, tiers: dict[str, list[str]], available: DataFrame) -> DataFrame:

@@ -242,6 +242,14 @@ def test_first_row_of_a_sheet_wins(spark):
     assert {r.id: r.status for r in got.collect()} == {"k1": "retired", " k2": "", "k3": ""}
 
 
+def test_rows_without_a_line_come_last_and_number_keys_meet(spark):
+    from skygrid.sources import tables
+
+    sheet = spark.createDataFrame([(1.0, "late", None), (1.0, "first", 4), (1.0, "second", 9), (2.0, "only", None)], "k double, s string, line int")
+    got = tables.first_row_status(spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long"), "id", sheet, "k", "s", "line")
+    assert {r.id: r.status for r in got.collect()} == {1: "first", 2: "only", 3: "", None: ""}
+
+
 def test_release_is_in_order(spark, tmp_path):
     from skygrid.sources import tables
 
