@@ -91,6 +91,60 @@ def test_head_learns_from_every_subword(monkeypatch):
     assert seen == wanted
 
 
+def test_coded_texts_have_the_subwords_of_their_words(spark, monkeypatch):
+    """Subwords are made once, and read from there by training and scoring."""
+    rng = random.Random(3)
+    some = ["the", "Cat", "unbelievably", "naïve", "q7" * 200, "x" * 256, "\u00a0", *(f"w{i}" for i in range(50))]
+    texts = [None, "", *(" ".join(rng.choices(some, k=k)) for k in (1, 16, 400, 3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    path, counts = attention_lm.TOKENIZER, attention_lm.word_counts(docs)
+    slow = attention_lm.Subwords(path)
+    spell = lambda w: [attention_lm.VOCABULARY] if w == attention_lm.END else [t for at in range(0, len(w.decode()) + 1, 256) for t in slow.encode((" " + w.decode())[at : at + 256])]
+    for common, part in ((300_000, 30_000), (5, 50), (0, 1)):  # all words common, few, none
+        monkeypatch.setattr(attention_lm, "COMMON_WORDS", common)
+        monkeypatch.setattr(attention_lm, "PART", part)
+        known = attention_lm.lexicon(counts, path, attention_lm.least_common(counts))
+        assert len(known.counts) <= common
+        rows = attention_lm.coded(docs, spark.sparkContext.broadcast(known), path).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+        got = [(size.tolist(), number, ids.tolist(), length.tolist()) for _, size, number, ids, length in known.ready(path).coded(rows)]
+        words = [[*attention_lm.lower_words(t), attention_lm.END] for t in texts]
+        assert [n for size, *_ in got for n in size] == [len(w) for w in words]
+        assert [i for _, _, ids, _ in got for i in ids] == [i for w in words for x in w for i in spell(x)]
+        assert [n for *_, length in got for n in length] == [len(spell(x)) for w in words for x in w]
+        own = known.number()
+        assert [int(n) for _, number, *_ in got for n in number] == [own.get(x, -1) for w in words for x in w]
+        assert [o.split(b" ") if o else [] for o in rows.column("others").to_pylist()] == [[x for x in w if x not in own] for w in words]
+        total = np.bincount([i for w in words for x in w for i in spell(x)], minlength=attention_lm.VOCABULARY + 1)
+        assert (attention_lm._subword_counts(attention_lm.coded(docs, spark.sparkContext.broadcast(known), path), known) == total).all()
+
+
+def test_language_model_without_training_texts(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    got = attention_lm.score(spark.createDataFrame(list(zip(held, ["a b", "", None], strict=True)), "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 0, 0, 0.0), (1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_gradients_with_empty_places_and_large_scores():
+    """Whatever the chunks, and where exponentials would overflow."""
+    rng = np.random.default_rng(1)
+    ids, targets = rng.integers(0, 50, (300, 16)), rng.integers(0, 64, (300, 16))
+    ids[3, 5:], targets[3, 5:], targets[7] = -1, -1, -1
+    bias = rng.standard_normal((attention_lm.INPUTS, attention_lm.CLASSES))
+    for factor in (1.0, 6.0):
+        params = [p.astype(np.float64) * factor for p in attention_lm.init()]
+        o, _ = attention_lm.attend(params, ids, 0)
+        z = bias[np.maximum(ids, 0)] + o @ params[5]
+        p = np.exp(z - z.max(2, keepdims=True))
+        p /= p.sum(2, keepdims=True)
+        live = (targets >= 0) & (ids >= 0)
+        p[np.arange(300)[:, None], np.arange(16), np.maximum(targets, 0)] -= 1
+        p *= live[..., None] / live.sum()
+        got = attention_lm.gradients(params, bias, ids, targets)
+        assert all(np.isfinite(g).all() for g in got)
+        assert np.allclose(got[5], o.reshape(-1, attention_lm.WIDTH).T @ p.reshape(-1, attention_lm.CLASSES), rtol=1e-6, atol=1e-9)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     params = [p.astype(np.float64) for p in attention_lm.init()]
