@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,72 @@ def test_sums_of_a_batch_longer_than_a_packed_part(spark):
     counts = np.bincount(bins)
     assert sums["n"].to_pylist() == [*counts, *counts] and sums["h"].to_pylist() == [c * most for c in (*counts, *counts)]
     assert sums["g"].to_pylist() == [-c * boosting.UNIT // 2 for c in counts] + [c * boosting.UNIT // 2 for c in counts]
+
+
+def test_sums_by_products_equal_sums_by_counts(monkeypatch):
+    """Whatever the chunks, with closed nodes, missing values and rows that a model does not learn from."""
+    rng, n, width = np.random.default_rng(6), 2 * boosting.CHUNK + 77, 9
+    bins, y, mask = rng.integers(0, width, (n, 3)).astype(np.int16), rng.integers(0, 3, n), rng.integers(1, 4, n)
+    batch = pa.RecordBatch.from_pydict({"y": pa.array(y.astype(np.int32)), "mask": pa.array(mask), **{f"b{i}": pa.array(bins[:, i].copy()) for i in range(3)}})
+    ensemble = boosting.Ensemble(("a", "b", "c"), ((0.0,) * (width - 2),) * 3, tuple(CLASSES), ("m", "o"), np.log(np.array([[0.2, 0.3, 0.5], [0.4, 0.4, 0.2]])), [])
+    trees = {(m, k): boosting.Tree(feature={0: (m + k) % 3}, cut={0: 3 + k}, lost={0: bool(k % 2)}, value={1: 0.0, 2: 0.0}) for m in range(2) for k in range(3)}
+    nodes = {key: [1, 2] if key != (1, 2) else [2] for key in trees}
+    got = []
+    for dense in (64, 0):
+        monkeypatch.setattr(boosting, "DENSE", dense)
+        (sums,) = boosting.histograms([batch], ensemble, 0, trees, nodes, width)
+        got.append(sorted(map(tuple, zip(*(sums[c].to_pylist() for c in ("cell", "g", "h", "n")), strict=True))))
+    assert got[0] == got[1]
+    g, h = boosting.gradients(y, np.repeat(ensemble.start[None], n, axis=0))
+    for cell, *sums in got[0]:
+        rest, b = divmod(cell, width)
+        rest, f = divmod(rest, 3)
+        t, slot = divmod(rest, 2)
+        m, k = sorted(trees)[t]
+        x = bins[:, (m + k) % 3]
+        left = (x <= 3 + k) & ((x > 0) | bool(k % 2))
+        own = ((mask >> m) & 1 == 1) & (left == (nodes[m, k][slot] == 1)) & (bins[:, f] == b)
+        assert sums == [int(g[own, m, k].sum()), int(h[own, m, k].sum()), int(own.sum())]
+
+
+def test_open_leaves_equal_walked_trees():
+    """Trees of one leaf, of few and of more than eight, lopsided ones too."""
+    rng = np.random.default_rng(8)
+    columns = list(rng.integers(0, 6, (4, 500)).astype(np.int16))
+    trees = [boosting.Tree(value={0: 0.5})]
+    for nodes in ([0], [0, 2, 6], [0, 1, 2, 3, 4, 5, 6], [0, 1, 2, 3, 4, 5, 6, 7, 8]):
+        leaves = {c for n in nodes for c in (2 * n + 1, 2 * n + 2)} - set(nodes)
+        trees.append(boosting.Tree({n: int(rng.integers(4)) for n in nodes}, {n: int(rng.integers(1, 5)) for n in nodes}, {n: bool(rng.integers(2)) for n in nodes}, {n: float(rng.normal()) for n in leaves}))
+
+    def walk(tree, row):
+        node = 0
+        while node in tree.feature:
+            b = columns[tree.feature[node]][row]
+            node = 2 * node + 2 - bool(tree.lost[node] if b == 0 else b <= tree.cut[node])
+        return tree.value[node]
+
+    rounds = [{(0, 0): trees[i], (0, 1): trees[(i + 1) % 5]} for i in range(5)]
+    got = boosting.added(np.zeros((1, 2, 500)), columns, rounds)
+    assert np.allclose(got[0], [[sum(walk(r[0, k], row) for r in rounds) for row in range(500)] for k in (0, 1)], atol=1e-12)
+
+
+def test_rows_that_share_an_ident_count_once_each(spark):
+    """Ident and label do not multiply rows, and the cap is not passed."""
+    rows = rows_of(700, 7)
+    df = spark.createDataFrame(rows + [(i, *r) for i, *r in rows[:300]], SCHEMA)
+    report = {(r.model, r["class"]): r.support for r in boosting.blocked_evaluation(df, "id", "block", {"g1": "near_g1"}, "out", ["x", "z"], ["x"], "label", CLASSES, cap=0.4, rounds=1, depth=1, bins=4).collect()}
+    held = [r for r in rows + rows[:300] if r[-1] in CLASSES]
+    assert {m: report[m, "macro"] for m in ("g1", "leak:g1", "capped:g1", "external")} == {m: sum(r[1] == ("out" if m == "external" else "g1") for r in held) for m in ("g1", "leak:g1", "capped:g1", "external")}
+
+
+@pytest.mark.parametrize("share", [0.001, 0.2, 0.4, 0.99])
+def test_kept_rows_of_the_majority_are_those_of_the_cap(spark, share):
+    from skygrid.operators import sampling
+
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 5 < 3, "m").when(F.col("id") % 5 == 3, "n").alias("l"))
+    wanted = {r.id for r in sampling.majority_cap(df, "id", "l", share).collect()}
+    assert {r.id for r in df.where(sampling.majority_kept(df, "id", "l", share)).collect()} == wanted
+    twice = df.unionAll(df)
+    kept = twice.where(sampling.majority_kept(twice, "id", "l", share)).where("l = 'm'").count()
+    limit = int(share / (1 - share) * 16_000 + 1e-9)
+    assert min(limit, 24_000) - 1 <= kept <= limit
