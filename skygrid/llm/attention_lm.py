@@ -60,8 +60,7 @@ class Subwords:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coding = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.piece = coding.encode_ordinary, coding._encode_single_piece
+        self.encode = tiktoken.Encoding("words", pat_str=r" ?[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[bytes, tuple[int, ...]] = {END: (VOCABULARY,)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
@@ -73,8 +72,6 @@ class Subwords:
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         if word == END:
             return self.known[END]
-        if len(word) < 256 and word.isascii():  # one piece, as below
-            return tuple(self.piece(b" " + word))
         text = " " + word.decode("utf-8", "replace")
         return tuple(chain.from_iterable(self.encode(text[i : i + 256]) for i in range(0, len(text), 256)))
 
@@ -82,6 +79,12 @@ class Subwords:
         get = self.known.get
         return [get(w) or self.__missing__(w) for w in words]
 
+    def together(self, words: list[bytes]) -> list[int]:
+        """Subwords of words, one word after the other; none is remembered."""
+        if words and max(map(len, words)) < 256 and END not in words:  # each is one piece, so one call encodes all
+            return self.encode(" " + b" ".join(words).decode("utf-8", "replace"))
+        return list(chain.from_iterable(map(self.encode_word, words)))
+
     def groups(self, batch: pa.RecordBatch):
         """(subword ids, number of them in each text) of texts, about PART words at a time."""
         held, size = [], 0
@@ -144,6 +147,10 @@ def attend(params: list[np.ndarray], ids: np.ndarray, first: int) -> tuple:
     return a @ v, (x, q, k, v, a)
 
 
+#: What a place adds to the scores of the places after it.
+CAUSAL = np.where(np.tri(CONTEXT, dtype=bool), 0, -1e30).astype(np.float32)
+
+
 def _room(held: dict, name: str, *shape: int, dtype) -> np.ndarray:
     """A piece of memory that is kept under its name from call to call."""
     if name not in held or held[name].size < math.prod(shape) or held[name].dtype != dtype:
@@ -164,7 +171,6 @@ def gradients(params: list[np.ndarray], bias: np.ndarray, ids: np.ndarray, targe
     live = (targets >= 0) & there
     ids, targets = np.maximum(ids, 0), np.maximum(targets, 0)
     weight = (live / max(1, live.sum())).astype(kind)
-    causal = np.where(np.tri(CONTEXT, dtype=bool), 0, -1e30).astype(kind)
     ones, key_ones, steep = np.ones((CLASSES, 1), kind), np.ones((CONTEXT, 1), kind), float(np.abs(wo).sum(0).max())
     gw3, gwo, gx = np.zeros_like(w3), np.zeros_like(wo), _room(held, "gx", ids.size, WIDTH, dtype=kind)
     woc = np.ascontiguousarray(wo.T)
@@ -178,7 +184,7 @@ def gradients(params: list[np.ndarray], bias: np.ndarray, ids: np.ndarray, targe
         q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
         a = np.matmul(q, k.transpose(0, 2, 1), out=_room(held, "a", n, CONTEXT, CONTEXT, dtype=kind))
         tame = -80 < a.min() and a.max() < 80  # so no exponential overflows
-        a += causal
+        a += CAUSAL
         if holes:
             a += np.where(there[own], 0, -1e30).astype(kind)[:, None]
         if holes or not tame:
@@ -191,11 +197,11 @@ def gradients(params: list[np.ndarray], bias: np.ndarray, ids: np.ndarray, targe
         if not max(-float(o.min()), float(o.max())) * steep < 60:
             p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        scaled = share / (p @ ones)
-        gwo += (p.T @ (o * scaled)).T
-        for d, column in enumerate((o * share).T):
-            gwo[d] -= np.bincount(hits, column, CLASSES).astype(kind)
-        go = ((p @ woc) * scaled - woc.take(hits, axis=0) * share).reshape(n, CONTEXT, WIDTH)
+        total = p @ ones
+        p[np.arange(len(p)), hits] -= total[:, 0]
+        share = share / total
+        gwo += (p.T @ (o * share)).T
+        go = ((p @ woc) * share).reshape(n, CONTEXT, WIDTH)
         g = np.empty_like(qkv)
         np.matmul(a.transpose(0, 2, 1), go, out=g[..., 2 * WIDTH :])
         ga = np.matmul(go, v.transpose(0, 2, 1), out=_room(held, "ga", n, CONTEXT, CONTEXT, dtype=kind))
@@ -358,7 +364,7 @@ def coded(docs: DataFrame, shared, path: str) -> DataFrame:
                 words = [*lower_words(text), END]
                 number = np.fromiter(map(get, words, repeat(OTHER)), np.uint32, len(words))
                 others = [words[i] for i in np.flatnonzero(number == OTHER).tolist()]
-                ids = list(chain.from_iterable(encode(others)))
+                ids = encode.together(others)
                 for column, value in zip(out, (number.astype(np.uint16).tobytes(), (number >> 16).astype(np.uint8).tobytes(), b" ".join(others), np.array(ids, np.uint16).tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.binary()) for c in out)], [*names, "low", "high", "others", "pieces"])
